@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, media, shards
+from . import chat, media, quality, shards, toxicity, warc
 from .storage import stored, table
 
 
@@ -13,6 +13,18 @@ def op1_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.describe(media.media_table(table(spark, sf_dir, "documents")))
 
 
+def op2_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url")
+
+
+def op3_quality_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.rated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op8_toxicity_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.rated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     probe = spark.range(2).select(
@@ -29,13 +41,33 @@ def op10_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     return {
         "op1_media_columns": op1_media_columns,
+        "op2_warc_archives": op2_warc_archives,
+        "op3_quality_pairs": op3_quality_pairs,
         "op7_chat_formatting": op7_chat_formatting,
+        "op8_toxicity_fm": op8_toxicity_fm,
         "op10_feistel_shards": op10_feistel_shards,
     }
 
 
 def oracle_sql() -> dict:
-    return {"op7_chat_formatting": CHAT_SQL}
+    return {"op2_warc_archives": WARC_SQL, "op7_chat_formatting": CHAT_SQL}
+
+
+WARC_SQL = """
+WITH p AS (
+  SELECT page_id, coalesce(replace(replace(url, chr(13), '%0D'), chr(10), '%0A'), 'urn:page:' || page_id) AS url, coalesce(html, '') AS html FROM pages
+), d AS (
+  SELECT page_id, url, sha1(html) AS h, strlen(html)::BIGINT AS payload_bytes, min(page_id) OVER (PARTITION BY html) AS first_id FROM p
+)
+SELECT page_id, url, payload_bytes,
+  BASE32 AS payload_digest,
+  CASE WHEN page_id IS NOT DISTINCT FROM first_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id IS DISTINCT FROM first_id THEN first_id END AS refers_to
+FROM d
+""".replace(
+    "BASE32",
+    " || ".join(f"substr('{warc.BASE32_DIGITS}', 1 + ((('0x' || substr(h, {1 + 5 * i}, 5))::INT >> {s}) & 31), 1)" for i in range(8) for s in (15, 10, 5, 0)),
+)
 
 
 CHAT_SQL = r"""
