@@ -86,15 +86,24 @@ def pieces(texts: Iterable[bytes], parts: np.ndarray = SPACED, size: int = CHUNK
         yield numbers, held
 
 
-def words(texts: Iterable[bytes], parts: np.ndarray = SPACED) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Per batch, of each word in order: its document's number and its hash. Equal words, equal hashes."""
+def words(texts: Iterable[bytes], parts: np.ndarray = SPACED, prefixes: tuple[int, ...] = ()) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Per batch, of each word in order: its document's number and its hash. Equal words, equal hashes.
+
+    prefixes: after the words, the same for the first so many bytes of each longer word.
+    """
     for numbers, held in pieces(texts, parts):
         buf = parts[np.frombuffer(b"\n".join(held), np.uint8)]
         edge = np.diff((buf != 0).astype(np.int8), prepend=0, append=0)
         start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
         begins = np.cumsum([0] + [len(x) + 1 for x in held[:-1]])
         owner = np.asarray(numbers)[np.searchsorted(begins, start, side="right") - 1]
-        yield owner, span_hash(running_sum(buf), start, end)
+        sums = running_sum(buf)
+        owners, hashes = [owner], [span_hash(sums, start, end)]
+        for n in prefixes:
+            longer = end - start > n
+            owners.append(owner[longer])
+            hashes.append(span_hash(sums, start[longer], start[longer] + n) ^ np.uint64(n * BASE % (1 << 64)))
+        yield np.concatenate(owners), np.concatenate(hashes)
 
 
 def words_by_text(texts: list[bytes], parts: np.ndarray = SPACED) -> Iterator[tuple[int, np.ndarray]]:

@@ -1,6 +1,8 @@
 """Toxicity by a factorization machine over hashed terms.
 
-A term is a run of letters and digits, ASCII lowered, hashed to one of 2**18 bins. The bins that tell the
+A term is a run of letters and digits, ASCII lowered, or its first 3 to 7 bytes if it is longer, so that
+inflected forms share terms; each is hashed to one of 2**18 bins. A second and a third occurrence in a
+document are terms of their own. The terms that tell the
 labels apart best in the sample (by chi-square, TERMS at most, in MIN_DOCS documents at least) get a
 weight and a vector of RANK numbers each. A document's logit is the bias, plus the weights of the terms
 it holds, plus the dot products of the vectors of every two of them. So two terms that are harmless
@@ -26,33 +28,36 @@ from pyspark.sql import functions as F
 from .bytehash import ALNUM, words
 from .sampling import SAMPLE, held_out, labelled_sample
 
-BITS, TERMS, MIN_DOCS, RANK = 18, 1024, 5, 8
+BITS, TERMS, MIN_DOCS, RANK = 18, 512, 5, 8
+PREFIXES = (3, 4, 5, 6, 7)
+LEVELS, SPACE = 3, 1 << (BITS + 2)
 EPOCHS, BATCH, RATE, DECAY, SEED = 30, 256, 0.02, 1e-4, 11
 
 
-def terms(texts: list[bytes], keep: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Document number and bin of each distinct pair, sorted. keep: bin to column, or -1 to leave it out."""
+def terms(texts: list[bytes], known: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Document number and term of each distinct pair, sorted. known: per bin, whether any term of it counts."""
     found = [np.zeros(0, np.int64)]
-    for owner, hashes in words(texts, ALNUM):
+    for owner, hashes in words(texts, ALNUM, PREFIXES):
         bins = (hashes >> np.uint64(64 - BITS)).astype(np.int64)
-        if keep is not None:
-            bins = keep[bins]
-            owner, bins = owner[bins >= 0], bins[bins >= 0]
-        found.append(np.unique((owner.astype(np.int64) << BITS) | bins))
-    pairs = np.unique(np.concatenate(found))
-    return pairs >> BITS, pairs & ((1 << BITS) - 1)
+        if known is not None:
+            owner, bins = owner[known[bins]], bins[known[bins]]
+        found.append((owner.astype(np.int64) << BITS) | bins)
+    pairs, times = np.unique(np.concatenate(found), return_counts=True)
+    ids = np.sort(np.concatenate([(pairs[times > k] << 2) | k for k in range(LEVELS)]))
+    return ids >> (BITS + 2), ids & (SPACE - 1)
 
 
 @dataclass
 class Model:
-    column: np.ndarray  # bin to column or -1
+    column: np.ndarray  # term to column or -1
     bias: float
     weight: np.ndarray
     vector: np.ndarray
 
     def score(self, texts: list[bytes]) -> np.ndarray:
-        doc, col = terms(texts, self.column)
-        n = len(texts)
+        doc, term = terms(texts, (self.column >= 0).reshape(-1, 4).any(axis=1))
+        kept = self.column[term] >= 0
+        doc, col, n = doc[kept], self.column[term[kept]], len(texts)
         total = self.bias + np.bincount(doc, self.weight[col], n)
         for v in self.vector.T:
             total += 0.5 * (np.bincount(doc, v[col], n) ** 2 - np.bincount(doc, v[col] ** 2, n))
@@ -63,14 +68,14 @@ def learn(doc: np.ndarray, bins: np.ndarray, label: np.ndarray) -> Model | None:
     n, toxic = len(label), int(label.sum())
     if not 0 < toxic < n:
         return None
-    present = np.bincount(bins, minlength=1 << BITS)
-    both = np.bincount(bins, label[doc], 1 << BITS)
+    present = np.bincount(bins, minlength=SPACE)
+    both = np.bincount(bins, label[doc], SPACE)
     expected = present * toxic / n
     chi = (both - expected) ** 2 / np.maximum(expected * (1 - toxic / n) * (1 - present / n), 1e-9)
     chi[present < MIN_DOCS] = -1
     best = np.sort(np.argsort(-chi, kind="stable")[:TERMS])
     best = best[chi[best] > 0]
-    column = np.full(1 << BITS, -1, np.int32)
+    column = np.full(SPACE, -1, np.int32)
     column[best] = np.arange(len(best))
     x = np.zeros((n, len(best)), np.float32)
     kept = column[bins] >= 0
@@ -96,7 +101,7 @@ def learn(doc: np.ndarray, bins: np.ndarray, label: np.ndarray) -> Model | None:
 
 
 def fit(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE) -> Model | None:
-    """Terms are found by tasks; the driver gets the distinct bins of at most `limit` texts."""
+    """Terms are found by tasks; the driver gets the distinct terms of at most `limit` texts."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
