@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, media, quality, shards, toxicity, warc
+from . import chat, leaks, media, quality, shards, toxicity, warc
 from .storage import stored, table
 
 
@@ -25,6 +25,10 @@ def op8_toxicity_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.rated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_bm25_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     probe = spark.range(2).select(
@@ -43,6 +47,7 @@ def queries() -> dict:
         "op1_media_columns": op1_media_columns,
         "op2_warc_archives": op2_warc_archives,
         "op3_quality_pairs": op3_quality_pairs,
+        "op5_bm25_leaks": op5_bm25_leaks,
         "op7_chat_formatting": op7_chat_formatting,
         "op8_toxicity_fm": op8_toxicity_fm,
         "op10_feistel_shards": op10_feistel_shards,
