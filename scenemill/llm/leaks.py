@@ -13,8 +13,8 @@ pivot exists in that block. Passages that pass for any block go through the pivo
 nothing above the threshold is lost.
 
 A retrieved item is then verified: at least `overlap` of its distinct five-word shingles, and of the
-distinct words of its question and of its answer (its last sentence; in a one-sentence item its last
-third) must stand in the passage. Items of under five words are one shingle.
+distinct words of its question and of its answer (its last sentences, as many as hold five words; if they
+are the whole item, its last third) must stand in the passage. Items of under five words are one shingle.
 
 The index is sent to the tasks in blocks of items of at most INDEX_BYTES of text each, one pass over the
 documents for each; document frequencies are those of all items. Null texts are empty, and no item or
@@ -56,8 +56,10 @@ def shingles(w: np.ndarray, n: int = SHINGLE) -> np.ndarray:
 def halves(text: str) -> tuple[str, str]:
     """Question and answer of an item."""
     parts = _sentence.split(text.strip())
-    if len(parts) > 1:
-        return " ".join(parts[:-1]), parts[-1]
+    for k in range(len(parts) - 1, 0, -1):
+        answer = " ".join(parts[k:])
+        if len(answer.split()) >= SHINGLE:
+            return " ".join(parts[:k]), answer
     held = text.split()
     cut = len(held) - max(1, len(held) // 3)
     return " ".join(held[:cut]), " ".join(held[cut:])
