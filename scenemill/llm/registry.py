@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, leaks, media, quality, shards, toxicity, warc
+from . import chat, leaks, media, nearcopies, quality, shards, toxicity, warc
 from .storage import stored, table
 
 
@@ -38,6 +38,10 @@ def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(stored(chat.format_turns(rows.unionByName(probe)), "chat"))
 
 
+def op9_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearcopies.classes(table(spark, sf_dir, "documents"))
+
+
 def op10_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.assign(table(spark, sf_dir, "documents"), shards=40)
 
@@ -50,6 +54,7 @@ def queries() -> dict:
         "op5_bm25_leaks": op5_bm25_leaks,
         "op7_chat_formatting": op7_chat_formatting,
         "op8_toxicity_fm": op8_toxicity_fm,
+        "op9_dart_minhash": op9_dart_minhash,
         "op10_feistel_shards": op10_feistel_shards,
     }
 
