@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, leaks, media, nearcopies, quality, shards, toxicity, warc
+from . import chat, leaks, media, nearcopies, quality, repeats, shards, toxicity, warc
 from .storage import stored, table
 
 
@@ -29,6 +29,10 @@ def op5_bm25_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op6_repeat_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.removal(table(spark, sf_dir, "documents"))
+
+
 def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     probe = spark.range(2).select(
@@ -52,6 +56,7 @@ def queries() -> dict:
         "op2_warc_archives": op2_warc_archives,
         "op3_quality_pairs": op3_quality_pairs,
         "op5_bm25_leaks": op5_bm25_leaks,
+        "op6_repeat_removal": op6_repeat_removal,
         "op7_chat_formatting": op7_chat_formatting,
         "op8_toxicity_fm": op8_toxicity_fm,
         "op9_dart_minhash": op9_dart_minhash,
