@@ -1,6 +1,6 @@
 """Benchmark decontamination: every training passage is a BM25 query against the test items.
 
-Words are runs of letters and digits, ASCII lowered. Documents are cut into passages of 2L words, L
+Words are runs of letters and digits of the text in lower case. Documents are cut into passages of 2L words, L
 apart, L being the longest item's words (MIN_WORDS at least), so each run of up to L words lies whole in
 some passage. An item's score is its BM25 score for the passage's distinct words divided by its score
 for its own, so 1 means every word of it is there; all items of at least `threshold` are retrieved.
@@ -53,6 +53,10 @@ def shingles(w: np.ndarray, n: int = SHINGLE) -> np.ndarray:
     return h
 
 
+def plain(text: str | None) -> bytes:
+    return (text or "").lower().encode()
+
+
 def halves(text: str) -> tuple[str, str]:
     """Question and answer of an item."""
     parts = _sentence.split(text.strip())
@@ -67,7 +71,7 @@ def halves(text: str) -> tuple[str, str]:
 
 @dataclass
 class Item:
-    item_id: int
+    item_id: int | None
     words: np.ndarray
     shingles: np.ndarray
     question: np.ndarray
@@ -93,9 +97,9 @@ class Index:
 
 
 def build(rows: list[tuple[int, str]], frequency: dict[int, int], total: int, mean: float, longest: int) -> Index:
-    texts = [t.encode() for _, t in rows]
+    texts = [plain(t) for _, t in rows]
     split = [halves(t) for _, t in rows]
-    sides = [[np.unique(w) for _, w in words_by_text([s[k].encode() for s in split], ALNUM)] for k in (0, 1)]
+    sides = [[np.unique(w) for _, w in words_by_text([plain(s[k]) for s in split], ALNUM)] for k in (0, 1)]
     items = [Item(rows[i][0], w, np.unique(shingles(w)), sides[0][i], sides[1][i]) for i, w in words_by_text(texts, ALNUM)]
     terms, owners, shares = [], [], []
     for i, it in enumerate(items):
@@ -211,7 +215,7 @@ def _term_rows(items: DataFrame) -> DataFrame:
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, w in words_by_text([t.encode() for t in batch.column(0).to_pylist()], ALNUM):
+            for _, w in words_by_text([plain(t) for t in batch.column(0).to_pylist()], ALNUM):
                 t = np.unique(w).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(t), pa.array(np.full(len(t), len(w)))], names=["term", "n_words"])
 
@@ -220,9 +224,21 @@ def _term_rows(items: DataFrame) -> DataFrame:
 
 def find_leaks(docs: DataFrame, items: DataFrame, threshold: float = 0.7, overlap: float = 0.8) -> DataFrame:
     """A row per document and test item that it holds: doc_id, item_id, score, shingle_overlap, question_overlap, answer_overlap, n_passages."""
-    spark = docs.sparkSession
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, item_id long, score double, shingle_overlap double, question_overlap double, answer_overlap double, n_passages long"
+    searched = [docs.select("doc_id", "text").mapInArrow(_searcher(ix, threshold, overlap), schema) for ix in indexes(items)]
+    return reduce(DataFrame.unionByName, searched)
+
+
+def without_leaks(docs: DataFrame, items: DataFrame, threshold: float = 0.7, overlap: float = 0.8) -> DataFrame:
+    """The rows of docs that hold no test item."""
+    for ix in indexes(items):
+        docs = docs.mapInArrow(_sieve(ix, docs.columns.index("text"), threshold, overlap), docs.schema)
+    return docs
+
+
+def indexes(items: DataFrame) -> Iterator[Index]:
+    """An index for each block of items; only one block is on the driver at a time."""
     items = items.where(F.col("text").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), "text")
     size = items.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()[0]
     n_blocks = max(1, -(-size // INDEX_BYTES))
@@ -230,21 +246,18 @@ def find_leaks(docs: DataFrame, items: DataFrame, threshold: float = 0.7, overla
     total = items.count()
     frequencies = stored(_term_rows(items).groupBy("term").agg(F.count("*").alias("df")), "item-terms")
     lengths = _lengths(items).agg(F.coalesce(F.avg("n"), F.lit(1.0)), F.coalesce(F.max("n"), F.lit(0))).first()
-    parts = []
     for part in range(n_blocks):
         block = items.where(F.col("part") == part)  # of about INDEX_BYTES of text
-        rows = sorted((r["item_id"] is None, r["item_id"], r["text"]) for r in block.collect())
+        rows = sorted((r["item_id"] is None, r["item_id"] or 0, r["text"]) for r in block.collect())
         known = _term_rows(block).select("term").distinct()
         df = {r["term"]: r["df"] for r in frequencies.join(known, "term").collect()}
-        ix = build([(r[1], r[2]) for r in rows], df, total, max(1.0, lengths[0]), lengths[1])
-        parts.append(docs.select("doc_id", "text").mapInArrow(_searcher(ix, threshold, overlap), schema))
-    return reduce(DataFrame.unionByName, parts)
+        yield build([(None if none else i, t) for none, i, t in rows], df, total, max(1.0, lengths[0]), lengths[1])
 
 
 def _lengths(items: DataFrame) -> DataFrame:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([len(w) for _, w in words_by_text([t.encode() for t in batch.column(0).to_pylist()], ALNUM)], pa.int64())], names=["n"])
+            yield pa.RecordBatch.from_arrays([pa.array([len(w) for _, w in words_by_text([plain(t) for t in batch.column(0).to_pylist()], ALNUM)], pa.int64())], names=["n"])
 
     return items.select("text").mapInArrow(rows, "n long")
 
@@ -256,10 +269,20 @@ def _searcher(ix: Index, threshold: float, overlap: float):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in (batch.slice(i, 500) for i in range(0, batch.num_rows, 500)):
-                texts = [(t or "").encode() for t in part.column(1).to_pylist()]
+                texts = [plain(t) for t in part.column(1).to_pylist()]
                 found = [(i, ix.items[k].item_id, *v) for i, w in words_by_text(texts, ALNUM) for k, v in search(ix, w, threshold, overlap).items()]
                 if found:
                     columns = list(zip(*found))
                     yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(columns[0])), *[pa.array(c, t) for c, t in zip(columns[1:], types[1:])]], names=names)
 
     return rows
+
+
+def _sieve(ix: Index, where: int, threshold: float, overlap: float):
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in (batch.slice(i, 500) for i in range(0, batch.num_rows, 500)):
+                texts = [plain(t) for t in part.column(where).to_pylist()]
+                yield part.filter(pa.array([not search(ix, w, threshold, overlap) for _, w in words_by_text(texts, ALNUM)], pa.bool_()))
+
+    return rows

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, leaks, media, nearcopies, quality, repeats, shards, toxicity, warc
+from . import bpe, chat, leaks, media, nearcopies, quality, repeats, shards, toxicity, warc
 from .storage import stored, table
 
 
@@ -25,6 +27,11 @@ def op8_toxicity_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.rated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_bpe_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    return bpe.digests(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
+
+
 def op5_bm25_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -55,12 +62,14 @@ def queries() -> dict:
         "op1_media_columns": op1_media_columns,
         "op2_warc_archives": op2_warc_archives,
         "op3_quality_pairs": op3_quality_pairs,
+        "op4_bpe_words": op4_bpe_words,
         "op5_bm25_leaks": op5_bm25_leaks,
         "op6_repeat_removal": op6_repeat_removal,
         "op7_chat_formatting": op7_chat_formatting,
         "op8_toxicity_fm": op8_toxicity_fm,
         "op9_dart_minhash": op9_dart_minhash,
         "op10_feistel_shards": op10_feistel_shards,
+        "pipeline": corpus_pipeline.run,
     }
 
 

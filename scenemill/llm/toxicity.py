@@ -1,6 +1,6 @@
 """Toxicity by a factorization machine over hashed terms.
 
-A term is a run of letters and digits, ASCII lowered, or its first 3 to 7 bytes if it is longer, so that
+A term is a run of letters and digits of the text in lower case, or its first 3 to 7 bytes if it is longer, so that
 inflected forms share terms; each is hashed to one of 2**18 bins. A second and a third occurrence in a
 document are terms of their own. The terms that tell the
 labels apart best in the sample (by chi-square, TERMS at most, in MIN_DOCS documents at least) get a
@@ -106,7 +106,7 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE) -> Model | None
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in (batch.slice(i, 200) for i in range(0, batch.num_rows, 200)):
-                texts = [t.encode() for t in part.column(0).to_pylist()]
+                texts = [t.lower().encode() for t in part.column(0).to_pylist()]
                 doc, bins = terms(texts)
                 cuts = np.searchsorted(doc, np.arange(len(texts) + 1))
                 packed = [bins[a:b].astype("<i4").tobytes() for a, b in zip(cuts[:-1], cuts[1:])]
@@ -126,7 +126,7 @@ def rated(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFra
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            text = [(t or "").encode() for t in batch.column(1).to_pylist()]
+            text = [(t or "").lower().encode() for t in batch.column(1).to_pylist()]
             value = np.zeros(len(text)) if model is None else model.score(text)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(value, pa.float64())], names=["doc_id", "score"])
 
