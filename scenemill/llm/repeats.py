@@ -37,7 +37,8 @@ from pyspark.sql import functions as F
 from .bytehash import mix, running_sum, span_hash
 from .storage import stored
 
-LENGTH, GRAM, GROUP = 100, 32, 400
+# GROUP segments are about 2 MB and a few seconds of scanning at worst
+LENGTH, GRAM, GROUP = 100, 32, 10_000
 SLICE = 1 << 22
 FIRST_ID = -(1 << 63)
 
