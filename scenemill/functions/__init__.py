@@ -1 +1 @@
-
+"""Column expressions for boxes and polygons."""

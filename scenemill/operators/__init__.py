@@ -1 +1 @@
-
+"""Operators of scene scoring and dataset curation."""

@@ -1,4 +1,6 @@
 """Every query of the scoring and curation operators, with the SQL it is compared with."""
 
-QUERIES = {}
-ORACLE_SQL = {}
+from . import curating, scoring
+
+QUERIES = {**scoring.QUERIES, **curating.QUERIES}
+ORACLE_SQL = {**scoring.ORACLE_SQL, **curating.ORACLE_SQL}
