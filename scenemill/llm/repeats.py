@@ -285,8 +285,10 @@ def repeated_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def _with_spans(docs: DataFrame) -> DataFrame:
+    """docs with `_spans`, whatever its own columns are called."""
     keyed, spans = repeated_spans(docs)
-    return keyed.join(spans, (F.col("_doc") == F.col("doc")) & (F.col("_crc") == F.col("crc")), "left").drop("doc", "crc", "_doc", "_crc")
+    found = spans.toDF("_d", "_c", "_spans")
+    return keyed.join(found, (F.col("_doc") == F.col("_d")) & (F.col("_crc") == F.col("_c")), "left").drop("_doc", "_crc", "_d", "_c")
 
 
 def _cut(text: bytes, spans: list | None) -> tuple[np.ndarray, np.ndarray]:
@@ -310,7 +312,7 @@ def removal(docs: DataFrame) -> DataFrame:
             if out:
                 yield _columns(["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"], batch.column(0), *zip(*out))
 
-    return _with_spans(docs.select("doc_id", "text")).select("doc_id", "text", "spans").mapInArrow(rows, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return _with_spans(docs.select("doc_id", "text")).select("doc_id", "text", "_spans").mapInArrow(rows, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
@@ -341,4 +343,4 @@ def without_repeats(docs: DataFrame) -> DataFrame:
             columns[where] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return _with_spans(docs).select(*names, "spans").mapInArrow(rows, schema)
+    return _with_spans(docs).select(*names, "_spans").mapInArrow(rows, schema)
