@@ -9,9 +9,9 @@ are joined in, position by position. Decoding joins the token-byte table: ids ar
 bytes put in a row.
 
 A very common word costs a row per block, not one per occurrence. Words and positions come from two passes
-over the documents, which costs less than shuffling positions with words. A block's name is a digest of its
-numbered words, so if a pass met other rows (a source that changed meanwhile) the words are missing and
-the job fails; it cannot go wrong in silence.
+over the documents, which costs less than shuffling positions with words. A block is named by the digest of
+its numbered words, which must equal that of the words decoded from their ids: if the passes met other rows
+(a source that changed meanwhile) the job fails and cannot go wrong in silence.
 
 The ranks, a fixed file, go to every task; the driver opens the file, and it is never copied elsewhere.
 
@@ -26,6 +26,8 @@ import hashlib
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -62,26 +64,78 @@ def merge(word: bytes, ranks: dict[bytes, int]) -> list[int]:
             joined[at] = ranks.get(parts[at] + parts[at + 1])
 
 
+class _Pieces(dict):
+    """What stands between two plain single spaces, to a number; each new one is cut into words, once a block.
+
+    One that is empty or has white space at an end gets -1: the space beside it is not a plain one.
+    """
+
+    def __init__(self, cut) -> None:
+        self.cut, self.words, self.ended = cut, [], {}
+
+    def whole(self, piece: str) -> int:
+        """The number of a piece of which no more can be said, as the last of a text that ends with white space."""
+        number = self[piece]
+        if number < 0:
+            number = self.ended.setdefault(piece, len(self.words))
+            if number == len(self.words):
+                self.words.append(self.cut(" " + piece))
+        return number
+
+    def __missing__(self, piece: str) -> int:
+        if not piece or piece[0].isspace() or piece[-1].isspace():
+            number = -1
+        else:
+            number = len(self.words)
+            self.words.append(self.cut(" " + piece))
+        self[piece] = number
+        return number
+
+
 class Words:
-    """Numbers of the distinct words of a block, by order of appearance."""
+    """The distinct words of a block's texts, numbered by falling frequency, those met first before others."""
 
     def __init__(self, pattern: regex.Pattern) -> None:
-        self.pattern, self.number, self.after_space = pattern, {}, {}
+        self.pattern, self.number, self.pieces = pattern, {}, _Pieces(self._cut)
+        self.firsts: list[list[int]] = []
+        self.rest: list[np.ndarray] = []
 
     def _cut(self, text: str) -> list[int]:
         return [self.number.setdefault(w, len(self.number)) for w in self.pattern.findall(text)]
 
-    def of(self, text: str) -> np.ndarray:
-        """The words of a text. What stands between plain single spaces is cut once a block."""
-        first, *rest = _gap.split(text)
-        numbers = self._cut(first)
-        known = self.after_space
-        for piece in rest:
-            found = known.get(piece)
-            if found is None:
-                found = known[piece] = self._cut(" " + piece)
-            numbers += found
-        return np.array(numbers, "<u4")
+    def add(self, text: str) -> None:
+        parts = text.split(" ")
+        found = self._numbers(parts[1:])
+        if len(found) and found.min() < 0 or parts[0][-1:].isspace() or len(parts) > 1 and not parts[0]:
+            parts = _gap.split(text)
+            found = np.array([self.pieces.whole(p) for p in parts[1:]], np.int64)
+        self.firsts.append(self._cut(parts[0]))
+        self.rest.append(found)
+
+    def _numbers(self, parts: list[str]) -> np.ndarray:
+        if len(parts) < 2:
+            return np.array([self.pieces[p] for p in parts], np.int64)
+        return np.array(itemgetter(*parts)(self.pieces), np.int64)
+
+    def close(self) -> tuple[list[bytes], np.ndarray]:
+        """The words in order of their numbers, and the numbers by order of appearance."""
+        self.sizes = np.array([len(x) for x in self.pieces.words], np.int64)
+        self.flat = np.fromiter(chain.from_iterable(self.pieces.words), np.int64, int(self.sizes.sum()))
+        times = np.bincount(np.concatenate(self.rest), minlength=len(self.sizes))
+        held = list(self.number)
+        counts = np.bincount(self.flat, np.repeat(times, self.sizes), len(held)) + np.bincount(np.fromiter(chain.from_iterable(self.firsts), np.int64), minlength=len(held))
+        order = np.argsort(-counts, kind="stable")
+        rank = np.empty(len(held), np.uint32)
+        rank[order] = np.arange(len(held))
+        return [held[i].encode() for i in order.tolist()], rank
+
+    def numbers(self, rank: np.ndarray) -> Iterator[np.ndarray]:
+        """Of each text its words' numbers in order."""
+        starts, ranked = np.append(0, np.cumsum(self.sizes)), rank[self.flat]
+        for first, piece in zip(self.firsts, self.rest):
+            n = self.sizes[piece]
+            at = np.repeat(starts[piece] - np.cumsum(n) + n, n) + np.arange(n.sum())
+            yield np.concatenate([rank[np.array(first, np.int64)], ranked[at]])
 
 
 @lru_cache(1)
@@ -89,31 +143,30 @@ def _pattern(text: str) -> regex.Pattern:
     return regex.compile(text)
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], pattern: str) -> Iterator[tuple[int, list[bytes], list, list[np.ndarray]]]:
-    """(name, words by number, doc_ids, numbers of each document) of each block."""
+def _digest(words: list[bytes]) -> int:
+    digest = hashlib.blake2b(digest_size=8)
+    for at in range(0, len(words), 4096):
+        part = words[at : at + 4096]
+        digest.update(np.array([len(w) for w in part], "<u4").tobytes() + b"".join(part))
+    return int.from_bytes(digest.digest(), "big", signed=True)
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], pattern: str) -> Iterator[tuple[int, list[bytes], list, Iterator[np.ndarray]]]:
+    """(digest of the words, words in order of their numbers, doc_ids, words' numbers of each document) of each block."""
 
     def close():
-        held, counts = list(words.number), np.zeros(len(words.number), np.int64)
-        for x in texts:
-            counts += np.bincount(x, minlength=len(held))
-        by_rank = sorted(range(len(held)), key=lambda i: (-counts[i], held[i]))
-        rank = np.empty(len(held), np.uint32)
-        rank[by_rank] = np.arange(len(held))
-        ordered = [held[i].encode() for i in by_rank]
-        digest = hashlib.blake2b(digest_size=8)
-        for w in ordered:
-            digest.update(len(w).to_bytes(4, "big") + w)
-        return int.from_bytes(digest.digest(), "big", signed=True), ordered, ids, [rank[x] for x in texts]
-
-    words, size, ids, texts = Words(_pattern(pattern)), 0, [], []
+        ordered, rank = words.close()
+        return _digest(ordered), ordered, ids, words.numbers(rank)
+
+    words, size, ids = Words(_pattern(pattern)), 0, []
     for batch in batches:
         for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             ids.append(doc)
-            texts.append(words.of(text or ""))
+            words.add(text or "")
             size += len(text or "")
             if size >= BLOCK or len(words.number) >= MAX_WORDS:
                 yield close()
-                words, size, ids, texts = Words(words.pattern), 0, [], []
+                words, size, ids = Words(words.pattern), 0, []
     if ids:
         yield close()
 
@@ -129,39 +182,46 @@ def unpack(packed: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view("<u4").ravel()
 
 
+LAST = (1 << 31) - 1  # the place after all of a block's words
+
+
 def distinct_words(docs: DataFrame, pattern: str) -> DataFrame:
-    """block, number, word."""
-    names = ["block", "number", "word"]
+    """block (the digest of its words), number, word."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for name, words, _, _ in _blocks(batches, pattern):
+        for block, words, _, _ in _blocks(batches, pattern):
             for at in range(0, len(words), 20_000):
                 part = words[at : at + 20_000]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(part), name)), pa.array(np.arange(at, at + len(part), dtype=np.int32)), pa.array(part, pa.binary())], names=names
-                )
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), block)), pa.array(np.arange(at, at + len(part), dtype=np.int32)), pa.array(part, pa.binary())], names=["block", "number", "word"])
 
     return docs.select("doc_id", "text").mapInArrow(rows, "block long, number int, word binary")
 
 
 def positions(docs: DataFrame, pattern: str) -> DataFrame:
-    """block, doc_ids, sizes, numbers: some documents of a block a row, with the numbers of their words in order, packed."""
-    names = ["block", "doc_ids", "sizes", "numbers"]
+    """block, number (LAST), body: some documents of a block a row, their ids, sizes and word numbers packed."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for name, _, ids, texts in _blocks(batches, pattern):
+        for block, _, ids, numbers in _blocks(batches, pattern):
+            texts = list(numbers)
             for at in range(0, len(ids), CHUNK):
-                part = texts[at : at + CHUNK]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([name]), pa.array([ids[at : at + CHUNK]], pa.list_(pa.int64())), pa.array([[len(x) for x in part]], pa.list_(pa.int32())), pa.array([pack(np.concatenate(part))])],
-                    names=names,
-                )
+                part, here = texts[at : at + CHUNK], ids[at : at + CHUNK]
+                known = np.array([i is not None for i in here])
+                head = [np.array([len(here)], "<i4"), np.array([i or 0 for i in here], "<i8"), known, np.array([len(x) for x in part], "<i4")]
+                body = b"".join(x.tobytes() for x in head) + pack(np.concatenate(part))
+                yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([LAST], pa.int32()), pa.array([body], pa.binary())], names=["block", "number", "body"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(rows, "block long, doc_ids array<long>, sizes array<int>, numbers binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(rows, "block long, number int, body binary")
+
+
+def _unpacked(body: bytes) -> tuple[list, np.ndarray, np.ndarray]:
+    """Ids, sizes and word numbers of some documents."""
+    n = int(np.frombuffer(body, "<i4", 1)[0])
+    ids, known, sizes = np.frombuffer(body, "<i8", n, 4), np.frombuffer(body, "?", n, 4 + 8 * n), np.frombuffer(body, "<i4", n, 4 + 9 * n)
+    return [i if k else None for i, k in zip(ids.tolist(), known.tolist())], sizes, unpack(body[4 + 13 * n :])
 
 
 def encode_words(words: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
-    """block, number, ids: the ids of each word, found once for each distinct one."""
+    """block, number, body: the ids of each word (four bytes each), found once for each distinct word."""
     shared = words.sparkSession.sparkContext.broadcast(ranks)  # the fixed table of the tokenizer
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,73 +232,80 @@ def encode_words(words: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
                 if word != last:
                     last, ids = word, np.array(merge(word, shared.value), "<u4").tobytes()
                 out.append(ids)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], names=["block", "number", "ids"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], names=["block", "number", "body"])
 
-    return words.repartition("word").sortWithinPartitions("word").mapInArrow(rows, "block long, number int, ids binary")
+    return words.repartition("word").sortWithinPartitions("word").mapInArrow(rows, "block long, number int, body binary")
 
 
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, piece, make, schema: str) -> DataFrame:
-    """Encode every text. piece(ids, decoded bytes) is kept for each word of a block; make(doc_ids, pieces) gives
-    the columns of `schema` for some documents, each a list of pieces, one per word in order."""
+    """Encode every text. piece(ids, decoded bytes) is a tuple kept for each word of a block; make(doc_ids, columns, orders)
+    gives the columns of `schema` for some documents: columns are the tuples' parts by word number, orders the
+    word numbers of each document in order."""
     token_bytes = docs.sparkSession.sparkContext.broadcast({i: t for t, i in ranks.items()})  # fixed as well
-    coded = encode_words(distinct_words(docs, pattern), ranks)
-    placed = positions(docs, pattern)
-    both = coded.select("block", "number", "ids", F.lit(None).cast("array<long>").alias("doc_ids"), F.lit(None).cast("array<int>").alias("sizes"), F.lit(None).cast("binary").alias("numbers")).unionByName(
-        placed.select("block", F.lit(None).cast("int").alias("number"), F.lit(None).cast("binary").alias("ids"), "doc_ids", "sizes", "numbers")
-    )
+    both = encode_words(distinct_words(docs, pattern), ranks).unionByName(positions(docs, pattern))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, pieces = None, []
         table = token_bytes.value
+        high, open_blocks = None, {}
         for batch in batches:
-            for name, number, ids, docs_here, sizes, packed in zip(*(c.to_pylist() for c in batch.columns)):
-                if name != block:
-                    block, pieces = name, []
-                if number is not None:
-                    if number == len(pieces):
-                        found = np.frombuffer(ids, "<u4").tolist()
-                        pieces.append(piece(found, b"".join([table[i] for i in found])))
-                    elif number > len(pieces):
+            for block, number, body in zip(*(c.to_pylist() for c in batch.columns[:3])):
+                if block & 0xFFFFFFFF != high:  # blocks alike in these bits come mixed
+                    high, open_blocks = block & 0xFFFFFFFF, {}
+                if block not in open_blocks:
+                    open_blocks[block] = [], [], []
+                pieces, words, checked = open_blocks[block]
+                if number != LAST:
+                    if number > len(pieces):
                         raise ValueError(f"block {block}: word {len(pieces)} is missing")
+                    if number == len(pieces):  # else of an equal block
+                        ids = np.frombuffer(body, "<u4").tolist()
+                        words.append(b"".join([table[i] for i in ids]))
+                        pieces.append(piece(ids, words[-1]))
                     continue
-                order = unpack(packed).tolist()
-                if order and max(order) >= len(pieces):
-                    raise ValueError(f"block {block}: {len(pieces)} words came, number {max(order)} is used")
-                held, at = [], 0
-                for n in sizes:
-                    held.append([pieces[k] for k in order[at : at + n]])
-                    at += n
-                yield make(docs_here, held)
+                if not checked:
+                    if _digest(words) != block:
+                        raise ValueError(f"block {block}: its words are not those that its documents were numbered by")
+                    checked.append(list(zip(*pieces)) or [()] * 3)
+                docs_here, sizes, order = _unpacked(body)
+                yield make(docs_here, checked[0], np.split(order, np.cumsum(sizes)[:-1]))
+
+    # one key of 64 bits, which Spark sorts by radix
+    slot = F.shiftleft("block", 32).bitwiseOR(F.col("number").cast("long"))
+    return both.repartition("block").withColumn("slot", slot).sortWithinPartitions("slot").mapInArrow(rows, schema)
+
 
-    return both.repartition("block").sortWithinPartitions("block", F.col("number").asc_nulls_last()).mapInArrow(rows, schema)
+def _joined(column: tuple[bytes, ...], order: np.ndarray) -> bytes:
+    return b"".join(map(column.__getitem__, order.tolist()))
 
 
 def digests(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row."""
 
-    def make(ids, held):
+    def make(ids, columns, orders):
+        sizes = np.array(columns[0], np.int64)
         return pa.RecordBatch.from_arrays(
             [
-                pa.array(ids, pa.int64()), pa.array([sum(p[0] for p in x) for x in held], pa.int64()),
-                pa.array([hashlib.sha256(b"".join([p[1] for p in x])[1:]).hexdigest() for x in held]),
-                pa.array([hashlib.sha256(b"".join([p[2] for p in x])).hexdigest() for x in held]),
+                pa.array(ids, pa.int64()), pa.array([int(sizes[x].sum()) for x in orders], pa.int64()),
+                pa.array([hashlib.sha256(_joined(columns[1], x)[1:]).hexdigest() for x in orders]),
+                pa.array([hashlib.sha256(_joined(columns[2], x)).hexdigest() for x in orders]),
             ],
             names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
         )
 
-    piece = lambda ids, decoded: (len(ids), "".join(f" {i}" for i in ids).encode(), decoded)
+    names = {i: f" {i}".encode() for i in ranks.values()}
+    piece = lambda ids, decoded: (len(ids), b"".join([names[i] for i in ids]), decoded)
     return encode(docs, ranks, pattern, piece, make, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def tokens(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
     """doc_id, n_tokens, ids, decoded_sha256 of every row."""
 
-    def make(ids, held):
-        flat = [np.frombuffer(b"".join([p[0] for p in x]), "<i4") for x in held]
+    def make(ids, columns, orders):
+        flat = [np.frombuffer(_joined(columns[0], x), "<i4") for x in orders]
         return pa.RecordBatch.from_arrays(
             [
                 pa.array(ids, pa.int64()), pa.array([len(x) for x in flat], pa.int64()), pa.array(flat, pa.list_(pa.int32())),
-                pa.array([hashlib.sha256(b"".join([p[1] for p in x])).hexdigest() for x in held]),
+                pa.array([hashlib.sha256(_joined(columns[1], x)).hexdigest() for x in orders]),
             ],
             names=["doc_id", "n_tokens", "ids", "decoded_sha256"],
         )
