@@ -54,8 +54,9 @@ def ray_ranges(rooms: DataFrame, key: str, columns: int, ring: str = "ring") ->
     ex, ey = F.col("q")[0] - F.col("p")[0], F.col("q")[1] - F.col("p")[1]
     px, py = F.col("p")[0] - F.col("cx"), F.col("p")[1] - F.col("cy")
     cross = ux * ey - uy * ex
-    along, share = (px * ey - py * ex) / cross, (px * uy - py * ux) / cross
-    hit = F.when((F.abs(cross) > 1e-12) & (along >= 0) & (share >= 0) & (share <= 1), along)
+    meets = F.when(F.abs(cross) > 1e-12, cross)
+    along, share = (px * ey - py * ex) / meets, (px * uy - py * ux) / meets
+    hit = F.when((along >= 0) & (share >= 0) & (share <= 1), along)
     return rays.groupBy(key, "col").agg(F.min(hit).alias("distance"))
 
 

@@ -1 +1 @@
-
+"""Readers of scenes, predictions and meshes."""
