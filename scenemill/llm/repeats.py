@@ -229,13 +229,19 @@ def _scan_suffixes(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     out: list[tuple] = []
 
     def close():
+        # all spans of one segment hold the anchor, so together they are one span
         contexts = [(g["bytes"][: g["place"] - g["start"]][::-1], g["bytes"][g["place"] - g["start"] :]) for g in group]
+        reach: dict[int, tuple[int, int]] = {}
         for left, right, members in maximal_repeats(contexts):
             first = min(members)
-            out.extend((group[i]["doc"], group[i]["crc"], group[i]["place"] - left, group[i]["place"] + right) for i in members if i != first)
+            for i in members:
+                if i != first:
+                    l, r = reach.get(i, (0, 0))
+                    reach[i] = max(l, left), max(r, right)
+        out.extend((group[i]["doc"], group[i]["crc"], group[i]["place"] - l, group[i]["place"] + r) for i, (l, r) in reach.items())
 
     def flush():
-        columns = list(zip(*set(out)))
+        columns = list(zip(*out))
         out.clear()
         return _columns(["doc", "crc", "start", "stop"], pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.int32()), pa.array(columns[3], pa.int32()))
 
