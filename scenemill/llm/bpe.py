@@ -93,7 +93,7 @@ class _Pieces(dict):
 
 
 class Words:
-    """The distinct words of a block's texts, numbered by falling frequency, those met first before others."""
+    """The distinct words of a block's texts, numbered by falling frequency, then by word."""
 
     def __init__(self, pattern: regex.Pattern) -> None:
         self.pattern, self.number, self.pieces = pattern, {}, _Pieces(self._cut)
@@ -124,7 +124,9 @@ class Words:
         times = np.bincount(np.concatenate(self.rest), minlength=len(self.sizes))
         held = list(self.number)
         counts = np.bincount(self.flat, np.repeat(times, self.sizes), len(held)) + np.bincount(np.fromiter(chain.from_iterable(self.firsts), np.int64), minlength=len(held))
-        order = np.argsort(-counts, kind="stable")
+        # ties by word: likeness of neighbours is what the shuffle's compression lives on
+        by_word = np.array(sorted(range(len(held)), key=held.__getitem__), np.int64)
+        order = by_word[np.argsort(-counts[by_word], kind="stable")]
         rank = np.empty(len(held), np.uint32)
         rank[order] = np.arange(len(held))
         return [held[i].encode() for i in order.tolist()], rank
