@@ -12,14 +12,14 @@ where a coordinate is still empty. Coordinates agree with the chance of the simi
 ROWS coordinates find a pair of similarity 0.8 with chance 1 - (1 - 0.8**5)**25 = 0.99995.
 
 Groups. Equal texts are one class from the start, by MD5 and length. In each band every class is paired
-with the least of its bucket, so pairs grow with the rows, not with their square. Pairs are checked against
-the shingles themselves: first one for each class, with the partner of most bands; then, after the links
-found are followed, those pairs that would still join two groups. Groups are the connected components
-of the verified links.
+with the least of its bucket. Pairs are checked against the shingles themselves: first one for each class,
+with the partner of most bands; then, after the links found are followed, those pairs that would still join
+two groups. Groups are the connected components of the verified links.
 
-A bucket's members are compared with its least only: if that one is unlike, another bucket must bring
-two members together, so a link may be lost where one text stands between. Tests hold groups against
-brute force.
+Where a bucket's members, its least aside, are still of unlike groups, all of them are compared with each
+other: in blocks of BLOCK members or BLOCK_BYTES of regions, each pair of blocks in a cell of its own, overlaps
+counted by matrix products. So every pair that shares a bucket is checked or in one group already. Cells
+grow with the square of such a bucket, and go to as many tasks. Tests hold groups against brute force.
 
 Null texts are empty; texts without words are copies of equal texts only. Rows that share a doc_id are one
 document with all their texts. A null doc_id has a null class. Other columns are not read.
@@ -40,6 +40,7 @@ from .storage import stored
 
 BANDS, ROWS, SIMILARITY = 25, 5, 0.8
 K = BANDS * ROWS
+BLOCK, BLOCK_BYTES, COLUMNS = 512, 4 << 20, 2048
 
 
 def regions(w: np.ndarray) -> np.ndarray:
@@ -139,6 +140,74 @@ def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return pairs.join(one, "b").join(other, "a").select("a", "b", "x", "y").mapInArrow(rows, "a long, b long").distinct()
 
 
+def linked_labels(label: np.ndarray, held: list[np.ndarray], side: np.ndarray, similarity: float) -> set[tuple[int, int]]:
+    """Pairs of unlike labels that a similar pair of sets joins: one of each side, or any two where all are of one side."""
+    if (label == label[0]).all():
+        return set()
+    a = np.flatnonzero(side == side.min())
+    b = np.flatnonzero(side == side.max())
+    sizes = np.array([len(x) for x in held])
+    token, column = np.unique(np.concatenate(held), return_inverse=True)
+    owner = np.repeat(np.arange(len(held)), sizes)
+    in_a, in_b = (np.bincount(column[side[owner] == x], minlength=len(token)) for x in (side.min(), side.max()))
+    shared = (in_a > 0) & (in_b > 0) & ((in_a > 1) | (len(a) < len(held)))
+    number = np.cumsum(shared) - 1
+    use = shared[column]
+    owner, column = owner[use], number[column[use]]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    both = np.zeros((len(a), len(b)), np.float32)
+    for at in range(0, int(shared.sum()), COLUMNS):
+        lo, hi = np.searchsorted(column, [at, at + COLUMNS])
+        x = np.zeros((len(held), COLUMNS), np.float32)
+        x[owner[lo:hi], column[lo:hi] - at] = 1
+        both += x[a] @ x[b].T
+    both = both.astype(float)
+    near = both >= similarity * (sizes[a][:, None] + sizes[b] - both) - 1e-9
+    i, j = np.nonzero(near & (label[a][:, None] != label[b]))
+    p, q = label[a][i], label[b][j]
+    return set(zip(np.minimum(p, q).tolist(), np.maximum(p, q).tolist()))
+
+
+def _joined_labels(members: DataFrame, sets: DataFrame, groups: DataFrame, similarity: float) -> DataFrame:
+    """a, b: labels of groups joined by a similar pair of one bucket, of buckets whose members (band, id) are of unlike groups."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, cell = None, []
+
+        def close() -> pa.RecordBatch:
+            found = linked_labels(
+                np.array([c[0] for c in cell], np.int64), [np.frombuffer(c[2], "<u4") for c in cell], np.array([c[1] for c in cell]), similarity
+            )
+            return pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+        for batch in batches:
+            for band, i, j, *rest in zip(*(c.to_pylist() for c in batch.columns)):
+                if key != (band, i, j):
+                    if cell:
+                        yield close()
+                    key, cell = (band, i, j), []
+                cell.append(rest)
+        if cell:
+            yield close()
+
+    labelled = members.select("band", "id").distinct().join(groups, "id", "left").select("band", "id", F.coalesce("label", "id").alias("label"))
+    mixed = labelled.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("band")
+    unlike = stored(
+        labelled.join(mixed, "band").join(sets.groupBy("id").agg(F.sum(F.octet_length("regions")).alias("size")), "id"), "unlike"
+    )
+    blocks = unlike.groupBy("band").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("size") / BLOCK_BYTES)).alias("blocks"))
+    own = F.pmod(F.xxhash64("id"), F.greatest("blocks", F.lit(1)))
+    cells = (
+        unlike.join(blocks, "band").select("band", "id", "label", own.alias("p"), F.explode(F.sequence(F.lit(0).cast("long"), F.greatest("blocks", F.lit(1)) - 1)).alias("q"))
+        .select("band", F.least("p", "q").alias("i"), F.greatest("p", "q").alias("j"), "label", F.when(F.col("p") > F.col("q"), 1).otherwise(0).alias("side"), "id")
+    )
+    return (
+        cells.join(sets.select("id", "regions"), "id").select("band", "i", "j", "label", "side", "regions")
+        .repartition("band", "i", "j").sortWithinPartitions("band", "i", "j").mapInArrow(rows, "a long, b long").distinct()
+    )
+
+
 def components(links: DataFrame) -> DataFrame:
     """id, label: of each linked id, the least id it is connected to.
 
@@ -168,7 +237,8 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     later = repeated.where("id <> rep").distinct()
     bands = stored(_band_rows(rows.where("id is not null")), "bands").join(later.select("id").distinct(), "id", "left_anti")
     least = bands.groupBy("band").agg(F.min("id").alias("a"), F.count("*").alias("times")).where("times > 1").drop("times")
-    edges = stored(bands.join(least, "band").where("id <> a").groupBy("a", F.col("id").alias("b")).agg(F.count("*").alias("n")), "edges")
+    members = stored(bands.join(least, "band").where("id <> a"), "members")
+    edges = stored(members.groupBy("a", F.col("id").alias("b")).agg(F.count("*").alias("n")), "edges")
     near = edges.select(F.col("a").alias("id")).union(edges.select("b")).distinct()
     sets = stored(_region_rows(rows.join(near, "id", "left_semi")), "regions")
     first = edges.groupBy("b").agg(F.max_by("a", F.struct("n", -F.col("a"))).alias("a")).select("a", "b")
@@ -179,7 +249,8 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
         edges.join(first, ["a", "b"], "left_anti").join(side("a"), "a", "left").join(side("b"), "b", "left")
         .where(F.coalesce("a_label", "a") != F.coalesce("b_label", "b")).select("a", "b")
     )
-    links = found.union(_similar(rest, sets, similarity)).union(later.select(F.col("rep").alias("a"), F.col("id").alias("b")))
+    joined = _joined_labels(members, sets, groups, similarity)
+    links = found.union(_similar(rest, sets, similarity)).union(joined).union(later.select(F.col("rep").alias("a"), F.col("id").alias("b")))
     groups = components(links).select(F.col("id").alias("doc_id"), F.col("label"))
     firsts = later.groupBy(F.col("id").alias("doc_id")).agg(F.min("rep").alias("first"))
     return (

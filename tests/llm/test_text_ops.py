@@ -134,6 +134,29 @@ def test_near_copies_equal_brute_force(frame):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(set(got.values())) and kept.columns == frame(rows).columns
 
 
+def family_rows(members, pairs, seed=8):
+    """Texts of one template, about 0.78 alike, among them pairs of about 0.82."""
+    draw = random.Random(seed)
+    word = lambda: "".join(draw.choice("abcdefghij") for _ in range(7))
+    template, texts = [word() for _ in range(400)], []
+    own = lambda n: [word() for _ in range(n)]
+    for _ in range(members):
+        texts.append(template + own(56))
+    for _ in range(pairs):
+        common = own(10)
+        texts += [template + common + own(46), template + common + own(46)]
+    draw.shuffle(texts)
+    return [(i, " ".join(t)) for i, t in enumerate(texts)]
+
+
+def test_near_copies_within_a_family_just_too_unlike(frame, monkeypatch):
+    monkeypatch.setattr(nearcopies, "BLOCK", 40)
+    rows = family_rows(150, 40)
+    want = brute_classes(rows)
+    assert len(set(want.values())) == 150 + 40
+    assert {r.doc_id: r.class_id for r in nearcopies.classes(frame(rows)).collect()} == want
+
+
 def test_near_copies_odd_rows(frame, odd_rows):
     got = nearcopies.classes(frame(odd_rows)).collect()
     assert len(got) == len(odd_rows)
