@@ -224,7 +224,11 @@ def _fetch(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _scan_suffixes(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc, crc, start, stop of what is not first in some maximal repeat, from rows sorted by anchor, document and place."""
+    """doc, crc, start, stop of what is not first in some maximal repeat, from rows sorted by anchor, document, place and start.
+
+    Where a text of several slices is parted, one segment comes as two rows of one place: they share LENGTH - 1 bytes,
+    too few to match each other, and each is compared with all others.
+    """
     group: list[dict] = []
     out: list[tuple] = []
 
@@ -252,7 +256,7 @@ def _scan_suffixes(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch
                 group = []
                 if len(out) > 20_000:
                     yield flush()
-            same = group and all(group[-1][k] == row[k] for k in ("doc", "crc", "place"))
+            same = group and all(group[-1][k] == row[k] for k in ("doc", "crc", "place", "start"))
             if not same:
                 group.append(row)
     if group:
@@ -280,7 +284,7 @@ def repeated_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         texts.join(asked, ["doc", "crc"]).select("doc", "crc", "text", "wanted").mapInArrow(_fetch, "anchor long, doc long, crc long, place int, start int, bytes binary"), "contexts"
     )
     compared = (
-        got.where("bytes is not null").repartition("anchor").sortWithinPartitions("anchor", "doc", "crc", "place")
+        got.where("bytes is not null").repartition("anchor").sortWithinPartitions("anchor", "doc", "crc", "place", "start")
         .mapInArrow(_scan_suffixes, "doc long, crc long, start int, stop int")
     )
     windows = got.where("bytes is null").select("anchor", "doc", "crc", "start")

@@ -9,6 +9,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
+from pyspark import cloudpickle
 
 from scenemill.llm import bpe, leaks, nearcopies, repeats, shards
 
@@ -77,6 +78,21 @@ def test_repeats_equal_brute_force(frame, monkeypatch, group):
     assert got == brute_repeats(rows)
 
 
+def test_repeats_in_texts_of_several_slices(frame, monkeypatch):
+    cloudpickle.register_pickle_by_value(repeats)  # workers get the patched module
+    try:
+        monkeypatch.setattr(repeats, "SLICE", 150)
+        draw = random.Random(6)
+        noise = lambda n: "".join(draw.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n))
+        passages = [noise(130) for _ in range(60)]
+        long = "".join(p + noise(draw.randint(30, 200)) for p in passages)
+        rows = [*repeat_rows(), (1000, long), *((2000 + k, noise(50) + p + noise(50)) for k, p in enumerate(passages))]
+        got = {r.doc_id: tuple(r)[1:] for r in repeats.removal(frame(rows)).collect()}
+    finally:
+        cloudpickle.unregister_pickle_by_value(repeats)
+    assert got == brute_repeats(rows)
+
+
 def test_repeats_odd_rows(frame, odd_rows):
     got = repeats.removal(frame(odd_rows)).collect()
     want = brute_repeats([(i, t or "") for i, t in dict(odd_rows).items() if i is not None])
