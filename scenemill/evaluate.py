@@ -19,13 +19,13 @@ for _name in ("layout_iou_3d", "collision_rate", "layout_violation_rate", "layou
 
 
 def tables(spark: SparkSession, experiment: Experiment) -> dict[str, DataFrame]:
-    """scenes, preds, labels (axis-aligned boxes) and the raw predictions of an experiment with stored predictions."""
+    """scenes, preds, labels (boxes of either form) and the raw predictions of an experiment with stored predictions."""
     manifest = S.read_manifest(spark, experiment.dataset["parameters"]["manifest"])
     raw = S.read_predictions(spark, experiment.model["parameters"]["predictions"], manifest)
     truth, pred = S.decoded(manifest.select("sample_id", "ordinal", "gt"), "gt"), S.decoded(raw, "prediction")
-    boxed = lambda df: S.objects(df).select("sample_id", "obj_idx", "label", "score", S.aligned(F.col("bbox")).alias("box"))
-    scenes = truth.select("sample_id", "ordinal", F.col("gt").isNotNull().alias("has_gt"), S.aligned(F.col("layout")).alias("gt_layout")).join(
-        pred.select("sample_id", S.aligned(F.col("layout")).alias("pred_layout")), "sample_id"
+    boxed = lambda df: S.objects(df).select("sample_id", "obj_idx", "label", "score", S.either(F.col("bbox")).alias("box"))
+    scenes = truth.select("sample_id", "ordinal", F.col("gt").isNotNull().alias("has_gt"), S.either(F.col("layout")).alias("gt_layout")).join(
+        pred.select("sample_id", S.either(F.col("layout")).alias("pred_layout")), "sample_id"
     )
     return {"scenes": scenes, "preds": boxed(pred), "labels": boxed(truth), "raw": raw}
 

@@ -99,3 +99,44 @@ def oriented_iou(df, a: str, b: str, name: str = "iou"):
     df = oriented_overlap(df, a, b, "_shared")
     union = size(a) + size(b) - F.col("_shared")
     return df.withColumn(name, F.when(union > 0, F.col("_shared") / union).otherwise(0.0)).drop("_shared")
+
+
+def turned(df, c: str):
+    """The oriented form of a box column of either form, null for upright boxes; None where the column has no such field."""
+    return F.col(c)["turned"] if "turned" in df.select(F.col(c)).schema[0].dataType.names else None
+
+
+def box_volume(df, c: str):
+    """Volume of a box of either form."""
+    from .boxes import volume
+
+    form = turned(df, c)
+    return volume(F.col(c)) if form is None else F.when(form.isNotNull(), F.abs(form["size"][0] * form["size"][1] * form["size"][2])).otherwise(volume(F.col(c)))
+
+
+def _either_form(df, a: str, b: str, name: str, upright, slanted):
+    from .boxes import as_oriented, sanitized
+
+    forms = {c: turned(df, c) for c in (a, b)}
+    if all(f is None for f in forms.values()):
+        return df.withColumn(name, upright(F.col(a), F.col(b)))
+    given = [f.isNotNull() for f in forms.values() if f is not None]
+    either = given[0] | given[-1]
+    whole = lambda c: sanitized(as_oriented(F.col(c))) if forms[c] is None else F.coalesce(forms[c], sanitized(as_oriented(F.col(c))))
+    df = df.withColumn("_either", either).withColumn("_oa", F.when(either, whole(a))).withColumn("_ob", F.when(either, whole(b)))
+    df = slanted(df, "_oa", "_ob", "_turned")
+    return df.withColumn(name, F.when(F.col("_either"), F.col("_turned")).otherwise(upright(F.col(a), F.col(b)))).drop("_either", "_oa", "_ob", "_turned")
+
+
+def box_overlap(df, a: str, b: str, name: str = "overlap"):
+    """df with the shared volume of two boxes of either form; where one is oriented, both are taken so."""
+    from .boxes import overlap
+
+    return _either_form(df, a, b, name, overlap, oriented_overlap)
+
+
+def box_iou(df, a: str, b: str, name: str = "iou"):
+    """df with the intersection over union of two boxes of either form."""
+    from .boxes import iou
+
+    return _either_form(df, a, b, name, iou, oriented_iou)

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.boxes import iou
+from ..functions.polygons import box_iou, turned
 from .ranking import best_from_here, checkpointed, in_order, running
 
 
@@ -24,13 +25,15 @@ def class_protocol(objects: DataFrame, rename: dict[str, str] | None = None, kee
     return objects if keep is None else objects.where(F.col("label").isin(list(keep)))
 
 
-def _claims(preds: Column, labels: Column, threshold: float) -> Column:
+def _claims(preds: Column, labels: Column | None, threshold: float) -> Column:
+    """Without `labels`, each prediction holds its overlaps with all labels under `near`."""
     ordered = F.array_sort(preds, lambda a, b: F.when(a["score"] > b["score"], -1).when(a["score"] < b["score"], 1).otherwise(a["obj_idx"].cast("int") - b["obj_idx"].cast("int")))
     empty = F.array().cast("array<struct<obj_idx:int,score:double,gt_idx:int,iou:double>>")
 
     def step(state: Column, p: Column) -> Column:
-        free = F.filter(labels, lambda l: ~F.exists(state, lambda s: s["gt_idx"].eqNullSafe(l["obj_idx"])))
-        best = F.array_max(F.transform(free, lambda l: F.struct(iou(p["box"], l["box"]).alias("iou"), l["obj_idx"].alias("idx"))))
+        free = F.filter(p["near"] if labels is None else labels, lambda l: ~F.exists(state, lambda s: s["gt_idx"].eqNullSafe(l["obj_idx"])))
+        overlap = lambda l: l["iou"] if labels is None else iou(p["box"], l["box"])
+        best = F.array_max(F.transform(free, lambda l: F.struct(overlap(l).alias("iou"), l["obj_idx"].alias("idx"))))
         claim = lambda b: F.struct(
             p["obj_idx"].cast("int").alias("obj_idx"), p["score"].alias("score"),
             F.when(b["iou"] >= threshold, b["idx"]).cast("int").alias("gt_idx"), b["iou"].alias("iou"),
@@ -43,11 +46,23 @@ def _claims(preds: Column, labels: Column, threshold: float) -> Column:
 def greedy_match(preds: DataFrame, labels: DataFrame, by: list[str], threshold: float) -> DataFrame:
     """by, obj_idx, score, rank, gt_idx (null: unmatched), iou of every prediction.
 
-    A group is a scene, or a label in a scene: its objects, hundreds at most, are one array.
+    A group is a scene, or a label in a scene: its objects, hundreds at most, are one array. Where boxes may be
+    oriented, the pairs of a group are scored as rows first.
     """
+    if turned(preds, "box") is not None or turned(labels, "box") is not None:
+        pairs = preds.select(*by, "obj_idx", "box").join(labels.select(*by, F.col("obj_idx").cast("int").alias("gt_idx"), F.col("box").alias("gt_box")), by)
+        near = box_iou(pairs, "box", "gt_box").groupBy(*by, "obj_idx").agg(F.collect_list(F.struct(F.col("gt_idx").alias("obj_idx"), "iou")).alias("near"))
+        held = preds.select(*by, "obj_idx", "score").join(near, [*by, "obj_idx"], "left")
+        held = held.withColumn("near", F.coalesce("near", F.array().cast(near.schema["near"].dataType)))
+        p = held.groupBy(*by).agg(F.collect_list(F.struct("obj_idx", "score", "near")).alias("preds"))
+        return _ranked(p.select(*by, F.posexplode(_claims(F.col("preds"), None, threshold)).alias("pos", "m")), by)
     p = preds.groupBy(*by).agg(F.collect_list(F.struct("obj_idx", "score", "box")).alias("preds"))
     g = labels.groupBy(*by).agg(F.collect_list(F.struct(F.col("obj_idx").cast("int").alias("obj_idx"), "box")).alias("labels"))
     found = p.join(g, by, "left").select(*by, F.posexplode(_claims(F.col("preds"), F.coalesce("labels", F.array().cast(g.schema["labels"].dataType)), threshold)).alias("pos", "m"))
+    return _ranked(found, by)
+
+
+def _ranked(found: DataFrame, by: list[str]) -> DataFrame:
     return found.select(*by, "m.obj_idx", "m.score", (F.col("pos") + 1).alias("rank"), "m.gt_idx", F.coalesce("m.iou", F.lit(0.0)).alias("iou"))
 
 

@@ -104,6 +104,13 @@ def oriented(b: Column) -> Column:
     return F.when(b["center"].isNotNull(), sanitized(given)).otherwise(as_oriented(aligned(b)))
 
 
+def either(b: Column) -> Column:
+    """The corners of an axis-aligned box and, under `turned`, the oriented form of an oriented one; null for no box."""
+    flat, form = aligned(b), b["center"].isNotNull()
+    sides = [F.when(~form, flat[n]).alias(n) for n in ("x0", "y0", "z0", "x1", "y1", "z1")]
+    return F.when(form | flat.isNotNull(), F.struct(*sides, F.when(form, oriented(b)).alias("turned")))
+
+
 def objects(scenes: DataFrame) -> DataFrame:
     """sample_id, obj_idx, object_id, label, score, bbox, attributes."""
     return scenes.select("sample_id", F.posexplode("objects").alias("obj_idx", "o")).select("sample_id", "obj_idx", "o.*")

@@ -235,6 +235,31 @@ def test_experiment_end_to_end(spark, tmp_path):
     assert [json.loads(x)["sample_id"] for p in sorted((tmp_path / "out" / "metrics.jsonl").glob("part-*")) for x in p.read_text().splitlines()] == ["a", "b"]
 
 
+def test_experiment_on_oriented_boxes(spark, tmp_path):
+    experiment = toy(tmp_path)
+    c = math.sqrt(0.5)
+    turn = lambda x, y, z, sx, sy, sz: {"center": [x, y, z], "size": [sx, sy, sz], "basis": [[c, c, 0], [-c, c, 0], [0, 0, 1]]}
+    flat = {"min_corner": [-0.5, -0.5, 0], "max_corner": [0.5, 0.5, 1]}
+    bowl = turn(0, 0, 0.5, 1, 1, 1)  # shares an octagon with the flat one
+    objects_of = lambda *boxed: [{"object_id": str(i), "label": n, "bbox": b} for i, (n, b) in enumerate(boxed)]
+    room = turn(0, 0, 2, 20, 20, 4)
+    pred = {"layout": room, "objects": objects_of(("chair", bowl), ("table", turn(3, 0, 0.5, 1, 1, 1)), ("chair", turn(0.1, 0, 0.5, 1, 1, 1)), ("table", turn(50, 0, 0.5, 1, 1, 1)))}
+    truth = {"layout": room, "objects": objects_of(("chair", flat), ("table", turn(3, 0, 0.5, 1, 1, 1)))}
+    for n in ("a", "b"):
+        (tmp_path / "pred" / f"{n}.json").write_text(json.dumps(pred))
+    (tmp_path / "gt.json").write_text(json.dumps(truth))
+    (tmp_path / "manifest.jsonl").write_text("".join(json.dumps({"sample_id": n, "input": "img.txt", "ground_truth": "gt.json"}) + "\n" for n in ("a", "b")))
+    t = evaluate.tables(spark, experiment)
+    value = lambda kind, **parameters: evaluate.metric(kind, parameters, t).first()["value"]
+    assert value("layout_iou_3d") == pytest.approx(1.0)
+    assert value("collision_rate") == pytest.approx(1 / 6)
+    assert value("layout_violation_rate") == value("layout_penetration") == pytest.approx(0.25)
+    shared = 2 * (math.sqrt(2) - 1)
+    assert value("object_map", iou_threshold=shared / (2 - shared) - 1e-6) == pytest.approx(1.0)
+    assert value("object_map", iou_threshold=shared / (2 - shared) + 1e-6) == pytest.approx(0.5)
+    assert value("object_map_dataset") == pytest.approx((1 + 2 / 3) / 2)  # of equal scores: hit and miss of a, then of b
+
+
 def test_config_and_registry(tmp_path):
     (tmp_path / "a.json").write_text('{"extends": "b.json"}')
     (tmp_path / "b.json").write_text('{"extends": "a.json"}')
