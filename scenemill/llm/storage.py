@@ -9,7 +9,9 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType, NullType
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -35,3 +37,11 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def integer_id(df: DataFrame, name: str) -> Column:
+    """The id column as a long. One of another type is an error: it would turn to null in silence."""
+    kind = df.schema[name].dataType
+    if not isinstance(kind, (IntegralType, NullType)):
+        raise TypeError(f"{name} must be an integer, not {kind.simpleString()}")
+    return F.col(name).cast("long").alias(name)

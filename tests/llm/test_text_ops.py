@@ -29,6 +29,63 @@ def test_bpe_equals_tiktoken(frame, odd_rows, monkeypatch):
     assert bpe.digests(frame(odd_rows).limit(0), RANKS, public_tokenizers.PATTERN).count() == 0
 
 
+@pytest.fixture(scope="module")
+def encoder():
+    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=RANKS, special_tokens={})
+
+
+def test_bpe_equals_tiktoken_on_whole_tables(spark, encoder):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    text = {r.doc_id: r.text or "" for r in docs.select("doc_id", "text").collect()}
+    for r in bpe.tokens(docs, RANKS, public_tokenizers.PATTERN).collect():
+        assert r.ids == encoder.encode_ordinary(text[r.doc_id]) and r.decoded_sha256 == hashlib.sha256(text[r.doc_id].encode()).hexdigest()
+
+
+def test_bpe_of_a_text_longer_than_a_block(frame, encoder):
+    long = "It's 漢字 and 42 words,\n  " * (bpe.BLOCK // 20)
+    assert len(long) > bpe.BLOCK
+    got = {r.doc_id: r for r in bpe.digests(frame([(1, long), (2, "a word")]), RANKS, public_tokenizers.PATTERN).collect()}
+    assert got[1].decoded_sha256 == hashlib.sha256(long.encode()).hexdigest() and got[2].n_tokens == 2
+    ids = encoder.encode_ordinary(long)
+    assert got[1].n_tokens == len(ids) and got[1].ids_sha256 == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
+
+
+def test_words_by_class_equal_the_pattern(monkeypatch):
+    draw = random.Random(4)
+    signs = "  \n\t'srtvemlldé漢😀٠123!.,-\u3000\u00a0\r x\u0301\x85\x1c\u200b\u180e"
+    texts = ["".join(draw.choice(signs) for _ in range(draw.randint(0, 40))) for _ in range(20_000)] + ["z" * 500]
+    assert bpe.WORD_PATTERN == public_tokenizers.PATTERN
+    for piece in (bpe.PIECE, 50):  # in parts, too
+        monkeypatch.setattr(bpe, "PIECE", piece)
+        held = bpe.Words(bpe.WORD_PATTERN)
+        for text in ["".join(texts[i : i + 30]) for i in range(0, len(texts), 30)] if piece == 50 else texts:
+            held.add(text)
+        words, numbers, sizes = held.close()
+        want = [bpe._pattern(bpe.WORD_PATTERN).findall(t) for t in (["".join(texts[i : i + 30]) for i in range(0, len(texts), 30)] if piece == 50 else texts)]
+        assert sizes.tolist() == [len(w) for w in want] and [words[i].decode() for i in numbers] == [w for x in want for w in x]
+        times = dict(zip(words, np.bincount(numbers).tolist()))
+        assert words == sorted(words, key=lambda w: (-times[w], w))
+
+
+def test_any_other_pattern_is_run_as_it_is(frame):
+    (row,) = bpe.tokens(frame([(1, "ab cd  ef")]), RANKS, r".{3}|.+").collect()
+    assert b"".join(dict((v, k) for k, v in RANKS.items())[i] for i in row.ids) == b"ab cd  ef"
+    assert row.ids == [i for w in (b"ab ", b"cd ", b" ef") for i in bpe.merge(w, RANKS)]
+
+
+def test_merging_many_words_equals_merging_each(encoder):
+    draw = random.Random(9)
+    words = [bytes(draw.choice(b"abcdefeeeiou nt\xc3\xa9") for _ in range(draw.randint(1, 70))) for _ in range(5000)]
+    got = bpe.Merger(RANKS).encode(words)
+    assert all(np.frombuffer(b, "<u4").tolist() == bpe.merge(w, RANKS) == encoder._encode_single_piece(w) for w, b in zip(words, got))
+    assert len(bpe.merge(b"ab" * 100_000, RANKS)) == len(encoder._encode_single_piece(b"ab" * 100_000))
+
+
+def test_bpe_refuses_ids_of_text(spark):
+    with pytest.raises(TypeError):
+        bpe.digests(spark.createDataFrame([("x", "t")], "doc_id string, text string"), RANKS, public_tokenizers.PATTERN)
+
+
 def test_bpe_packing():
     numbers = np.array([0, 1, 255, 256, 70_000, 2**31], np.uint32)
     assert (bpe.unpack(bpe.pack(numbers)) == numbers).all() and len(bpe.unpack(bpe.pack(numbers[:0]))) == 0
