@@ -10,8 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.boxes import iou
-from ..functions.polygons import box_iou, turned
+from ..functions.polygons import box_iou
 from .ranking import best_from_here, checkpointed, in_order, running
 
 
@@ -25,45 +24,36 @@ def class_protocol(objects: DataFrame, rename: dict[str, str] | None = None, kee
     return objects if keep is None else objects.where(F.col("label").isin(list(keep)))
 
 
-def _claims(preds: Column, labels: Column | None, threshold: float) -> Column:
-    """Without `labels`, each prediction holds its overlaps with all labels under `near`."""
+def _claims(preds: Column) -> Column:
+    """The fold over one group's predictions, each with its `options` (overlap and number of the labels that reach the threshold)."""
     ordered = F.array_sort(preds, lambda a, b: F.when(a["score"] > b["score"], -1).when(a["score"] < b["score"], 1).otherwise(a["obj_idx"].cast("int") - b["obj_idx"].cast("int")))
-    empty = F.array().cast("array<struct<obj_idx:int,score:double,gt_idx:int,iou:double>>")
+    start = F.struct(F.array().cast("array<int>").alias("taken"), F.array().cast("array<struct<obj_idx:int,score:double,gt_idx:int,iou:double>>").alias("out"))
 
     def step(state: Column, p: Column) -> Column:
-        free = F.filter(p["near"] if labels is None else labels, lambda l: ~F.exists(state, lambda s: s["gt_idx"].eqNullSafe(l["obj_idx"])))
-        overlap = lambda l: l["iou"] if labels is None else iou(p["box"], l["box"])
-        best = F.array_max(F.transform(free, lambda l: F.struct(overlap(l).alias("iou"), l["obj_idx"].alias("idx"))))
-        claim = lambda b: F.struct(
-            p["obj_idx"].cast("int").alias("obj_idx"), p["score"].alias("score"),
-            F.when(b["iou"] >= threshold, b["idx"]).cast("int").alias("gt_idx"), b["iou"].alias("iou"),
-        )
-        return F.concat(state, F.transform(F.array(best), claim))
+        best = F.array_max(F.filter(p["options"], lambda o: ~F.array_contains(state["taken"], o["gt_idx"])))
+        claimed = F.transform(F.array(best), lambda b: F.struct(p["obj_idx"].cast("int").alias("obj_idx"), p["score"].alias("score"), b["gt_idx"].alias("gt_idx"), b["iou"].alias("iou")))
+        return F.transform(F.array(claimed), lambda c: F.struct(
+            F.when(c[0]["gt_idx"].isNull(), state["taken"]).otherwise(F.array_append(state["taken"], c[0]["gt_idx"])).alias("taken"), F.concat(state["out"], c).alias("out"),
+        ))[0]
 
-    return F.aggregate(ordered, empty, step)
+    return F.aggregate(ordered, start, step, lambda s: s["out"])
 
 
 def greedy_match(preds: DataFrame, labels: DataFrame, by: list[str], threshold: float) -> DataFrame:
-    """by, obj_idx, score, rank, gt_idx (null: unmatched), iou of every prediction.
+    """by, obj_idx, score, rank, gt_idx (null: unmatched), iou (of the claimed label, else 0) of every prediction.
 
-    A group is a scene, or a label in a scene: its objects, hundreds at most, are one array. Where boxes may be
-    oriented, the pairs of a group are scored as rows first.
+    Overlaps are worked out as rows, and only pairs at the threshold go on: no other pair can be claimed. A group is a
+    scene, or a label in a scene; its predictions, hundreds at most, are one array. Everything after the join
+    stays partitioned by the group. obj_idx must be unique in a group.
     """
-    if turned(preds, "box") is not None or turned(labels, "box") is not None:
-        pairs = preds.select(*by, "obj_idx", "box").join(labels.select(*by, F.col("obj_idx").cast("int").alias("gt_idx"), F.col("box").alias("gt_box")), by)
-        near = box_iou(pairs, "box", "gt_box").groupBy(*by, "obj_idx").agg(F.collect_list(F.struct(F.col("gt_idx").alias("obj_idx"), "iou")).alias("near"))
-        held = preds.select(*by, "obj_idx", "score").join(near, [*by, "obj_idx"], "left")
-        held = held.withColumn("near", F.coalesce("near", F.array().cast(near.schema["near"].dataType)))
-        p = held.groupBy(*by).agg(F.collect_list(F.struct("obj_idx", "score", "near")).alias("preds"))
-        return _ranked(p.select(*by, F.posexplode(_claims(F.col("preds"), None, threshold)).alias("pos", "m")), by)
-    p = preds.groupBy(*by).agg(F.collect_list(F.struct("obj_idx", "score", "box")).alias("preds"))
-    g = labels.groupBy(*by).agg(F.collect_list(F.struct(F.col("obj_idx").cast("int").alias("obj_idx"), "box")).alias("labels"))
-    found = p.join(g, by, "left").select(*by, F.posexplode(_claims(F.col("preds"), F.coalesce("labels", F.array().cast(g.schema["labels"].dataType)), threshold)).alias("pos", "m"))
-    return _ranked(found, by)
-
-
-def _ranked(found: DataFrame, by: list[str]) -> DataFrame:
-    return found.select(*by, "m.obj_idx", "m.score", (F.col("pos") + 1).alias("rank"), "m.gt_idx", F.coalesce("m.iou", F.lit(0.0)).alias("iou"))
+    truth = labels.select(*by, F.col("obj_idx").cast("int").alias("gt_idx"), F.col("box").alias("gt_box"))
+    pairs = box_iou(preds.select(*by, "obj_idx", "score", "box").join(truth, by, "left"), "box", "gt_box")
+    option = F.when(F.col("gt_idx").isNotNull() & (F.col("iou") >= threshold), F.struct("iou", "gt_idx"))
+    held = pairs.groupBy(*by, "obj_idx", "score").agg(F.collect_list(option).alias("options"))
+    found = held.groupBy(*by).agg(F.collect_list(F.struct("obj_idx", "score", "options")).alias("preds"))
+    return found.select(*by, F.posexplode(_claims(F.col("preds"))).alias("pos", "m")).select(
+        *by, "m.obj_idx", "m.score", (F.col("pos") + 1).alias("rank"), "m.gt_idx", F.coalesce("m.iou", F.lit(0.0)).alias("iou")
+    )
 
 
 def precision_by_scene(matches: DataFrame, labels: DataFrame, by: list[str]) -> DataFrame:
@@ -71,7 +61,8 @@ def precision_by_scene(matches: DataFrame, labels: DataFrame, by: list[str]) ->
     w = Window.partitionBy(*by).orderBy("rank")
     tp = F.col("gt_idx").isNotNull().cast("int")
     ranked = matches.withColumn("precision", F.sum(tp).over(w.rowsBetween(Window.unboundedPreceding, 0)) / F.col("rank"))
-    top = ranked.withColumn("best", F.max("precision").over(w.rowsBetween(0, Window.unboundedFollowing)))
+    back = Window.partitionBy(*by).orderBy(F.desc("rank")).rowsBetween(Window.unboundedPreceding, 0)
+    top = ranked.withColumn("best", F.max("precision").over(back))
     gained = top.groupBy(*by).agg(F.sum(F.when(tp == 1, F.col("best"))).alias("gained"))
     return labels.groupBy(*by).agg(F.count("*").alias("n")).join(gained, by, "left").select(*by, (F.coalesce("gained", F.lit(0.0)) / F.col("n")).alias("ap"))
 

@@ -47,10 +47,10 @@ def running(sorted_df: DataFrame, group: list[str], sums: dict[str, Column]) ->
 
 def best_from_here(df: DataFrame, group: list[str], value: str, name: str) -> DataFrame:
     """Add the greatest `value` from each row to the end of its group."""
-    inner = Window.partitionBy("_part", *group).orderBy("_at").rowsBetween(0, Window.unboundedFollowing)
+    inner = Window.partitionBy("_part", *group).orderBy(F.desc("_at")).rowsBetween(Window.unboundedPreceding, 0)  # a running maximum from the end
     local = df.withColumn("_l", F.max(value).over(inner))
     tops = df.groupBy("_part", *group).agg(F.max(value).alias("_t"))
-    after = Window.partitionBy(*group).orderBy("_part").rowsBetween(1, Window.unboundedFollowing)
+    after = Window.partitionBy(*group).orderBy(F.desc("_part")).rowsBetween(Window.unboundedPreceding, -1)
     ends = tops.select("_part", *group, F.max("_t").over(after).alias("_e"))
     on = [local["_part"] == ends["_part"], *[local[g].eqNullSafe(ends[g]) for g in group]]
     return local.join(ends, on).select(*[local[c] for c in df.columns], F.greatest("_l", "_e").alias(name))
