@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 from .bytehash import running_sum, span_hash
 from .storage import integer_id
 
-BLOCK, MAX_WORDS, CHUNK, PIECE, ROWS, SHORT = 32 << 20, 800_000, 256, 2 << 20, 60_000, 48
+BLOCK, MAX_WORDS, CHUNK, PIECE, ROWS, SHORT = 32 << 20, 800_000, 256, 1 << 20, 60_000, 48
 # fixed value: the pattern of the public byte-level vocabularies
 WORD_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 SPACE, LETTER, NUMBER, OTHER = range(4)
