@@ -3,12 +3,13 @@ r"""Chat formatting with prefix-target expansion.
 Each turn becomes `<|im_start|>role\ntext<|im_end|>\n`. In roles and texts a backslash becomes two and
 `<|` becomes `<\|`; in roles a line feed becomes `\n`. So no text can open or close a turn, and reading
 back undoes it exactly. Every assistant turn is an example of its own: its context is all that stands
-before it and its reply alone is trainable. As a context is a prefix of the formatted conversation, an
-example is kept as offsets into it: `context_end`, `mask_start`, `mask_end`. That keeps the output as
-long as the conversations; `expand` writes the texts out, which grows with the square of the turns.
+before it and its reply alone is trainable. `examples` makes a row of each: the reply is written out, and the
+context, being a prefix of the formatted conversation, is named by its end. That keeps the output as long as the
+conversations; `expand` writes contexts out too, which grows with the square of the turns. What is trained on is
+read back from the example rows alone, and each must follow the turns that it names as its context.
 
 Turns are ordered by (turn, role, text). Null roles and texts are empty, a null conv_id is a conversation
-of its own, repeated rows are repeated turns, and conversations without an assistant have no example.
+of its own, others are integers, repeated rows are repeated turns, and conversations without an assistant have no example.
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .storage import integer_id
+
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
 _escaped = re.compile(r"\\(.)", re.DOTALL)
 CONTROL_TEXT = f"{CLOSE}{OPEN}assistant ok"
@@ -72,12 +75,18 @@ def _conversations(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int | No
             last = [row["conv_id"]]
 
 
-def _sorted(turns: DataFrame) -> DataFrame:
-    return turns.repartition("conv_id").sortWithinPartitions("conv_id", "start")
+def examples(turns: DataFrame) -> DataFrame:
+    """conv_id, turn, start, context_end, reply, mask_start, mask_end: a row per assistant turn, from formatted turns.
+
+    The context is what the conversation's formatted turns hold before `context_end`, the head of the reply's own turn
+    included; the mask counts characters from the conversation's start, as `context_end` does.
+    """
+    reply = F.substr("formatted", (F.col("context_end") - F.col("start") + 1).cast("int"))
+    return turns.where("trainable").select("conv_id", "turn", "start", "context_end", reply.alias("reply"), "mask_start", "mask_end")
 
 
-def read_back(turns: DataFrame) -> DataFrame:
-    """Digests of each conversation, from its formatted turns and loss masks alone.
+def read_back(turns: DataFrame, made: DataFrame) -> DataFrame:
+    """Digests of each conversation: its turns from the formatted turns, its loss from its examples.
 
     Conversations stream through a task in order: a hash is carried, never a conversation.
     """
@@ -94,6 +103,7 @@ def read_back(turns: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
 
         types = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
+        turn_start = None
         for conv, begins, row in _conversations(batches):
             if begins:
                 if state:
@@ -101,42 +111,54 @@ def read_back(turns: DataFrame) -> DataFrame:
                     if len(rows) >= 5000:
                         yield flush()
                         rows.clear()
-                state = [conv, 0, hashlib.sha256(), 0, hashlib.sha256(), 0, 0, 0]
-            piece = row["formatted"]
-            role, text = parse(piece)
-            state[1] += 1
-            state[2].update(f"{role}\n{text}\n".encode())
-            state[5] = row["start"] + len(piece)
-            if row["mask_start"] is not None:
-                reply = unescape(piece[row["mask_start"] - row["start"] : row["mask_end"] - row["start"]])
-                state[3] += len(reply)
-                state[4].update(reply.encode())
-                state[6] += 1
-                state[7] += row["mask_end"] + len(CLOSE) + 1
+                state, turn_start = [conv, 0, hashlib.sha256(), 0, hashlib.sha256(), 0, 0, 0], None
+            piece = row["piece"]
+            if row["context_end"] is None:
+                role, text = parse(piece)
+                state[1] += 1
+                state[2].update(f"{role}\n{text}\n".encode())
+                turn_start, state[5] = row["start"], row["start"] + len(piece)
+                continue
+            if turn_start != row["start"] or row["context_end"] + len(piece) != state[5]:
+                raise ValueError(f"conversation {conv}: the example at {row['start']} does not follow its context")
+            reply = unescape(piece[row["mask_start"] - row["context_end"] : row["mask_end"] - row["context_end"]])
+            state[3] += len(reply)
+            state[4].update(reply.encode())
+            state[6] += 1
+            state[7] += row["context_end"] + len(piece)
         if state:
             rows.append(closed())
         if rows:
             yield flush()
 
     schema = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_examples long, expanded_chars long"
-    return _sorted(turns.withColumn("conv_id", F.col("conv_id").cast("long"))).mapInArrow(digest, schema)
+    none = [F.lit(None).cast("long").alias(n) for n in ("context_end", "mask_start", "mask_end")]
+    parts = turns.select(integer_id(turns, "conv_id"), "start", F.col("formatted").alias("piece"), *none).unionByName(
+        made.select(integer_id(made, "conv_id"), "start", F.col("reply").alias("piece"), "context_end", "mask_start", "mask_end")
+    )
+    # a turn comes before the example that it ends
+    ordered = parts.repartition("conv_id").sortWithinPartitions("conv_id", "start", F.col("context_end").asc_nulls_first())
+    return ordered.mapInArrow(digest, schema)
 
 
 def expand(turns: DataFrame) -> DataFrame:
     """Each example written out: conv_id, turn, text (context and reply), mask_start, mask_end."""
+    names, types = ["conv_id", "turn", "text", "mask_start", "mask_end"], [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64()]
 
-    def examples(batches):
-        held: list[str] = []
+    def written(batches):
+        held, out, size = [], [], 0
         for conv, begins, row in _conversations(batches):
             if begins:
                 held = []
             held.append(row["formatted"])
             if row["mask_start"] is not None:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([x]) if x is not None else pa.array([x], pa.int64()) for x in (conv, row["turn"], "".join(held), row["mask_start"], row["mask_end"])],
-                    names=["conv_id", "turn", "text", "mask_start", "mask_end"],
-                )
-
-    return _sorted(turns.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "formatted", "start", "mask_start", "mask_end")).mapInArrow(
-        examples, "conv_id long, turn long, text string, mask_start long, mask_end long"
-    )
+                out.append((conv, row["turn"], "".join(held), row["mask_start"], row["mask_end"]))
+                size += len(out[-1][2])
+                if size > 1 << 22:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=names)
+                    out, size = [], 0
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=names)
+
+    ordered = turns.select(integer_id(turns, "conv_id"), F.col("turn").cast("long"), "formatted", "start", "mask_start", "mask_end").repartition("conv_id").sortWithinPartitions("conv_id", "start")
+    return ordered.mapInArrow(written, "conv_id long, turn long, text string, mask_start long, mask_end long")

@@ -1,8 +1,9 @@
 """Benchmark decontamination: every training passage is a BM25 query against the test items.
 
-Words are runs of letters and digits of the text in lower case. Documents are cut into passages of 2L words, L
-apart, L being the longest item's words (MIN_WORDS at least), so each run of up to L words lies whole in
-some passage. An item's score is its BM25 score for the passage's distinct words divided by its score
+Words are runs of letters and digits of the text in lower case. Items are dealt to classes by length: L is the
+least power of two that is not below an item's words (MIN_WORDS at least). For each class documents are cut into
+passages of 2L words, L apart, so each run of up to L words lies whole in some passage, and no item
+changes the passages that another is looked for in. An item's score is its BM25 score for the passage's distinct words divided by its score
 for its own, so 1 means every word of it is there; all items of at least `threshold` are retrieved.
 
 Retrieval is block-max WAND over an inverted index whose lists are cut into blocks of BLOCK items.
@@ -16,8 +17,9 @@ A retrieved item is then verified: at least `overlap` of its distinct five-word
 distinct words of its question and of its answer (its last sentences, as many as hold five words; if they
 are the whole item, its last third) must stand in the passage. Items of under five words are one shingle.
 
-The index is sent to the tasks in blocks of items of at most INDEX_BYTES of text each, one pass over the
-documents for each; document frequencies are those of all items. Null texts are empty, and no item or
+One pass over the documents searches all classes of up to INDEX_BYTES of items, their indexes being sent to the tasks;
+what a pass found is stored before the next one's indexes are built, so more items are more passes, not more
+memory. Document frequencies are those of all items. item_id must be an integer or null. Null texts are empty, and no item or
 document without words is ever matched. Repeated items and rows each count. Other columns are not read.
 """
 
@@ -26,7 +28,6 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -34,10 +35,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytehash import ALNUM, mix, words_by_text
-from .storage import stored
+from .storage import integer_id, stored
 
 K1, B = 1.2, 0.75
-BLOCK, MIN_WORDS, COMMON, INDEX_BYTES, SHINGLE = 8, 32, 0.05, 4 << 20, 5
+BLOCK, MIN_WORDS, COMMON, INDEX_BYTES, SHINGLE = 8, 32, 0.05, 16 << 20, 5
 SLACK = 1e-9
 _sentence = re.compile(r"(?<=[.!?\n])\s+")
 
@@ -96,7 +97,7 @@ class Index:
     span: int  # words from one passage to the next
 
 
-def build(rows: list[tuple[int, str]], frequency: dict[int, int], total: int, mean: float, longest: int) -> Index:
+def build(rows: list[tuple[int, str]], frequency: dict[int, int], total: int, mean: float, span: int) -> Index:
     texts = [plain(t) for _, t in rows]
     split = [halves(t) for _, t in rows]
     sides = [[np.unique(w) for _, w in words_by_text([plain(s[k]) for s in split], ALNUM)] for k in (0, 1)]
@@ -124,7 +125,7 @@ def build(rows: list[tuple[int, str]], frequency: dict[int, int], total: int, me
     tops = np.maximum.reduceat(share, at) if len(at) else np.zeros(0)
     block_first = np.searchsorted(key // max(1, blocks), np.arange(len(vocabulary) + 1))
     top = np.maximum.reduceat(share, first) if len(first) else np.zeros(0)
-    return Index(items, vocabulary, np.append(first, len(t)), owner, share, top, common, block_first, key % max(1, blocks), tops, rest, max(MIN_WORDS, longest))
+    return Index(items, vocabulary, np.append(first, len(t)), owner, share, top, common, block_first, key % max(1, blocks), tops, rest, span)
 
 
 def pivot_search(ix: Index, terms: np.ndarray, threshold: float) -> list[tuple[int, float]]:
@@ -175,13 +176,47 @@ def _block_sums(ix: Index, passage: np.ndarray, term: np.ndarray, n_passages: in
     return np.bincount(np.repeat(passage, n) * blocks + ix.block[place], ix.block_top[place], n_passages * blocks).reshape(-1, blocks)
 
 
-def search(ix: Index, w: np.ndarray, threshold: float, overlap: float) -> dict[int, list]:
-    """Per verified item: best score, shingle, question and answer overlap, passages."""
-    if not len(w) or not len(ix.vocabulary):
+def span_of(n_words: int) -> int:
+    """The passage step of an item's class."""
+    return max(MIN_WORDS, 1 << max(0, n_words - 1).bit_length())
+
+
+@dataclass
+class Classes:
+    """The indexes of a pass, one for each class of items, and the vocabulary of them all."""
+
+    indexes: list[Index]
+    vocabulary: np.ndarray
+    columns: list[np.ndarray]  # of each index, its column for each word of the vocabulary, or -1
+
+    @staticmethod
+    def of(rows: list[tuple[int, str]], frequency: dict[int, int], total: int, mean: float) -> Classes:
+        by_span: dict[int, list] = {}
+        for i, w in words_by_text([plain(t) for _, t in rows], ALNUM):
+            by_span.setdefault(span_of(len(w)), []).append(rows[i])
+        indexes = [build(held, frequency, total, mean, span) for span, held in sorted(by_span.items())]
+        vocabulary = np.unique(np.concatenate([ix.vocabulary for ix in indexes])) if indexes else np.zeros(0, np.uint64)
+        columns = [np.full(len(vocabulary), -1, np.int64) for _ in indexes]
+        for column, ix in zip(columns, indexes):
+            column[np.searchsorted(vocabulary, ix.vocabulary)] = np.arange(len(ix.vocabulary))
+        return Classes(indexes, vocabulary, columns)
+
+    def search(self, w: np.ndarray, threshold: float, overlap: float) -> Iterator[tuple[int | None, list]]:
+        """item_id of each verified item, with best score, shingle, question and answer overlap, passages."""
+        if not len(w) or not len(self.vocabulary):
+            return
+        at = np.minimum(np.searchsorted(self.vocabulary, w), len(self.vocabulary) - 1)
+        known = np.flatnonzero(self.vocabulary[at] == w)
+        for ix, column in zip(self.indexes, self.columns):
+            term = column[at[known]]
+            for i, found in search(ix, w, known[term >= 0], term[term >= 0], threshold, overlap).items():
+                yield ix.items[i].item_id, found
+
+
+def search(ix: Index, w: np.ndarray, known: np.ndarray, at: np.ndarray, threshold: float, overlap: float) -> dict[int, list]:
+    """Per verified item, by number. known: where words of the index stand in w; at: their columns."""
+    if not len(known):
         return {}
-    at = np.minimum(np.searchsorted(ix.vocabulary, w), len(ix.vocabulary) - 1)
-    known = np.flatnonzero(ix.vocabulary[at] == w)
-    at = at[known].astype(np.int64)
     last = max(0, -(-len(w) // ix.span) - 2)  # passage p holds words from p * span to (p + 2) * span
     step, wide = known // ix.span, len(ix.vocabulary)
     pairs = np.concatenate([(np.minimum(step, last)) * wide + at, (np.minimum(np.maximum(step - 1, 0), last)) * wide + at])
@@ -226,32 +261,37 @@ def find_leaks(docs: DataFrame, items: DataFrame, threshold: float = 0.7, overla
     """A row per document and test item that it holds: doc_id, item_id, score, shingle_overlap, question_overlap, answer_overlap, n_passages."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, item_id long, score double, shingle_overlap double, question_overlap double, answer_overlap double, n_passages long"
-    searched = [docs.select("doc_id", "text").mapInArrow(_searcher(ix, threshold, overlap), schema) for ix in indexes(items)]
-    return reduce(DataFrame.unionByName, searched)
+    found = None
+    for classes, more in passes(items):
+        here = docs.select("doc_id", "text").mapInArrow(_searcher(classes, threshold, overlap), schema)
+        here = stored(here, "leaks") if more or found is not None else here
+        found = here if found is None else found.unionByName(here)
+    return found
 
 
 def without_leaks(docs: DataFrame, items: DataFrame, threshold: float = 0.7, overlap: float = 0.8) -> DataFrame:
     """The rows of docs that hold no test item."""
-    for ix in indexes(items):
-        docs = docs.mapInArrow(_sieve(ix, docs.columns.index("text"), threshold, overlap), docs.schema)
+    for classes, more in passes(items):
+        docs = docs.mapInArrow(_sieve(classes, docs.columns.index("text"), threshold, overlap), docs.schema)
+        docs = stored(docs, "sieved") if more else docs
     return docs
 
 
-def indexes(items: DataFrame) -> Iterator[Index]:
-    """An index for each block of items; only one block is on the driver at a time."""
-    items = items.where(F.col("text").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), "text")
+def passes(items: DataFrame) -> Iterator[tuple[Classes, bool]]:
+    """The indexes of each pass, and whether another follows; those of one pass only are on the driver at a time."""
+    items = items.where(F.col("text").isNotNull()).select(integer_id(items, "item_id"), "text")
     size = items.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()[0]
-    n_blocks = max(1, -(-size // INDEX_BYTES))
-    items = stored(items.withColumn("part", F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)).cast("int")), "items")
+    n_passes = max(1, -(-size // INDEX_BYTES))
+    items = stored(items.withColumn("part", F.pmod(F.xxhash64("item_id", "text"), F.lit(n_passes)).cast("int")), "items")
     total = items.count()
     frequencies = stored(_term_rows(items).groupBy("term").agg(F.count("*").alias("df")), "item-terms")
-    lengths = _lengths(items).agg(F.coalesce(F.avg("n"), F.lit(1.0)), F.coalesce(F.max("n"), F.lit(0))).first()
-    for part in range(n_blocks):
+    mean = _lengths(items).agg(F.coalesce(F.avg("n"), F.lit(1.0))).first()[0]
+    for part in range(n_passes):
         block = items.where(F.col("part") == part)  # of about INDEX_BYTES of text
         rows = sorted((r["item_id"] is None, r["item_id"] or 0, r["text"]) for r in block.collect())
         known = _term_rows(block).select("term").distinct()
         df = {r["term"]: r["df"] for r in frequencies.join(known, "term").collect()}
-        yield build([(None if none else i, t) for none, i, t in rows], df, total, max(1.0, lengths[0]), lengths[1])
+        yield Classes.of([(None if none else i, t) for none, i, t in rows], df, total, max(1.0, mean)), part + 1 < n_passes
 
 
 def _lengths(items: DataFrame) -> DataFrame:
@@ -262,7 +302,7 @@ def _lengths(items: DataFrame) -> DataFrame:
     return items.select("text").mapInArrow(rows, "n long")
 
 
-def _searcher(ix: Index, threshold: float, overlap: float):
+def _searcher(classes: Classes, threshold: float, overlap: float):
     names = ["doc_id", "item_id", "score", "shingle_overlap", "question_overlap", "answer_overlap", "n_passages"]
     types = [None, pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.float64(), pa.int64()]
 
@@ -270,7 +310,7 @@ def _searcher(ix: Index, threshold: float, overlap: float):
         for batch in batches:
             for part in (batch.slice(i, 500) for i in range(0, batch.num_rows, 500)):
                 texts = [plain(t) for t in part.column(1).to_pylist()]
-                found = [(i, ix.items[k].item_id, *v) for i, w in words_by_text(texts, ALNUM) for k, v in search(ix, w, threshold, overlap).items()]
+                found = [(i, k, *v) for i, w in words_by_text(texts, ALNUM) for k, v in classes.search(w, threshold, overlap)]
                 if found:
                     columns = list(zip(*found))
                     yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(columns[0])), *[pa.array(c, t) for c, t in zip(columns[1:], types[1:])]], names=names)
@@ -278,11 +318,11 @@ def _searcher(ix: Index, threshold: float, overlap: float):
     return rows
 
 
-def _sieve(ix: Index, where: int, threshold: float, overlap: float):
+def _sieve(classes: Classes, where: int, threshold: float, overlap: float):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in (batch.slice(i, 500) for i in range(0, batch.num_rows, 500)):
                 texts = [plain(t) for t in part.column(where).to_pylist()]
-                yield part.filter(pa.array([not search(ix, w, threshold, overlap) for _, w in words_by_text(texts, ALNUM)], pa.bool_()))
+                yield part.filter(pa.array([next(classes.search(w, threshold, overlap), None) is None for _, w in words_by_text(texts, ALNUM)], pa.bool_()))
 
     return rows

@@ -22,7 +22,7 @@ counted by matrix products. So every pair that shares a bucket is checked or in
 grow with the square of such a bucket, and go to as many tasks. Tests hold groups against brute force.
 
 Null texts are empty; texts without words are copies of equal texts only. Rows that share a doc_id are one
-document with all their texts. A null doc_id has a null class. Other columns are not read.
+document with all their texts. A null doc_id has a null class; ids are integers. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from .bytehash import SPACED, mix, words_by_text
 from .leaks import shingles
-from .storage import stored
+from .storage import free_name, integer_id, stored
 
 BANDS, ROWS, SIMILARITY = 25, 5, 0.8
 K = BANDS * ROWS
@@ -229,7 +229,7 @@ def components(links: DataFrame) -> DataFrame:
 def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """doc_id, class_id (the least doc_id of its group), copy_of (the least doc_id with its text) of every row."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select(F.col("doc_id").cast("long").alias("id"), text.alias("text"))
+    rows = docs.select(integer_id(docs, "doc_id").alias("id"), text.alias("text"))
     digests = stored(rows.select("id", F.unhex(F.md5(F.encode("text", "UTF-8"))).alias("digest"), F.octet_length("text").alias("n")), "digests")
     copies = digests.groupBy("digest", "n").agg(F.min("id").alias("rep"), F.count("*").alias("times")).where(F.col("rep").isNotNull())
     # every text outside `repeated` stands alone, so only texts that occur twice are joined
@@ -261,7 +261,8 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
 
 def one_of_each(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """The document of least doc_id of each group, one row of it (the least, if it has more). Rows without an id stay."""
-    kept = classes(docs, similarity).where(F.col("doc_id") == F.col("class_id")).select(F.col("doc_id").alias("_kept")).distinct()
+    name, row = free_name(docs, "_kept"), free_name(docs, "_row")
+    kept = classes(docs, similarity).where(F.col("doc_id") == F.col("class_id")).select(F.col("doc_id").alias(name)).distinct()
     rest = [c for c in docs.columns if c != "doc_id"]
-    chosen = docs.join(kept, docs["doc_id"] == kept["_kept"]).groupBy("doc_id").agg(F.min(F.struct(*rest)).alias("_row"))
-    return chosen.select("doc_id", "_row.*").select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    chosen = docs.join(kept, docs["doc_id"] == kept[name]).groupBy("doc_id").agg(F.min(F.struct(*rest)).alias(row))
+    return chosen.select("doc_id", f"{row}.*").select(*docs.columns).unionByName(docs.where("doc_id is null"))

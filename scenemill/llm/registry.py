@@ -46,7 +46,8 @@ def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"),
         F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(chat.CONTROL_TEXT).alias("text"),
     )
-    return chat.read_back(stored(chat.format_turns(rows.unionByName(probe)), "chat"))
+    turns = stored(chat.format_turns(rows.unionByName(probe)), "chat")
+    return chat.read_back(turns, stored(chat.examples(turns), "examples"))
 
 
 def op9_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

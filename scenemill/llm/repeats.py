@@ -15,12 +15,18 @@ lengths of their common prefixes. A stack scan of these gives the intervals of t
 set of occurrences with the same longest right extension. In each interval the left contexts, reversed,
 are sorted and scanned the same way: where they begin to differ the repeat cannot be extended to the left
 (the test of left diversity). Each pair of intervals whose extensions add up to LENGTH or more is a
-maximal repeat with all its occurrences; all but the first are removed. An anchor with more than GROUP
-unlike segments is not gathered: its windows are compared one by one by hash, in an aggregate and a join.
+maximal repeat with all its occurrences; all but the first are removed.
+
+Large groups. The segments of an anchor are scanned in one task, GROUP of them at most. A larger group is dealt
+further, by the place of a window's start before the anchor: windows that start up to `mid` bytes before it share
+LENGTH - mid bytes from the anchor on, the others share mid + 1 bytes before it, and each half is dealt by those bytes.
+Halving goes on for the groups that are still too large; where one place is left all windows of a group are
+the same bytes, and only their first must be found. No window is left out at any size, and what a scan finds are
+repeats in the texts themselves, whatever the hashes that dealt them.
 
 Null texts are empty. Rows with equal doc_id and equal text are one document and get equal results; rows
 of one doc_id with unlike texts are documents ordered by the CRC-32 of their texts. A null doc_id comes
-first. An empty table gives an empty result. Other columns are kept by `without_repeats` only.
+first; ids are integers. An empty table gives an empty result. Other columns are kept by `without_repeats` only.
 """
 
 from __future__ import annotations
@@ -35,10 +41,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytehash import mix, running_sum, span_hash
-from .storage import stored
+from .storage import free_name, integer_id, stored
 
-# GROUP segments are about 2 MB and a few seconds of scanning at worst
-LENGTH, GRAM, GROUP = 100, 32, 10_000
+# GROUP segments are about 400 kB
+LENGTH, GRAM, GROUP, SALTS = 100, 32, 2000, 16
 SLICE = 1 << 22
 FIRST_ID = -(1 << 63)
 
@@ -203,26 +209,47 @@ def _compare_segments(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBa
         last = {k: v[tail : tail + 1] for k, v in x.items()}
 
 
+CONTEXT_SCHEMA = "anchor long, doc long, crc long, place int, start int, bytes binary"
+
+
 def _fetch(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """anchor, doc, crc, place, start, bytes of each wanted segment; of a hot one, a row per window with its hash and no bytes."""
+    """anchor, doc, crc, place, start, bytes of each wanted segment."""
     names = ["anchor", "doc", "crc", "place", "start", "bytes"]
     types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
     for batch in batches:
         for part in (batch.slice(i, 200) for i in range(0, batch.num_rows, 200)):
             rows = []
             for doc, crc, text, wanted in zip(*(c.to_pylist() for c in part.columns)):
-                text, sums = text.encode(), None
-                for w in wanted:
-                    if w["hot"]:
-                        sums = running_sum(np.frombuffer(text, np.uint8)) if sums is None else sums
-                        p = np.arange(w["start"], w["stop"] + 1)
-                        rows += [(int(h), doc, crc, None, int(i), None) for h, i in zip(span_hash(sums, p, p + LENGTH).astype(np.int64), p)]
-                    else:
-                        rows.append((w["anchor"], doc, crc, w["place"], w["start"], text[w["start"] : w["stop"] + LENGTH]))
+                text = text.encode()
+                rows += [(w["anchor"], doc, crc, w["place"], w["start"], text[w["start"] : w["stop"] + LENGTH]) for w in wanted]
             if rows:
                 yield _columns(names, *[pa.array(c, t) for c, t in zip(zip(*rows), types)])
 
 
+def _dealt(contexts: DataFrame) -> tuple[list[DataFrame], list[DataFrame]]:
+    """Segments dealt into groups by `anchor`: frames whose groups are to be scanned, and frames of windows, equal in a group."""
+    scanned, equal = [], []
+    rest = contexts.withColumns({"lo": F.lit(0), "hi": F.lit(LENGTH - GRAM)})
+    while True:
+        large = rest.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > GROUP).select("anchor", F.lit(True).alias("large"))
+        if not large.head(1):
+            return [*scanned, rest], equal
+        salts = large.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        salted = rest.withColumn("salt", F.pmod(F.xxhash64("doc", "start"), F.lit(SALTS)).cast("int"))
+        marked = stored(salted.join(salts, ["anchor", "salt"], "left").drop("salt"), "groups")
+        scanned.append(marked.where("large is null").drop("large"))
+        split = marked.where("large").drop("large")
+        before, whole, mid = F.col("place") - F.col("start"), F.octet_length("bytes"), F.floor((F.col("lo") + F.col("hi")) / 2).cast("int")
+        key = lambda at, n, side: F.xxhash64("anchor", F.lit(side), F.substr("bytes", at + 1, n))
+        half = lambda k, lo, hi: F.struct(k.alias("anchor"), lo.alias("lo"), hi.alias("hi"))
+        right = F.when(whole - before >= LENGTH - mid, half(key(before, LENGTH - mid, 0), F.col("lo"), mid))
+        left = F.when(before > mid, half(key(before - mid - 1, mid + 1, 1), mid + 1, F.col("hi")))
+        halves = split.where("lo < hi").withColumn("to", F.explode(F.array_compact(F.array(right, left)))).select("to.anchor", "doc", "crc", "place", "start", "bytes", "to.lo", "to.hi")
+        held = (F.col("lo") <= before) & (LENGTH - F.col("lo") <= whole - before)
+        equal.append(split.where("lo = hi").where(held).select("doc", "crc", (F.col("place") - F.col("lo")).alias("start"), F.substr("bytes", before - F.col("lo") + 1, F.lit(LENGTH)).alias("window")))
+        rest = stored(halves, "halves")
+
+
 def _scan_suffixes(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """doc, crc, start, stop of what is not first in some maximal repeat, from rows sorted by anchor, document, place and start.
 
@@ -265,40 +292,38 @@ def _scan_suffixes(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield flush()
 
 
-def repeated_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """docs with `_doc` and `_crc`, and doc, crc, spans (each document's spans to remove, not united)."""
+def repeated_spans(docs: DataFrame) -> tuple[DataFrame, str, str, DataFrame]:
+    """docs with two more columns, which name a document; their names; and doc, crc, spans (each document's spans to remove, not united)."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    keyed = docs.withColumn("_doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(FIRST_ID))).withColumn("_crc", F.crc32(F.encode(text, "UTF-8")))
-    rows = keyed.select("_doc", "text").mapInArrow(_segment_rows, SEGMENT_SCHEMA)
+    doc, crc = free_name(docs, "_doc"), free_name(docs, "_crc")
+    keyed = docs.withColumn(doc, F.coalesce(integer_id(docs, "doc_id"), F.lit(FIRST_ID))).withColumn(crc, F.crc32(F.encode(text, "UTF-8")))
+    rows = keyed.select(doc, "text").mapInArrow(_segment_rows, SEGMENT_SCHEMA)
     found = stored(
         rows.repartition("anchor").sortWithinPartitions("anchor", "seg", "doc", "crc", "place").mapInArrow(_compare_segments, FOUND_SCHEMA), "segments"
     )
-    wanted = found.where("anchor is not null")
-    hot = wanted.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > GROUP).select("anchor", F.lit(True).alias("hot"))
-    asked = (
-        wanted.join(hot, "anchor", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
-        .groupBy("doc", "crc").agg(F.collect_list(F.struct("anchor", "place", "start", "stop", "hot")).alias("wanted"))
-    )
-    texts = keyed.select(F.col("_doc").alias("doc"), F.col("_crc").alias("crc"), "text").where(F.length("text") > 0)
-    got = stored(
-        texts.join(asked, ["doc", "crc"]).select("doc", "crc", "text", "wanted").mapInArrow(_fetch, "anchor long, doc long, crc long, place int, start int, bytes binary"), "contexts"
-    )
-    compared = (
-        got.where("bytes is not null").repartition("anchor").sortWithinPartitions("anchor", "doc", "crc", "place", "start")
-        .mapInArrow(_scan_suffixes, "doc long, crc long, start int, stop int")
-    )
-    windows = got.where("bytes is null").select("anchor", "doc", "crc", "start")
-    firsts = windows.groupBy("anchor").agg(F.min(F.struct("doc", "crc", "start")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    single = windows.join(firsts, "anchor").where(F.struct("doc", "crc", "start") != F.col("first")).select("doc", "crc", "start", (F.col("start") + LENGTH).alias("stop"))
-    spans = found.where("anchor is null").select("doc", "crc", "start", "stop").unionByName(compared).unionByName(single)
-    return keyed, spans.groupBy("doc", "crc").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
+    asked = found.where("anchor is not null").groupBy("doc", "crc").agg(F.collect_list(F.struct("anchor", "place", "start", "stop")).alias("wanted"))
+    texts = keyed.select(F.col(doc).alias("doc"), F.col(crc).alias("crc"), "text").where(F.length("text") > 0)
+    got = stored(texts.join(asked, ["doc", "crc"]).select("doc", "crc", "text", "wanted").mapInArrow(_fetch, CONTEXT_SCHEMA), "contexts")
+    spans = found.where("anchor is null").select("doc", "crc", "start", "stop")
+    scanned, equal = _dealt(got)
+    for part in scanned:
+        ordered = part.select(*got.columns).repartition("anchor").sortWithinPartitions("anchor", "doc", "crc", "place", "start")
+        spans = spans.unionByName(ordered.mapInArrow(_scan_suffixes, "doc long, crc long, start int, stop int"))
+    for windows in equal:
+        firsts = windows.groupBy("window").agg(F.min(F.struct("doc", "crc", "start")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+        later = windows.join(firsts, "window").where(F.struct("doc", "crc", "start") != F.col("first"))
+        spans = spans.unionByName(later.select("doc", "crc", "start", (F.col("start") + LENGTH).alias("stop")))
+    # one span for each start, and so no more of them than bytes
+    longest = spans.repartition("doc", "crc").groupBy("doc", "crc", "start").agg(F.max("stop").alias("stop"))
+    return keyed, doc, crc, longest.groupBy("doc", "crc").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
 
 
 def _with_spans(docs: DataFrame) -> DataFrame:
-    """docs with `_spans`, whatever its own columns are called."""
-    keyed, spans = repeated_spans(docs)
-    found = spans.toDF("_d", "_c", "_spans")
-    return keyed.join(found, (F.col("_doc") == F.col("_d")) & (F.col("_crc") == F.col("_c")), "left").drop("_doc", "_crc", "_d", "_c")
+    """docs and, as the last column, their spans."""
+    keyed, doc, crc, spans = repeated_spans(docs)
+    named = [free_name(docs, n) for n in ("_d", "_c", "_spans")]
+    found = spans.toDF(*named)
+    return keyed.join(found, (F.col(doc) == F.col(named[0])) & (F.col(crc) == F.col(named[1])), "left").select(*docs.columns, named[2])
 
 
 def _cut(text: bytes, spans: list | None) -> tuple[np.ndarray, np.ndarray]:
@@ -322,7 +347,7 @@ def removal(docs: DataFrame) -> DataFrame:
             if out:
                 yield _columns(["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"], batch.column(0), *zip(*out))
 
-    return _with_spans(docs.select("doc_id", "text")).select("doc_id", "text", "_spans").mapInArrow(rows, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return _with_spans(docs.select("doc_id", "text")).mapInArrow(rows, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
@@ -353,4 +378,4 @@ def without_repeats(docs: DataFrame) -> DataFrame:
             columns[where] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return _with_spans(docs).select(*names, "_spans").mapInArrow(rows, schema)
+    return _with_spans(docs).mapInArrow(rows, schema)

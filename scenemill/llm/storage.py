@@ -45,3 +45,11 @@ def integer_id(df: DataFrame, name: str) -> Column:
     if not isinstance(kind, (IntegralType, NullType)):
         raise TypeError(f"{name} must be an integer, not {kind.simpleString()}")
     return F.col(name).cast("long").alias(name)
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """`name`, or with underscores after it, so that df has no such column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

@@ -127,7 +127,7 @@ def repeat_rows():
     return rows
 
 
-@pytest.mark.parametrize("group", [repeats.GROUP, 3])
+@pytest.mark.parametrize("group", [repeats.GROUP, 20, 3])
 def test_repeats_equal_brute_force(frame, monkeypatch, group):
     monkeypatch.setattr(repeats, "GROUP", group)
     rows = repeat_rows()
