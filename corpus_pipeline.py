@@ -11,13 +11,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scenemill.llm import bpe, leaks, nearcopies, quality, repeats
-from scenemill.llm.storage import stored, table
+from scenemill.llm.storage import free_name, stored, table
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose quality score is 0.5 or more."""
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
-    return quality.score(docs, model).where(F.col("score") >= 0.5).select(*docs.columns)
+    name = free_name(docs, "_score")
+    return quality.score(docs, model, name).where(F.col(name) >= 0.5).select(*docs.columns)
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,8 +28,9 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the byte strings that stand earlier; a document of which nothing is left goes, and n_chars follows."""
+    empty = free_name(docs, "_empty")
     was_empty = F.coalesce(F.length("text"), F.lit(0)) == 0
-    cut = repeats.without_repeats(docs.withColumn("_empty", was_empty)).where(F.col("_empty") | (F.length("text") > 0))
+    cut = repeats.without_repeats(docs.withColumn(empty, was_empty)).where(F.col(empty) | (F.length("text") > 0))
     if "n_chars" in docs.columns:
         cut = cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return cut.select(*docs.columns)
@@ -52,7 +54,7 @@ STAGES = [
     ("tokens", tokenize),
 ]
 
-# No stage but the first could be put into SQL; tests hold each against a brute-force version.
+# SQL cannot express the stages; tests hold each against a brute-force version.
 ORACLE_SQL = None
 
 
