@@ -67,7 +67,7 @@ def _layers(path: Path, seen: tuple[Path, ...] = ()) -> dict[str, tuple[Any, Pat
     return base | {k: (v, path.parent) for k, v in own.items()}
 
 
-PATHS = ("manifest", "predictions", "mesh_root")
+PATHS = ("manifest", "predictions", "prediction_dir", "mesh_root")
 
 
 def _placed(parameters: dict, folder: Path) -> dict:

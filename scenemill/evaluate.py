@@ -4,75 +4,193 @@ from __future__ import annotations
 
 import datetime
 import json
-from pathlib import Path
+from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .config import Experiment, Registry
 from .operators import bootstrap, matching, scene_metrics as M
-from .sources import scenes as S
+from .operators.ranking import checkpointed
+from .sources import meshes, scenes as S
 
-METRICS = Registry("metric")
-for _name in ("layout_iou_3d", "collision_rate", "layout_violation_rate", "layout_penetration", "object_map", "object_map_dataset"):
-    METRICS.register(_name)(_name)
+DATASETS, MODELS, METRICS = Registry("dataset"), Registry("model"), Registry("metric")
+
+
+@dataclass(frozen=True)
+class Metric:
+    """compute(tables, parameters) gives sample_id, value; of a metric over the whole dataset one row with a value."""
+
+    compute: Callable[[dict[str, DataFrame], dict], DataFrame]
+    whole: bool = False
+
+
+def per_scene(name: str):
+    """Register a function of tables and parameters as a metric of scenes."""
+    return lambda compute: METRICS.register(name)(Metric(compute)).compute
+
+
+def per_dataset(name: str):
+    return lambda compute: METRICS.register(name)(Metric(compute, True)).compute
+
+
+@DATASETS.register("manifest")
+def _manifest(spark: SparkSession, parameters: dict) -> DataFrame:
+    """sample_id, ordinal, input, metadata, gt."""
+    return S.read_manifest(spark, parameters["manifest"])
+
+
+@MODELS.register("fixture")
+def _fixture(spark: SparkSession, parameters: dict, manifest: DataFrame) -> DataFrame:
+    """sample_id, prediction (scene JSON): stored predictions."""
+    folder = parameters.get("predictions", parameters.get("prediction_dir"))
+    if folder is None:
+        raise ValueError("stored predictions need prediction_dir")
+    return S.read_predictions(spark, folder, manifest)
+
+
+DATASETS.alias("igibson", "manifest")
 
 
 def tables(spark: SparkSession, experiment: Experiment) -> dict[str, DataFrame]:
-    """scenes, preds, labels (boxes of either form) and the raw predictions of an experiment with stored predictions."""
-    manifest = S.read_manifest(spark, experiment.dataset["parameters"]["manifest"])
-    raw = S.read_predictions(spark, experiment.model["parameters"]["predictions"], manifest)
+    """scenes, preds, labels (boxes of either form) and the raw predictions, as the experiment's dataset and model give them."""
+    manifest = DATASETS.get(experiment.dataset["type"])(spark, experiment.dataset["parameters"])
+    raw = MODELS.get(experiment.model["type"])(spark, experiment.model["parameters"], manifest)
     truth, pred = S.decoded(manifest.select("sample_id", "ordinal", "gt"), "gt"), S.decoded(raw, "prediction")
-    boxed = lambda df: S.objects(df).select("sample_id", "obj_idx", "label", "score", S.either(F.col("bbox")).alias("box"))
+    # parsed once for all metrics
+    boxed = lambda df: checkpointed(S.objects(df).select("sample_id", "obj_idx", "label", "score", S.either(F.col("bbox")).alias("box"), "attributes"))
     scenes = truth.select("sample_id", "ordinal", F.col("gt").isNotNull().alias("has_gt"), S.either(F.col("layout")).alias("gt_layout")).join(
         pred.select("sample_id", S.either(F.col("layout")).alias("pred_layout")), "sample_id"
     )
+    scenes = checkpointed(scenes)
+    if scenes.count() != manifest.count():
+        raise ValueError("scenes and predictions are not one to one")
     return {"scenes": scenes, "preds": boxed(pred), "labels": boxed(truth), "raw": raw}
 
 
+def _protocol(t: dict[str, DataFrame], p: dict) -> tuple[DataFrame, DataFrame]:
+    """Predictions and labels under the metric's class map and classes."""
+    return tuple(matching.class_protocol(t[k], p.get("class_map"), p.get("classes")) for k in ("preds", "labels"))
+
+
+@per_scene("layout_iou_3d")
+def _layout_iou(t, p):
+    return M.layout_iou(t["scenes"].where("has_gt"))
+
+
+@per_scene("collision_rate")
+def _collisions(t, p):
+    return M.collision_rate(t["scenes"], _protocol(t, p)[0], p.get("minimum_intersection", 0.0))
+
+
+@per_scene("layout_violation_rate")
+def _violations(t, p):
+    return M.layout_violation_rate(t["scenes"], _protocol(t, p)[0], p.get("tolerance", 0.0))
+
+
+@per_scene("layout_penetration")
+def _penetration(t, p):
+    return M.layout_penetration(t["scenes"], _protocol(t, p)[0])
+
+
+@per_scene("object_map")
+def _object_map(t, p):
+    bound = p.get("class_map") is not None or p.get("classes") is not None
+    return M.object_map(t["scenes"].where("has_gt"), *_protocol(t, p), p.get("iou_threshold", 0.5), None if bound else 0.0)
+
+
+@per_dataset("object_map_dataset")
+def _dataset_map(t, p):
+    preds, labels = _protocol(t, p)
+    per_class = M.dataset_map(preds.join(t["scenes"].where("has_gt").select("sample_id"), "sample_id", "left_semi"), labels, p.get("iou_threshold", 0.5))
+    return per_class.agg(F.coalesce(F.avg("ap"), F.lit(0.0)).alias("value"))
+
+
+FOLDERS = 10_000
+
+
+def clouds(objects: DataFrame, count: int, seed: int, root: str | None) -> DataFrame:
+    """sample_id, obj_idx, cloud of the objects that have a shape. Each file is read and sampled once, whoever names it."""
+    points, path = S.shape_of(F.col("attributes"))
+    named = objects.where("attributes['shape'] is not null").select("sample_id", "obj_idx", points.alias("points"), path.alias("path"))
+    named = named.withColumn("path", S.plain(S.resolved(root, F.col("path"))) if root else S.plain(F.col("path")))
+    inline = named.where("path is null").select("sample_id", "obj_idx", F.col("points").alias("cloud"))
+    wanted = named.where("path is not null").select("path").distinct()
+    parents = wanted.select(F.regexp_extract("path", r"^(.*)/", 1).alias("d")).distinct().limit(FOLDERS + 1).collect()
+    if not parents:
+        return inline
+    if len(parents) > FOLDERS and not root:
+        raise ValueError("shapes lie in too many folders: give mesh_root")
+    read = meshes.read_meshes(objects.sparkSession, root if root else [r["d"] for r in parents], wanted)
+    drawn = meshes.sampled_clouds(read, count, seed).withColumn("path", S.plain(F.col("path")))
+    return inline.unionByName(named.join(drawn, "path").select("sample_id", "obj_idx", "cloud"))
+
+
+def _shapes(t: dict[str, DataFrame], p: dict) -> DataFrame:
+    """sample_id, chamfer, fscore, worked out once for metrics of equal parameters."""
+    known = {k: p.get(k, d) for k, d in (("iou_threshold", 0.15), ("num_points", 2048), ("seed", 0), ("squared", True), ("fscore_threshold", 0.1), ("normalize", "none"), ("mesh_root", None))}
+    if known["num_points"] <= 0:
+        raise ValueError("num_points must be positive")
+    key = "shapes " + repr(known)
+    if key not in t:
+        have = t["preds"].join(t["scenes"].where("has_gt").select("sample_id"), "sample_id", "left_semi")
+        sides = [clouds(o, known["num_points"], known["seed"], known["mesh_root"]) for o in (have, t["labels"])]
+        t[key] = checkpointed(M.shape_scores(have, t["labels"], *sides, known["iou_threshold"], known["normalize"], known["squared"], known["fscore_threshold"]))
+    return t["scenes"].where("has_gt").select("sample_id").join(t[key], "sample_id", "left")
+
+
+@per_scene("mesh_chamfer")
+def _mesh_chamfer(t, p):
+    return _shapes(t, p).select("sample_id", F.col("chamfer").alias("value"))
+
+
+@per_scene("mesh_fscore")
+def _mesh_fscore(t, p):
+    return _shapes(t, p).select("sample_id", F.col("fscore").alias("value"))
+
+
 def metric(kind: str, parameters: dict, t: dict[str, DataFrame]) -> DataFrame:
     """sample_id, value; of a dataset metric one row without sample_id."""
-    scenes, rename, keep = t["scenes"], parameters.get("class_map"), parameters.get("classes")
-    preds, labels = (matching.class_protocol(t[k], rename, keep) for k in ("preds", "labels"))
-    known = scenes.where("has_gt")
-    threshold = parameters.get("iou_threshold", 0.5)
-    if kind == "layout_iou_3d":
-        return M.layout_iou(known)
-    if kind == "collision_rate":
-        return M.collision_rate(scenes, preds, parameters.get("minimum_intersection", 0.0))
-    if kind == "layout_violation_rate":
-        return M.layout_violation_rate(scenes, preds, parameters.get("tolerance", 0.0))
-    if kind == "layout_penetration":
-        return M.layout_penetration(scenes, preds)
-    if kind == "object_map":
-        return M.object_map(known, preds, labels, threshold, None if rename is not None or keep is not None else 0.0)
-    per_class = M.dataset_map(preds.join(known.select("sample_id"), "sample_id", "left_semi"), labels, threshold)
-    return per_class.agg(F.coalesce(F.avg("ap"), F.lit(0.0)).alias("value"))
+    return METRICS.get(kind).compute(t, parameters)
+
+
+def _put(spark: SparkSession, path: str, text: str) -> None:
+    """A small file in whatever store the path names, replaced whole."""
+    jvm = spark._jvm
+    place, made = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(path + ".part")
+    store = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    out = store.create(made, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+    store.delete(place, False)
+    if not store.rename(made, place):
+        raise OSError(f"{path} could not be written")
 
 
 def run(spark: SparkSession, experiment: Experiment) -> dict[str, dict]:
-    """Write predictions/, metrics.jsonl/, summary.json, report.md and run.json; return the summary."""
-    t = tables(spark, experiment)
-    out = Path(experiment.output_dir)
+    """Write predictions/, metrics.jsonl/ (a folder of parts in order), summary.json, report.md and run.json; return the summary."""
     named = {m["parameters"].get("name", m["type"]): (METRICS.get(m["type"]), m["parameters"]) for m in experiment.metrics}
-    per_scene = {n: metric(k, p, t) for n, (k, p) in named.items() if k != "object_map_dataset"}
+    t = tables(spark, experiment)
+    out = experiment.output_dir.rstrip("/")
+    scores = {n: k.compute(t, p) for n, (k, p) in named.items() if not k.whole}
     summary: dict[str, dict] = {}
-    if per_scene:
-        values = M.long_form(per_scene).join(t["scenes"].select("sample_id", "ordinal"), "sample_id").cache()
+    if scores:
+        values = checkpointed(M.long_form(scores).join(t["scenes"].select("sample_id", "ordinal"), "sample_id"))
         rows = values.where("value is not null").groupBy("sample_id", "ordinal").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("metric", "value")))).alias("metrics"))
-        t["scenes"].select("sample_id", "ordinal").join(rows, ["sample_id", "ordinal"], "left").orderBy("ordinal").select("sample_id", "metrics").write.mode("overwrite").json(str(out / "metrics.jsonl"))
+        t["scenes"].select("sample_id", "ordinal").join(rows, ["sample_id", "ordinal"], "left").orderBy("ordinal").select("sample_id", "metrics").write.mode("overwrite").json(f"{out}/metrics.jsonl")
         bounds = {r["metric"]: r for r in bootstrap.intervals(values, experiment.seed).collect()}
         for r in M.summary(values).collect():  # a row per metric
             n = r["metric"]
-            summary[n] = {"count": r["n"]} | ({"mean": r["mean"], "median": r["median"], "ci_low": bounds[n]["ci_low"], "ci_high": bounds[n]["ci_high"]} if r["n"] else {})
-        values.unpersist()
+            summary[n] = {"count": r["n"]} | ({"mean": r["mean"], "median": r["median"], "ci95_low": bounds[n]["ci_low"], "ci95_high": bounds[n]["ci_high"]} if r["n"] else {})
     for n, (k, p) in named.items():
-        if k == "object_map_dataset":
-            summary[n] = {"dataset": True, "value": metric(k, p, t).first()["value"]}
-    t["raw"].select("sample_id", "prediction").write.mode("overwrite").parquet(str(out / "predictions"))
-    (out / "summary.json").write_text(json.dumps(summary, indent=2, sort_keys=True))
-    (out / "report.md").write_text(report(experiment.name, {n: summary[n] for n in named}))
-    (out / "run.json").write_text(json.dumps({"time": datetime.datetime.now(datetime.UTC).isoformat(), "seed": experiment.seed, "name": experiment.name, "metrics": experiment.metrics}, indent=2))
+        if k.whole:
+            summary[n] = {"dataset": True, "value": k.compute(t, p).first()["value"]}
+    t["raw"].select("sample_id", "prediction").write.mode("overwrite").parquet(f"{out}/predictions")
+    _put(spark, f"{out}/summary.json", json.dumps(summary, indent=2, sort_keys=True))
+    _put(spark, f"{out}/report.md", report(experiment.name, {n: summary[n] for n in named}))
+    about = {"time": datetime.datetime.now(datetime.UTC).isoformat(), "spark": spark.version} | {k: getattr(experiment, k) for k in ("seed", "name", "dataset", "model", "metrics")}
+    _put(spark, f"{out}/run.json", json.dumps(about, indent=2))
     return summary
 
 
@@ -85,5 +203,5 @@ def report(name: str, summary: dict[str, dict]) -> str:
         elif not s["count"]:
             lines.append(f"| {n} | 0 | n/a | n/a | n/a |")
         else:
-            lines.append(f"| {n} | {s['count']} | {s['mean']:.6f} | {s['median']:.6f} | [{s['ci_low']:.6f}, {s['ci_high']:.6f}] |")
+            lines.append(f"| {n} | {s['count']} | {s['mean']:.6f} | {s['median']:.6f} | [{s['ci95_low']:.6f}, {s['ci95_high']:.6f}] |")
     return "\n".join(lines) + "\n"

@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.boxes import grown
+from ..functions.boxes import bounds, corners, grown
+from ..functions.polygons import footprint_overlap
+from .panoramas import edges
 from .ranking import numbered
 
-EXPAND, WALL, SHORT_EDGE = 0.1, 0.1, 1e-9
+EXPAND, WALL, SHORT_EDGE = 0.1, 0.05, 1e-9
 
 
 def touching(objects: DataFrame, expand: float = EXPAND) -> DataFrame:
@@ -20,6 +22,49 @@ def touching(objects: DataFrame, expand: float = EXPAND) -> DataFrame:
     return a.join(b, on).select(F.col("a.sample_id").alias("sample_id"), F.col("a.obj_idx").alias("source"), F.col("b.obj_idx").alias("target"))
 
 
+def _oriented(cx, cy, cz, sx, sy, sz, ax, ay) -> Column:
+    zero, one = F.lit(0.0), F.lit(1.0)
+    basis = F.array(F.array(ax, ay, zero), F.array(-ay, ax, zero), F.array(zero, zero, one))
+    return F.struct(F.array(cx, cy, cz).alias("center"), F.array(sx, sy, sz).alias("size"), basis.alias("basis"))
+
+
+def shell(layouts: DataFrame, thickness: float = WALL) -> DataFrame:
+    """sample_id, target, relation_type, box (oriented): floor, ceiling and a wall per edge of each layout (ring, floor_z, ceiling_z)."""
+    t, one, zero = F.lit(thickness), F.lit(1.0), F.lit(0.0)
+    low, high = [F.array_min(F.transform("ring", lambda p, d=d: p[d])) for d in (0, 1)], [F.array_max(F.transform("ring", lambda p, d=d: p[d])) for d in (0, 1)]
+    slab = lambda z: _oriented((low[0] + high[0]) / 2, (low[1] + high[1]) / 2, z, high[0] - low[0], high[1] - low[1], t, one, zero)
+    named = lambda n, r, b: F.struct(n.alias("target"), F.lit(r).alias("relation_type"), b.alias("box"))
+    length = lambda e: F.sqrt(e["ex"] * e["ex"] + e["ey"] * e["ey"])
+    sides = F.filter(edges(F.col("ring")), lambda e: length(e) > SHORT_EDGE)
+    rise = F.col("ceiling_z") - F.col("floor_z")
+    wall = lambda e: _oriented(e["x"] + e["ex"] / 2, e["y"] + e["ey"] / 2, F.col("floor_z") + rise / 2, length(e), t, rise, e["ex"] / length(e), e["ey"] / length(e))
+    upright = F.transform(sides, lambda e, i: named(F.concat(F.lit("layout::wall_"), i.cast("string")), "touching_wall", wall(e)))
+    flat = F.array(named(F.lit("layout::floor"), "touching_floor", slab(F.col("floor_z"))), named(F.lit("layout::ceiling"), "touching_ceiling", slab(F.col("ceiling_z"))))
+    return layouts.select("sample_id", F.explode(F.concat(flat, upright)).alias("s")).select("sample_id", "s.*")
+
+
+def relations(objects: DataFrame, layouts: DataFrame, expand: float = EXPAND) -> DataFrame:
+    """sample_id, source, target, relation_type: objects that touch each other, the floor, the ceiling or a wall once all are grown.
+
+    objects: sample_id, obj_idx, object_id, box (oriented); an object comes before those of higher obj_idx. Heights and
+    bounds are compared first; only pairs that are not along the axes go on to have their footprints clipped.
+    """
+    o = objects.select("sample_id", "obj_idx", "object_id", F.col("box").alias("a"))
+    p = objects.select("sample_id", F.col("obj_idx").alias("_j"), F.col("object_id").alias("target"), F.col("box").alias("b"))
+    among = o.join(p, "sample_id").where(F.col("obj_idx") < F.col("_j")).select("sample_id", F.col("object_id").alias("source"), "target", F.lit("touching").alias("relation_type"), "a", "b")
+    part = shell(layouts).withColumnRenamed("box", "b")
+    around = o.join(part, "sample_id").select("sample_id", F.col("object_id").alias("source"), "target", "relation_type", "a", "b")
+    pairs = among.unionByName(around)
+    wide = lambda c: F.struct(F.col(c)["center"].alias("center"), F.transform(F.col(c)["size"], lambda x: F.greatest(x + expand, F.lit(0.01))).alias("size"), F.col(c)["basis"].alias("basis"))
+    pairs = pairs.withColumns({"_a": corners(wide("a")), "_b": corners(wide("b"))}).withColumns({"_p": bounds(F.col("_a")), "_q": bounds(F.col("_b"))})
+    meets = lambda k: F.least(F.col(f"_p.{k}1"), F.col(f"_q.{k}1")) > F.greatest(F.col(f"_p.{k}0"), F.col(f"_q.{k}0"))
+    square = lambda c: F.col(c)["basis"][0][0] * F.col(c)["basis"][0][1] == 0
+    near = pairs.where(meets("z") & meets("x") & meets("y")).withColumn("_plain", square("a") & square("b"))
+    empty = F.array().cast("array<array<double>>")
+    area = footprint_overlap(*[F.when(F.col("_plain"), empty).otherwise(F.col(c)) for c in ("_a", "_b")])
+    return near.withColumn("_area", area).where(F.col("_plain") | (F.col("_area") > 0)).select("sample_id", "source", "target", "relation_type")
+
+
 def walls(rooms: DataFrame, ring: str = "ring", thickness: float = WALL) -> DataFrame:
     """A box per edge of a room's contour: room columns, edge, cx, cy, cz, length, thickness, height, ax, ay (direction).
 
@@ -45,19 +90,24 @@ def camera_grid(rooms: DataFrame, steps: int = 31, margin: float = 0.0) -> DataF
 
 
 def ray_ranges(rooms: DataFrame, key: str, columns: int, ring: str = "ring") -> DataFrame:
-    """key, col, distance from (cx, cy) to the contour along each of `columns` directions; null where a ray meets none."""
-    e = rooms.select(key, "cx", "cy", F.col(ring).alias("_r"), F.posexplode(ring).alias("edge", "p"))
-    e = e.withColumn("q", F.element_at("_r", ((F.col("edge") + 1) % F.size("_r") + 1).cast("int"))).drop("_r")
-    rays = e.select("*", F.explode(F.sequence(F.lit(0), F.lit(columns - 1))).alias("col"))
-    turn = (F.col("col") + 0.5) * (2 * 3.141592653589793 / columns)
-    ux, uy = F.cos(turn), F.sin(turn)
-    ex, ey = F.col("q")[0] - F.col("p")[0], F.col("q")[1] - F.col("p")[1]
-    px, py = F.col("p")[0] - F.col("cx"), F.col("p")[1] - F.col("cy")
-    cross = ux * ey - uy * ex
-    meets = F.when(F.abs(cross) > 1e-12, cross)
-    along, share = (px * ey - py * ex) / meets, (px * uy - py * ux) / meets
-    hit = F.when((along >= 0) & (share >= 0) & (share <= 1), along)
-    return rays.groupBy(key, "col").agg(F.min(hit).alias("distance"))
+    """key, col, distance from (cx, cy) to the contour along each of `columns` directions; null where a ray meets none.
+
+    All of it is worked out in the room's row; nothing is shuffled.
+    """
+    sides = rooms.select(key, "cx", "cy", edges(F.col(ring)).alias("_e"))
+
+    def nearest(col: Column) -> Column:
+        turn = (col + 0.5) * (2 * 3.141592653589793 / columns)
+        ux, uy = F.cos(turn), F.sin(turn)
+
+        def hit(e: Column) -> Column:
+            cross, px, py = ux * e["ey"] - uy * e["ex"], e["x"] - F.col("cx"), e["y"] - F.col("cy")
+            along, share = (px * e["ey"] - py * e["ex"]) / cross, (px * uy - py * ux) / cross
+            return F.when((F.abs(cross) > 1e-12) & (along >= 0) & (share >= 0) & (share <= 1), along)
+
+        return F.array_min(F.transform("_e", hit))
+
+    return sides.select(key, F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(columns - 1)), nearest)).alias("col", "distance"))
 
 
 def mask_runs(pixels: DataFrame, key: str) -> DataFrame:

@@ -82,17 +82,32 @@ def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.concatenate([((a[i : i + BLOCK, None, :] - b[None]) ** 2).sum(axis=2).min(axis=1) for i in range(0, len(a), BLOCK)])
 
 
-def cloud_scores(pairs: DataFrame, key: str, pred: str = "pred", truth: str = "truth", threshold: float = 0.1) -> DataFrame:
+def numpy_normalized(a: np.ndarray, b: np.ndarray, how: str) -> tuple[np.ndarray, np.ndarray]:
+    """As normalized, of a prediction and its truth."""
+    size = lambda x: float(np.sqrt(((x.max(axis=0) - x.min(axis=0)) ** 2).sum())) or 1.0
+    if how == "unit":
+        return (a - b.mean(axis=0)) / size(b), (b - b.mean(axis=0)) / size(b)
+    if how == "canonical":
+        return tuple((x - (x.min(axis=0) + x.max(axis=0)) / 2) / size(x) for x in (a, b))
+    return a, b
+
+
+def cloud_scores(pairs: DataFrame, key: str, pred: str = "pred", truth: str = "truth", threshold: float = 0.1, how: str = "none", squared: bool = True) -> DataFrame:
     """key, chamfer, fscore of pairs of large clouds."""
+    if how not in ("none", "unit", "canonical"):
+        raise ValueError(f"unknown normalisation {how!r}")
+    kind = pairs.schema[key].dataType.simpleString()
 
     def rows(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
             out = []
             for k, a, b in zip(pdf[key], pdf[pred], pdf[truth]):
-                a, b = np.array([list(p) for p in a]), np.array([list(p) for p in b])
+                a, b = numpy_normalized(*(np.array([list(p) for p in x], float) for x in (a, b)), how)
                 forth, back = distances(a, b), distances(b, a)
                 p, r = (forth <= threshold**2).mean(), (back <= threshold**2).mean()
+                if not squared:
+                    forth, back = np.sqrt(forth), np.sqrt(back)
                 out.append((k, forth.mean() + back.mean(), 2 * p * r / (p + r) if p + r else 0.0))
             yield pd.DataFrame(out, columns=[key, "chamfer", "fscore"])
 
-    return pairs.select(key, pred, truth).mapInPandas(rows, f"{key} long, chamfer double, fscore double")
+    return pairs.select(key, pred, truth).mapInPandas(rows, f"{key} {kind}, chamfer double, fscore double")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.boxes import as_oriented, box, iou, volume
 from ..functions.polygons import oriented_iou
 from ..operators import bootstrap, matching, scene_metrics as M
+from ..operators.ranking import checkpointed
 from . import views as V
 from .views import VIEW_SQL, iou_sql, overlap_sql, volume_sql
 
@@ -83,7 +84,7 @@ def map_dataset(spark, sf):
 
 
 def _values(spark, sf):
-    scenes, preds, labels = V.scenes(spark, sf), V.pred_objects(spark, sf), V.gt_objects(spark, sf)
+    scenes, preds, labels = V.scenes(spark, sf), checkpointed(V.pred_objects(spark, sf)), checkpointed(V.gt_objects(spark, sf))  # read by each metric
     return M.long_form({
         "layout_iou_3d": M.layout_iou(scenes),
         "collision_rate": M.collision_rate(scenes, preds),

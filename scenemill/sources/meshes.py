@@ -15,6 +15,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .scenes import plain
 
 # fixed values: PLY's scalar names and glTF's component types
 PLY_TYPES = {"char": "i1", "int8": "i1", "uchar": "u1", "uint8": "u1", "short": "<i2", "int16": "<i2", "ushort": "<u2", "uint16": "<u2", "int": "<i4", "int32": "<i4", "uint": "<u4", "uint32": "<u4", "float": "<f4", "float32": "<f4", "double": "<f8", "float64": "<f8"}
@@ -46,7 +49,8 @@ def parse_obj(data: bytes) -> Mesh:
 
 
 def parse_ply(data: bytes) -> Mesh:
-    head, _, body = data.partition(b"end_header\n")
+    end = data.find(b"\n", data.index(b"end_header"))  # after a line feed, with or without a carriage return
+    head, body = data[:end], data[end + 1 :]
     lines = [x.split() for x in head.decode("ascii").splitlines()]
     form = next(x[1] for x in lines if x and x[0] == "format")
     elements: list[tuple[str, int, list]] = []
@@ -112,7 +116,8 @@ def _accessor(doc: dict, binary: bytes, number: int) -> np.ndarray:
 def _local(node: dict) -> np.ndarray:
     if "matrix" in node:
         return np.array(node["matrix"], float).reshape(4, 4).T
-    x, y, z, w = node.get("rotation", (0, 0, 0, 1))
+    turned = np.array(node.get("rotation", (0, 0, 0, 1)), float)
+    x, y, z, w = turned / (np.linalg.norm(turned) or 1.0)
     turn = np.array([[1 - 2 * (y * y + z * z), 2 * (x * y - z * w), 2 * (x * z + y * w)], [2 * (x * y + z * w), 1 - 2 * (x * x + z * z), 2 * (y * z - x * w)], [2 * (x * z - y * w), 2 * (y * z + x * w), 1 - 2 * (x * x + y * y)]])
     out = np.eye(4)
     out[:3, :3], out[:3, 3] = turn * np.array(node.get("scale", (1, 1, 1))), node.get("translation", (0, 0, 0))
@@ -134,17 +139,21 @@ def parse_glb(data: bytes) -> Mesh:
         world = above @ _local(node)
         todo += [(c, world, (*path, number)) for c in node.get("children", ())]
         for part in doc["meshes"][node["mesh"]]["primitives"] if "mesh" in node else ():
-            if part.get("mode", 4) != 4 or "targets" in part:
+            if part.get("mode", 4) != 4 or "targets" in part or part.get("extensions"):
                 raise ValueError("only plain triangles are read")
             v = _accessor(doc, binary, part["attributes"]["POSITION"]).astype(float) @ world[:3, :3].T + world[:3, 3]
             index = _accessor(doc, binary, part["indices"]).ravel().astype(int) if "indices" in part else np.arange(len(v))
+            if len(index) % 3 or len(index) and not 0 <= index.min() <= index.max() < len(v):
+                raise ValueError("indices do not make triangles of the part's vertices")
             vertices.append(np.column_stack([v[:, 0], -v[:, 2], v[:, 1]]))
             faces.append(index + total)
             total += len(v)
-    v = np.concatenate(vertices) if vertices else np.zeros((0, 3))
+    if not sum(map(len, faces)):
+        raise ValueError("there are no triangles")
+    v = np.concatenate(vertices)
     if not np.isfinite(v).all():
         raise ValueError("a vertex is not finite")
-    return _mesh(v, np.concatenate(faces) if faces else [])
+    return _mesh(v, np.concatenate(faces))
 
 
 def glb_bounds(head: bytes) -> tuple[list[float], list[float]]:
@@ -157,14 +166,15 @@ def glb_bounds(head: bytes) -> tuple[list[float], list[float]]:
     return low.tolist(), high.tolist()
 
 
-PARSERS = {"obj": parse_obj, "ply": parse_ply, "f32": parse_f32, "json": parse_json, "glb": parse_glb}
+PARSERS = {"obj": parse_obj, "ply": parse_ply, "f32": parse_f32, "bin": parse_f32, "json": parse_json, "glb": parse_glb}
 
 
-def read_meshes(spark: SparkSession, path: str, wanted: DataFrame | None = None) -> DataFrame:
-    """path, vertices, faces of the files below a folder. wanted: only those whose path it has, found before any is opened."""
+def read_meshes(spark: SparkSession, path: str | list[str], wanted: DataFrame | None = None) -> DataFrame:
+    """path, vertices, faces of the files below a folder, or several. wanted: only those whose path it has, scheme aside, found before any is opened."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     if wanted is not None:
-        files = files.join(wanted.select("path").distinct(), "path", "left_semi")
+        names = wanted.select(plain(F.col("path")).alias("_p")).distinct()
+        files = files.join(names, plain(F.col("path")) == F.col("_p"), "left_semi")
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -178,6 +188,91 @@ def read_meshes(spark: SparkSession, path: str, wanted: DataFrame | None = None)
     return files.select("path", "content").mapInArrow(parse, "path string, vertices array<array<double>>, faces array<array<int>>")
 
 
+def read_bounds(spark: SparkSession, path: str) -> DataFrame:
+    """path, low, high of every GLB file below a folder, from its accessors' own bounds: coordinates are not decoded."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names = batch.column(0).to_pylist()
+            found = [glb_bounds(data) for data in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(names), *[pa.array([f[k] for f in found], pa.list_(pa.float64())) for k in (0, 1)]], names=["path", "low", "high"])
+
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.glb").load(path)
+    return files.select("path", "content").mapInArrow(scan, "path string, low array<double>, high array<double>")
+
+
+def room_files(spark: SparkSession, path: str, wanted: DataFrame | None = None) -> DataFrame:
+    """room_id, file of <path>/<house>/<room>/*.glb, contents unread. wanted: rooms (room_id) that must be there; others go."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.glb").load(path)
+    parts = F.split("path", "/")
+    named = files.select(F.concat_ws("/", F.element_at(parts, -3), F.element_at(parts, -2)).alias("room_id"), F.element_at(parts, -1).alias("file"))
+    if wanted is None:
+        return named
+    lost = wanted.select("room_id").distinct().join(named, "room_id", "left_anti").orderBy("room_id").limit(6).collect()
+    if lost:
+        raise ValueError(f"listed rooms without a GLB file: {', '.join(r[0] for r in lost[:5])}")
+    return named.join(wanted.select("room_id").distinct(), "room_id", "left_semi")
+
+
+def furniture(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Furniture of source scenes, unpacked to <path>/<house>.json: (house, jid, size, category, title) and (house, room, jid, pos, size) of placed pieces.
+
+    A size is three numbers, possibly in lists of one; a placed piece's is stretched by its scale. Pieces without a size or
+    with a scale that is not three finite numbers are left out.
+    """
+    piece = "struct<uid:string,jid:string,size:string,bbox:string,sourceCategoryId:string,title:string>"
+    kind = f"furniture array<{piece}>, scene struct<room:array<struct<instanceid:string,children:array<struct<ref:string,scale:array<double>>>>>>"
+    files = spark.read.option("pathGlobFilter", "*.json").text(path, wholetext=True)
+    scene = files.select(F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.json$", 1).alias("house"), F.from_json("value", kind).alias("s"))
+    flat = lambda c: F.transform(F.from_json(F.regexp_replace(F.regexp_replace(c, r"^\[+", "["), r"\]+$", "]"), "array<double>"), F.abs)
+    items = scene.select("house", F.explode("s.furniture").alias("f")).where("f.jid <> ''").select(
+        "house", "f.uid", "f.jid", flat(F.coalesce("f.size", "f.bbox")).alias("size"), F.col("f.sourceCategoryId").alias("category"), F.col("f.title").alias("title")
+    )
+    sized = items.where(F.size("size") == 3)
+    child = scene.select("house", F.explode("s.scene.room").alias("r")).select("house", F.col("r.instanceid").alias("room"), F.posexplode("r.children").alias("pos", "c"))
+    factor = F.coalesce(F.col("c.scale"), F.array(*[F.lit(1.0)] * 3))
+    sound = (F.size(factor) == 3) & F.forall(factor, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
+    placed = child.where(sound).withColumns({"uid": F.col("c.ref"), "_f": factor}).join(sized.select("house", "uid", "jid", "size"), ["house", "uid"])
+    return sized.drop("uid"), placed.select("house", "room", "jid", "pos", F.zip_with("size", F.transform("_f", F.abs), lambda a, b: a * b).alias("size"))
+
+
+def ply_bytes(vertices: np.ndarray, faces: np.ndarray) -> bytes:
+    """A mesh as a binary little-endian PLY file."""
+    head = f"ply\nformat binary_little_endian 1.0\nelement vertex {len(vertices)}\nproperty float x\nproperty float y\nproperty float z\nelement face {len(faces)}\nproperty list uchar int vertex_indices\nend_header\n"
+    rows = np.empty(len(faces), np.dtype([("n", "u1"), ("i", "<i4", 3)]))
+    rows["n"], rows["i"] = 3, np.asarray(faces, int).reshape(-1, 3)
+    return head.encode() + np.asarray(vertices, "<f4").tobytes() + rows.tobytes()
+
+
+def f32_bytes(points: np.ndarray) -> bytes:
+    return np.asarray(points, "<f4").tobytes()
+
+
+def packed_meshes(meshes: DataFrame) -> DataFrame:
+    """path, ply, f32 of meshes (path, vertices, faces): files as binary columns, for a writer of binary data."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held = [(np.array(v, float).reshape(-1, 3), np.array(f, int).reshape(-1, 3)) for v, f in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([ply_bytes(*m) for m in held], pa.binary()), pa.array([f32_bytes(v) for v, _ in held], pa.binary())], names=["path", "ply", "f32"])
+
+    return meshes.select("path", "vertices", "faces").mapInArrow(pack, "path string, ply binary, f32 binary")
+
+
+def sampled_clouds(meshes: DataFrame, count: int, seed: int) -> DataFrame:
+    """path, cloud: `count` points over the faces of each mesh, every mesh with a fresh generator; files of bare points as they are."""
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for v, f in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                v, f = np.array(v, float).reshape(-1, 3), np.array(f, int).reshape(-1, 3)
+                out.append((sample_surface(v, f, count, seed) if len(f) else v).tolist())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.list_(pa.float64())))], names=["path", "cloud"])
+
+    return meshes.select("path", "vertices", "faces").mapInArrow(draw, "path string, cloud array<array<double>>")
+
+
 def sample_surface(vertices: np.ndarray, faces: np.ndarray, count: int, seed: int) -> np.ndarray:
     """Points drawn evenly over a mesh's triangles by Python's own generator; without area, the vertices in turn."""
     corner = vertices[faces]

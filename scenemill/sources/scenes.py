@@ -22,11 +22,11 @@ def _need(value: Column, message: Column) -> Column:
     return F.when(value.isNull(), F.raise_error(message).cast("string")).otherwise(value)
 
 
-def _resolved(folder: str, path: Column) -> Column:
+def resolved(folder: str, path: Column) -> Column:
     return F.when(path.rlike("^(/|[a-z0-9]+:)"), path).otherwise(F.concat(F.lit(folder.rstrip("/") + "/"), path))
 
 
-def _plain(path: Column) -> Column:
+def plain(path: Column) -> Column:
     """A path without scheme or doubled slashes, to compare listings with manifests."""
     return F.regexp_replace(F.regexp_replace(path, "^[a-z0-9]+:(//)?", ""), "/+", "/")
 
@@ -52,16 +52,16 @@ def read_manifest(spark: SparkSession, path: str, check_inputs: bool = True) ->
     at = F.concat(F.lit("manifest line after row "), F.col("ordinal").cast("string"), F.lit(": "))
     r = lines.withColumn("r", F.from_json("value", RECORD, JSON)).select(
         _need(F.col("r.sample_id"), F.concat(at, F.lit("sample_id is missing"))).alias("sample_id"), "ordinal",
-        _resolved(folder, _need(F.col("r.input"), F.concat(at, F.lit("input is missing")))).alias("input"),
+        resolved(folder, _need(F.col("r.input"), F.concat(at, F.lit("input is missing")))).alias("input"),
         F.col("r.metadata").alias("metadata"), F.col("r.ground_truth").alias("truth"),
     )
-    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select(_plain(F.col("path")).alias("_path"))
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select(plain(F.col("path")).alias("_path"))
     if check_inputs:
-        r = r.join(listed.withColumn("_there", F.lit(True)), _plain(F.col("input")) == F.col("_path"), "left")
+        r = r.join(listed.withColumn("_there", F.lit(True)), plain(F.col("input")) == F.col("_path"), "left")
         r = r.withColumn("input", F.when(F.col("_there").isNull(), F.raise_error(F.concat(F.lit("input does not exist: "), F.col("input"))).cast("string")).otherwise(F.col("input"))).drop("_path", "_there")
-    files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json").text(folder, wholetext=True).select(_plain(F.col("_metadata.file_path")).alias("_path"), F.col("value").alias("_body"))
+    files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json").text(folder, wholetext=True).select(plain(F.col("_metadata.file_path")).alias("_path"), F.col("value").alias("_body"))
     inline = F.ltrim("truth").startswith("{")
-    r = r.withColumn("_want", F.when(~inline, _plain(_resolved(folder, F.col("truth"))))).join(files, F.col("_want") == F.col("_path"), "left")
+    r = r.withColumn("_want", F.when(~inline, plain(resolved(folder, F.col("truth"))))).join(files, F.col("_want") == F.col("_path"), "left")
     missing = F.when(F.col("_want").isNotNull() & F.col("_body").isNull(), F.raise_error(F.concat(F.lit("ground truth does not exist: "), F.col("truth"))).cast("string"))
     return r.select("sample_id", "ordinal", "input", "metadata", F.coalesce(missing, F.when(inline, F.col("truth")).otherwise(F.col("_body"))).alias("gt"))
 
@@ -69,8 +69,8 @@ def read_manifest(spark: SparkSession, path: str, check_inputs: bool = True) ->
 def read_predictions(spark: SparkSession, folder: str, samples: DataFrame) -> DataFrame:
     """sample_id, prediction (scene JSON) of each sample from <folder>/<sample_id>.json; an absent file is an error."""
     files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json").text(folder, wholetext=True)
-    root = _plain(F.lit(folder.rstrip("/") + "/"))
-    named = files.select(F.regexp_replace(F.replace(_plain(F.col("_metadata.file_path")), root, F.lit("")), r"\.json$", "").alias("sample_id"), F.col("value").alias("prediction"))
+    root = plain(F.lit(folder.rstrip("/") + "/"))
+    named = files.select(F.regexp_replace(F.replace(plain(F.col("_metadata.file_path")), root, F.lit("")), r"\.json$", "").alias("sample_id"), F.col("value").alias("prediction"))
     joined = samples.select("sample_id").join(named, "sample_id", "left")
     return joined.withColumn("prediction", _need(F.col("prediction"), F.concat(F.lit("no prediction for "), F.col("sample_id"))))
 
@@ -111,6 +111,14 @@ def either(b: Column) -> Column:
     return F.when(form | flat.isNotNull(), F.struct(*sides, F.when(form, oriented(b)).alias("turned")))
 
 
+def shape_of(attributes: Column) -> tuple[Column, Column]:
+    """(points, path) of an object's `shape`: points in place, in a list or under `points`, or a file's name, bare or under `file`, `mesh` or `path`."""
+    text = F.trim(attributes["shape"])
+    listed = F.when(text.startswith("["), text).when(text.startswith("{"), F.get_json_object(text, "$.points"))
+    named = F.when(text.startswith("{"), F.coalesce(*[F.get_json_object(text, f"$.{k}") for k in ("file", "mesh", "path")])).when(~text.startswith("["), text)
+    return F.from_json(listed, "array<array<double>>", JSON), F.when(listed.isNull(), named)
+
+
 def objects(scenes: DataFrame) -> DataFrame:
     """sample_id, obj_idx, object_id, label, score, bbox, attributes."""
     return scenes.select("sample_id", F.posexplode("objects").alias("obj_idx", "o")).select("sample_id", "obj_idx", "o.*")
