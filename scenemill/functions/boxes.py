@@ -86,13 +86,13 @@ def corners(b: Column) -> Column:
     return F.transform(signs, corner)
 
 
-def _part(d: int):
+def part(d: int):
     return lambda p: p[d]
 
 
 def bounds(points: Column) -> Column:
     """The axis-aligned box around points."""
-    along = [F.transform(points, _part(d)) for d in range(3)]
+    along = [F.transform(points, part(d)) for d in range(3)]
     return box(*map(F.array_min, along), *map(F.array_max, along))
 
 

@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from .rows import once
+
 Point = tuple[float, float]
 INSIDE = -1e-12
 PARALLEL = 1e-15
@@ -86,12 +88,13 @@ def oriented_overlap(df, a: str, b: str, name: str = "overlap"):
     size = lambda c: F.abs(F.col(c)["size"][0] * F.col(c)["size"][1] * F.col(c)["size"][2])
     low = lambda c: F.array_min(F.transform(F.col(c), lambda p: p[2]))
     high = lambda c: F.array_max(F.transform(F.col(c), lambda p: p[2]))
-    df = df.withColumn("_ca", corners(F.col(a))).withColumn("_cb", corners(F.col(b)))
-    near = overlap(bounds(F.col("_ca")), bounds(F.col("_cb"))) > 0
+    df = once(df, _ca=corners(F.col(a)), _cb=corners(F.col(b)))
+    df = once(df, _pa=bounds(F.col("_ca")), _pb=bounds(F.col("_cb")))
+    near = overlap(F.col("_pa"), F.col("_pb")) > 0
     empty = F.array().cast("array<array<double>>")
     df = df.withColumn("_area", footprint_overlap(F.when(near, F.col("_ca")).otherwise(empty), F.when(near, F.col("_cb")).otherwise(empty)))
     height = F.greatest(F.least(high("_ca"), high("_cb")) - F.greatest(low("_ca"), low("_cb")), F.lit(0.0))
-    return df.withColumn(name, F.least(F.col("_area") * height, size(a), size(b))).drop("_ca", "_cb", "_area")
+    return df.withColumn(name, F.least(F.col("_area") * height, size(a), size(b))).drop("_ca", "_cb", "_pa", "_pb", "_area")
 
 
 def oriented_iou(df, a: str, b: str, name: str = "iou"):
@@ -123,7 +126,7 @@ def _either_form(df, a: str, b: str, name: str, upright, slanted):
     given = [f.isNotNull() for f in forms.values() if f is not None]
     either = given[0] | given[-1]
     whole = lambda c: sanitized(as_oriented(F.col(c))) if forms[c] is None else F.coalesce(forms[c], sanitized(as_oriented(F.col(c))))
-    df = df.withColumn("_either", either).withColumn("_oa", F.when(either, whole(a))).withColumn("_ob", F.when(either, whole(b)))
+    df = once(df, _either=either, _oa=F.when(either, whole(a)), _ob=F.when(either, whole(b)))
     df = slanted(df, "_oa", "_ob", "_turned")
     return df.withColumn(name, F.when(F.col("_either"), F.col("_turned")).otherwise(upright(F.col(a), F.col(b)))).drop("_either", "_oa", "_ob", "_turned")
 

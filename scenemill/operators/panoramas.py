@@ -12,6 +12,8 @@ from math import pi
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.rows import once
+
 NEAR = 1e-7
 FADE = 0.96
 
@@ -62,7 +64,7 @@ def layout_targets(rooms: DataFrame, width: int) -> DataFrame:
     corner: FADE to the power of a column's distance, all round, from the nearest corner that the camera sees.
     """
     camera, turn = F.col("camera"), lambda i: ((i + 0.5) / width - 0.5) * (2 * pi)
-    df = rooms.withColumn("_e", edges(F.col("ring")))
+    df = once(rooms, _e=edges(F.col("ring")))
     ranges = F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: distance_along(F.col("_e"), camera, F.sin(turn(i)), F.cos(turn(i))))
 
     def corner(p: Column) -> Column:
@@ -72,13 +74,11 @@ def layout_targets(rooms: DataFrame, width: int) -> DataFrame:
         seen = F.abs(met - far) <= F.greatest(far * 1e-5, F.lit(1e-6))
         return F.when(seen, F.pmod(F.atan2(dx, dy) / (2 * pi) + 0.5, F.lit(1.0)) * width - 0.5)
 
-    df = df.withColumns({"ranges": ranges, "_seen": F.array_compact(F.transform("ring", corner))})
+    df = once(df, ranges=ranges, _seen=F.array_compact(F.transform("ring", corner)))
     apart = lambda i, x: F.least(F.abs(i - x), width - F.abs(i - x))
     fade = F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.pow(F.lit(FADE), F.array_min(F.transform("_seen", lambda x: apart(i, x)))))
-    return df.withColumns({
-        "ceiling": F.transform("ranges", lambda r: -F.atan2(F.col("ceiling_z") - camera[2], r)),
-        "floor": F.transform("ranges", lambda r: F.atan2(camera[2] - F.col("floor_z"), r)), "corner": fade,
-    }).drop("_e", "_seen")
+    up, down = F.transform("ranges", lambda r: -F.atan2(F.col("ceiling_z") - camera[2], r)), F.transform("ranges", lambda r: F.atan2(camera[2] - F.col("floor_z"), r))
+    return once(df, ceiling=up, floor=down, corner=fade).drop("_e", "_seen")
 
 
 def target_faults(ceiling: Column, floor: Column, corner: Column, ranges: Column, width: int) -> Column:

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.boxes import bounds, corners, grown
+from ..functions.boxes import bounds, corners, grown, part
 from ..functions.polygons import footprint_overlap
+from ..functions.rows import once
 from .panoramas import edges
 from .ranking import numbered
 
@@ -31,7 +32,8 @@ def _oriented(cx, cy, cz, sx, sy, sz, ax, ay) -> Column:
 def shell(layouts: DataFrame, thickness: float = WALL) -> DataFrame:
     """sample_id, target, relation_type, box (oriented): floor, ceiling and a wall per edge of each layout (ring, floor_z, ceiling_z)."""
     t, one, zero = F.lit(thickness), F.lit(1.0), F.lit(0.0)
-    low, high = [F.array_min(F.transform("ring", lambda p, d=d: p[d])) for d in (0, 1)], [F.array_max(F.transform("ring", lambda p, d=d: p[d])) for d in (0, 1)]
+    along = [F.transform("ring", part(d)) for d in (0, 1)]
+    low, high = [F.array_min(c) for c in along], [F.array_max(c) for c in along]
     slab = lambda z: _oriented((low[0] + high[0]) / 2, (low[1] + high[1]) / 2, z, high[0] - low[0], high[1] - low[1], t, one, zero)
     named = lambda n, r, b: F.struct(n.alias("target"), F.lit(r).alias("relation_type"), b.alias("box"))
     length = lambda e: F.sqrt(e["ex"] * e["ex"] + e["ey"] * e["ey"])
@@ -49,20 +51,23 @@ def relations(objects: DataFrame, layouts: DataFrame, expand: float = EXPAND) ->
     objects: sample_id, obj_idx, object_id, box (oriented); an object comes before those of higher obj_idx. Heights and
     bounds are compared first; only pairs that are not along the axes go on to have their footprints clipped.
     """
-    o = objects.select("sample_id", "obj_idx", "object_id", F.col("box").alias("a"))
-    p = objects.select("sample_id", F.col("obj_idx").alias("_j"), F.col("object_id").alias("target"), F.col("box").alias("b"))
-    among = o.join(p, "sample_id").where(F.col("obj_idx") < F.col("_j")).select("sample_id", F.col("object_id").alias("source"), "target", F.lit("touching").alias("relation_type"), "a", "b")
-    part = shell(layouts).withColumnRenamed("box", "b")
-    around = o.join(part, "sample_id").select("sample_id", F.col("object_id").alias("source"), "target", "relation_type", "a", "b")
-    pairs = among.unionByName(around)
-    wide = lambda c: F.struct(F.col(c)["center"].alias("center"), F.transform(F.col(c)["size"], lambda x: F.greatest(x + expand, F.lit(0.01))).alias("size"), F.col(c)["basis"].alias("basis"))
-    pairs = pairs.withColumns({"_a": corners(wide("a")), "_b": corners(wide("b"))}).withColumns({"_p": bounds(F.col("_a")), "_q": bounds(F.col("_b"))})
-    meets = lambda k: F.least(F.col(f"_p.{k}1"), F.col(f"_q.{k}1")) > F.greatest(F.col(f"_p.{k}0"), F.col(f"_q.{k}0"))
-    square = lambda c: F.col(c)["basis"][0][0] * F.col(c)["basis"][0][1] == 0
-    near = pairs.where(meets("z") & meets("x") & meets("y")).withColumn("_plain", square("a") & square("b"))
+    wide = F.struct(F.col("box")["center"].alias("center"), F.transform(F.col("box")["size"], lambda x: F.greatest(x + expand, F.lit(0.01))).alias("size"), F.col("box")["basis"].alias("basis"))
+
+    def placed(df: DataFrame, name: str) -> DataFrame:
+        """Corners and bounds of each box, once for all pairs that it is in."""
+        df = once(once(once(df, _w=wide), _c=corners(F.col("_w"))), _p=bounds(F.col("_c")))
+        square = F.col("box")["basis"][0][0] * F.col("box")["basis"][0][1] == 0
+        return df.withColumn(name, F.struct(F.col("_c").alias("c"), F.col("_p").alias("p"), square.alias("square"))).drop("box", "_w", "_c", "_p")
+
+    o = placed(objects.select("sample_id", "obj_idx", F.col("object_id").alias("source"), "box"), "a")
+    p = o.select("sample_id", F.col("obj_idx").alias("_j"), F.col("source").alias("target"), F.lit("touching").alias("relation_type"), F.col("a").alias("b"))
+    names = ["sample_id", "source", "target", "relation_type", "a", "b"]
+    pairs = o.join(p, "sample_id").where(F.col("obj_idx") < F.col("_j")).select(names).unionByName(o.join(placed(shell(layouts), "b"), "sample_id").select(names))
+    meets = lambda k: F.least(F.col(f"a.p.{k}1"), F.col(f"b.p.{k}1")) > F.greatest(F.col(f"a.p.{k}0"), F.col(f"b.p.{k}0"))
+    near = pairs.where(meets("z") & meets("x") & meets("y")).withColumn("_plain", F.col("a.square") & F.col("b.square"))
     empty = F.array().cast("array<array<double>>")
-    area = footprint_overlap(*[F.when(F.col("_plain"), empty).otherwise(F.col(c)) for c in ("_a", "_b")])
-    return near.withColumn("_area", area).where(F.col("_plain") | (F.col("_area") > 0)).select("sample_id", "source", "target", "relation_type")
+    area = footprint_overlap(*[F.when(F.col("_plain"), empty).otherwise(F.col(c)) for c in ("a.c", "b.c")])
+    return near.withColumn("_area", area).where(F.col("_plain") | (F.col("_area") > 0)).select(names[:4])
 
 
 def walls(rooms: DataFrame, ring: str = "ring", thickness: float = WALL) -> DataFrame:
@@ -94,7 +99,7 @@ def ray_ranges(rooms: DataFrame, key: str, columns: int, ring: str = "ring") ->
 
     All of it is worked out in the room's row; nothing is shuffled.
     """
-    sides = rooms.select(key, "cx", "cy", edges(F.col(ring)).alias("_e"))
+    sides = once(rooms.select(key, "cx", "cy", F.col(ring).alias("_r")), _e=edges(F.col("_r")))
 
     def nearest(col: Column) -> Column:
         turn = (col + 0.5) * (2 * 3.141592653589793 / columns)

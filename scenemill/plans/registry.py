@@ -1,6 +1,6 @@
 """Every query of the scoring and curation operators, with the SQL it is compared with."""
 
-from . import curating, scoring
+from . import curating, exporting, scoring
 
-QUERIES = {**scoring.QUERIES, **curating.QUERIES}
-ORACLE_SQL = {**scoring.ORACLE_SQL, **curating.ORACLE_SQL}
+QUERIES = {**scoring.QUERIES, **curating.QUERIES, **exporting.QUERIES}
+ORACLE_SQL = {**scoring.ORACLE_SQL, **curating.ORACLE_SQL, **exporting.ORACLE_SQL}
