@@ -212,12 +212,12 @@ def review_order(spark, sf):
 def _triangles(spark, sf):
     """The two halves of each object's upper side."""
     at = lambda x, y, dz=0.0: F.array(F.col(x), F.col(y), F.col("z1") + dz)
-    halves = F.explode(F.array(F.struct(at("x0", "y0").alias("a"), at("x1", "y0").alias("b"), at("x1", "y1").alias("c")), F.struct(at("x0", "y0").alias("a"), at("x1", "y1", 0.05).alias("b"), at("x0", "y1").alias("c"))))
+    halves = F.explode(F.array(F.struct(at("x0", "y0").alias("a"), at("x1", "y0").alias("b"), at("x1", "y1").alias("c")), F.struct(at("x0", "y0").alias("a"), at("x1", "y1", 0.0531).alias("b"), at("x0", "y1").alias("c"))))
     return V._lines(spark, sf).select("sample_id", "obj_idx", halves.alias("t")).select("sample_id", "obj_idx", "t.*")
 
 
 def vertical_hits(spark, sf):
-    points = _rooms(spark, sf).select(F.col("room_id").alias("sample_id"), (F.col("x") / 4 + 0.013).alias("x"), (F.col("y") / 4 + 0.007).alias("y"))
+    points = _rooms(spark, sf).select(F.col("room_id").alias("sample_id"), (F.col("x") / 4 + 0.0131592653).alias("x"), (F.col("y") / 4 + 0.0071828182).alias("y"))
     hits = L.vertical_hits(points, _triangles(spark, sf), "sample_id")
     return rounded(hits.groupBy("sample_id").agg(F.count("*").alias("hits"), F.min("z").alias("low"), F.max("z").alias("high")), "low", "high")
 
@@ -342,7 +342,7 @@ r AS (SELECT o_orderkey AS room_id, (o_orderkey % 10) / 10 AS fill, o_orderkey %
   FROM orders LEFT JOIN v ON room_id = o_orderkey),
 a AS (SELECT room_id, fill, over, ceil, list_filter([CASE WHEN over THEN 'oversized_source_object_requires_review' END, CASE WHEN ceil THEN 'ceiling_height_requires_review' END, CASE WHEN floor THEN 'floor_layout_mismatch' END, CASE WHEN twice THEN 'duplicate_rgb' END,
   CASE WHEN inside THEN 'inside_furniture_bbox' END, CASE WHEN dark THEN 'mostly_dark' END], lambda x: x IS NOT NULL) AS flags, NOT (floor OR twice OR inside) AS geometry_pass FROM r)"""
-_TRI = """t AS (SELECT sample_id, obj_idx, x0, y0, x1, y1, z1, h, x1 AS b_x, CASE h WHEN 0 THEN y0 ELSE y1 END AS b_y, CASE h WHEN 0 THEN z1 ELSE z1 + 0.05::DOUBLE END AS b_z, CASE h WHEN 0 THEN x1 ELSE x0 END AS cx, y1 AS cy, z1 AS cz FROM line, range(0, 2) r(h))"""
+_TRI = """t AS (SELECT sample_id, obj_idx, x0, y0, x1, y1, z1, h, x1 AS b_x, CASE h WHEN 0 THEN y0 ELSE y1 END AS b_y, CASE h WHEN 0 THEN z1 ELSE z1 + 0.0531::DOUBLE END AS b_z, CASE h WHEN 0 THEN x1 ELSE x0 END AS cx, y1 AS cy, z1 AS cz FROM line, range(0, 2) r(h))"""
 
 ORACLE_SQL = {
     "shape_metrics": f"""WITH RECURSIVE {VIEW_SQL}, {_match_sql('sample_id')}, {_POINT}, n AS {_CANON}, pair AS (SELECT sample_id, obj_idx AS pair, (sample_id * 7 + obj_idx) % 600 AS va, (sample_id * 7 + gt_idx + 1) % 600 AS vb FROM walk WHERE gt_idx IS NOT NULL),
@@ -393,7 +393,7 @@ SELECT sample_id, 'image size' AS fault FROM s WHERE sample_id % 19 = 0 UNION AL
     "audit_flags": f"{_AUDIT} SELECT room_id, array_to_string(flags, ',') AS flags, geometry_pass FROM a",
     "flag_counts": f"{_AUDIT} SELECT flag, count(*) AS rooms FROM (SELECT unnest(flags) AS flag FROM a) GROUP BY 1",
     "review_order": f"{_AUDIT} SELECT room_id, geometry_pass FROM a ORDER BY geometry_pass, over DESC, ceil DESC, fill, room_id LIMIT 100",
-    "vertical_hits": f"""{_views}, {_TRI}, p AS (SELECT sample_id, x / 4 + 0.013::DOUBLE AS x, y / 4 + 0.007::DOUBLE AS y FROM scene WHERE has_gt),
+    "vertical_hits": f"""{_views}, {_TRI}, p AS (SELECT sample_id, x / 4 + 0.0131592653::DOUBLE AS x, y / 4 + 0.0071828182::DOUBLE AS y FROM scene WHERE has_gt),
 q AS (SELECT sample_id, z1, x - x0 AS dx, y - y0 AS dy, b_x - x0 AS ux, b_y - y0 AS uy, b_z - z1 AS uz, cx - x0 AS vx, cy - y0 AS vy, cz - z1 AS vz FROM p JOIN t USING (sample_id)),
 h AS (SELECT *, (dx * vy - dy * vx) / (ux * vy - uy * vx) AS s, (ux * dy - uy * dx) / (ux * vy - uy * vx) AS w FROM q WHERE abs(ux * vy - uy * vx) > 1e-12)
 SELECT sample_id, count(*) AS hits, round(min(z1 + s * uz + w * vz), 6) AS low, round(max(z1 + s * uz + w * vz), 6) AS high FROM h WHERE s >= -1e-8 AND w >= -1e-8 AND s + w <= 1 + 1e-8 GROUP BY 1""",

@@ -111,7 +111,7 @@ def oriented_iou_pairs(spark, sf):
     axes = F.array(F.array(F.cos(turn), F.sin(turn), F.lit(0.0)), F.array(-F.sin(turn), F.cos(turn), F.lit(0.0)), F.array(F.lit(0.0), F.lit(0.0), F.lit(1.0)))
     pred = V.pred_objects(spark, sf).select("sample_id", "obj_idx", "label", F.struct(p["center"].alias("center"), p["size"].alias("size"), axes.alias("basis")).alias("p"))
     pairs = oriented_iou(gt.join(pred, ["sample_id", "label"]), "g", "p")
-    return rounded(pairs.where("iou > 0").select("sample_id", "gt_idx", "obj_idx", "iou"), "iou")
+    return rounded(pairs.select("sample_id", "gt_idx", "obj_idx", "iou"), "iou").where("iou > 0")
 
 
 QUERIES = {f.__name__: f for f in (
@@ -173,7 +173,28 @@ AP_CLASS = """(SELECT label, n AS n_gt, coalesce(d, 0)::BIGINT AS n_detections,
 _plain, _walk, _any = f"WITH {VIEW_SQL}", f"WITH RECURSIVE {VIEW_SQL}, {_match_sql('sample_id, label')}", f"WITH RECURSIVE {VIEW_SQL}, {_match_sql('sample_id')}"
 _value = "SELECT sample_id, round(value, 6) AS value FROM "
 
+# the corners of each box inside the other and the points where edges cross, in order about their middle
+_ORIENTED = f"""{_plain}, pair AS (
+  SELECT g.sample_id, g.obj_idx AS gt_idx, p.obj_idx, g.x0, g.x1, g.y0, g.y1, (p.x0 + p.x1) / 2 AS cx, (p.y0 + p.y1) / 2 AS cy, (p.x1 - p.x0) / 2 AS hx, (p.y1 - p.y0) / 2 AS hy,
+    cos(radians(sample_id % 12 * 15)) AS c, sin(radians(sample_id % 12 * 15)) AS s, least(g.z1, p.z1) - greatest(g.z0, p.z0) AS h, {volume_sql('g.')} AS vg, {volume_sql('p.')} AS vp
+  FROM gt g JOIN pred p USING (sample_id, label)
+), near AS (SELECT * FROM pair WHERE h > 0 AND abs(cx - (x0 + x1) / 2) < (x1 - x0) / 2 + abs(hx * c) + abs(hy * s) AND abs(cy - (y0 + y1) / 2) < (y1 - y0) / 2 + abs(hx * s) + abs(hy * c)
+), turned AS (SELECT n.*, k, cx + a * hx * c - b * hy * s AS px, cy + a * hx * s + b * hy * c AS py FROM near n, (VALUES (0, -1, -1), (1, 1, -1), (2, 1, 1), (3, -1, 1)) v(k, a, b)
+), edge AS (SELECT t.*, u.px AS qx, u.py AS qy FROM turned t JOIN turned u ON u.sample_id = t.sample_id AND u.gt_idx = t.gt_idx AND u.obj_idx = t.obj_idx AND u.k = (t.k + 1) % 4
+), point AS (
+  SELECT sample_id, gt_idx, obj_idx, px AS x, py AS y FROM turned WHERE px BETWEEN x0 - 1e-12 AND x1 + 1e-12 AND py BETWEEN y0 - 1e-12 AND y1 + 1e-12
+  UNION ALL SELECT sample_id, gt_idx, obj_idx, x, y FROM (SELECT *, CASE i WHEN 0 THEN x0 ELSE x1 END AS x, CASE j WHEN 0 THEN y0 ELSE y1 END AS y FROM near, range(0, 2) a(i), range(0, 2) b(j))
+    WHERE abs((x - cx) * c + (y - cy) * s) <= hx + 1e-12 AND abs((y - cy) * c - (x - cx) * s) <= hy + 1e-12
+  UNION ALL SELECT sample_id, gt_idx, obj_idx, x, py + (x - px) / (qx - px) * (qy - py) FROM (SELECT *, CASE i WHEN 0 THEN x0 ELSE x1 END AS x FROM edge, range(0, 2) a(i)) WHERE (px - x) * (qx - x) < 0 AND py + (x - px) / (qx - px) * (qy - py) BETWEEN y0 AND y1
+  UNION ALL SELECT sample_id, gt_idx, obj_idx, px + (y - py) / (qy - py) * (qx - px), y FROM (SELECT *, CASE i WHEN 0 THEN y0 ELSE y1 END AS y FROM edge, range(0, 2) a(i)) WHERE (py - y) * (qy - y) < 0 AND px + (y - py) / (qy - py) * (qx - px) BETWEEN x0 AND x1
+), mid AS (SELECT *, atan2(y - avg(y) OVER w, x - avg(x) OVER w) AS angle FROM point WINDOW w AS (PARTITION BY sample_id, gt_idx, obj_idx)
+), ring AS (SELECT *, coalesce(lead(x) OVER w, first_value(x) OVER w) AS nx, coalesce(lead(y) OVER w, first_value(y) OVER w) AS ny FROM mid WINDOW w AS (PARTITION BY sample_id, gt_idx, obj_idx ORDER BY angle)
+), area AS (SELECT sample_id, gt_idx, obj_idx, abs(sum(x * ny - nx * y)) / 2 AS area FROM ring GROUP BY ALL
+), shared AS (SELECT n.*, least(coalesce(area, 0) * h, vg, vp) AS joint FROM near n LEFT JOIN area USING (sample_id, gt_idx, obj_idx)
+), turned_iou AS (SELECT sample_id, gt_idx, obj_idx, round(joint / (vg + vp - joint), 6) AS iou FROM shared)"""
+
 ORACLE_SQL = {
+    "oriented_iou_pairs": f"{_ORIENTED} SELECT * FROM turned_iou WHERE iou > 0",
     "box_volume": f"{_plain} SELECT sample_id, obj_idx, round({volume_sql('')}, 6) AS volume FROM gt",
     "box_iou_pairs": f"{_plain} SELECT * FROM (SELECT sample_id, g.label, g.obj_idx AS gt_idx, p.obj_idx AS pred_idx, round({iou_sql('g.', 'p.')}, 6) AS iou FROM gt g JOIN pred p USING (sample_id, label) WHERE {iou_sql('g.', 'p.')} > 0)",
     "layout_iou": f"{_plain} {_value} {LAYOUT_IOU}",
