@@ -55,8 +55,9 @@ DATASETS.alias("igibson", "manifest")
 
 def tables(spark: SparkSession, experiment: Experiment) -> dict[str, DataFrame]:
     """scenes, preds, labels (boxes of either form) and the raw predictions, as the experiment's dataset and model give them."""
-    manifest = DATASETS.get(experiment.dataset["type"])(spark, experiment.dataset["parameters"])
-    raw = MODELS.get(experiment.model["type"])(spark, experiment.model["parameters"], manifest)
+    # kept, so that what a run writes beside its inputs changes nothing that is read later
+    manifest = checkpointed(DATASETS.get(experiment.dataset["type"])(spark, experiment.dataset["parameters"]))
+    raw = checkpointed(MODELS.get(experiment.model["type"])(spark, experiment.model["parameters"], manifest))
     truth, pred = S.decoded(manifest.select("sample_id", "ordinal", "gt"), "gt"), S.decoded(raw, "prediction")
     # parsed once for all metrics
     boxed = lambda df: checkpointed(S.objects(df).select("sample_id", "obj_idx", "label", "score", S.either(F.col("bbox")).alias("box"), "attributes"))

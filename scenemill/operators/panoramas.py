@@ -96,7 +96,8 @@ def widest_gap(columns: Column, width: int) -> Column:
     """Struct start, length of the longest run of columns that a mask leaves empty, the first among equals; null if none is. columns: sorted, distinct."""
     fence = F.concat(F.array(F.lit(-1)), columns.cast("array<int>"), F.array(F.lit(width)))
     gaps = F.transform(F.slice(fence, 2, F.size(fence) - 1), lambda c, i: F.struct((c - F.get(fence, i) - 1).alias("length"), (-F.get(fence, i) - 1).alias("less")))
-    return F.transform(F.filter(F.array(F.array_max(gaps)), lambda g: g["length"] > 0), lambda g: F.struct((-g["less"]).alias("start"), g["length"].alias("length")))[0]
+    best = F.filter(F.array(F.array_max(gaps)), lambda g: g["length"] > 0)
+    return F.get(F.transform(best, lambda g: F.struct((-g["less"]).alias("start"), g["length"].alias("length"))), F.lit(0))
 
 
 def seam_plan(masks: DataFrame, width: int) -> DataFrame:
