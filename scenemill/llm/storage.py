@@ -15,9 +15,11 @@ from pyspark.sql.types import IntegralType, NullType
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; where it is unset, as in tests, a folder of this machine is made and set."""
+    """spark.checkpoint.dir; where it is unset and Spark runs on this machine alone, as in tests, a folder here is made and set."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="spark-checkpoint-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")

@@ -22,11 +22,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bytehash import ALNUM, words
 from .sampling import SAMPLE, held_out, labelled_sample
+from .storage import stored
 
 BITS, TERMS, MIN_DOCS, RANK = 18, 512, 5, 8
 PREFIXES = (3, 4, 5, 6, 7)
@@ -64,22 +65,24 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(total, -30, 30)))
 
 
-def learn(doc: np.ndarray, bins: np.ndarray, label: np.ndarray) -> Model | None:
+def _chi(present, both, toxic: int, n: int):
+    """How well a term that `present` documents hold, `both` of them toxic, tells the labels apart; numbers or columns."""
+    expected = present * toxic / n
+    spread = expected * (1 - toxic / n) * (1 - present / n)
+    floor = F.greatest(spread, F.lit(1e-9)) if isinstance(present, Column) else np.maximum(spread, 1e-9)
+    return (both - expected) * (both - expected) / floor
+
+
+def learn(doc: np.ndarray, held: np.ndarray, label: np.ndarray, best: np.ndarray) -> Model | None:
+    """doc, held: the document and the term of each pair; best: the sorted terms to learn from."""
     n, toxic = len(label), int(label.sum())
     if not 0 < toxic < n:
         return None
-    present = np.bincount(bins, minlength=SPACE)
-    both = np.bincount(bins, label[doc], SPACE)
-    expected = present * toxic / n
-    chi = (both - expected) ** 2 / np.maximum(expected * (1 - toxic / n) * (1 - present / n), 1e-9)
-    chi[present < MIN_DOCS] = -1
-    best = np.sort(np.argsort(-chi, kind="stable")[:TERMS])
-    best = best[chi[best] > 0]
     column = np.full(SPACE, -1, np.int32)
     column[best] = np.arange(len(best))
     x = np.zeros((n, len(best)), np.float32)
-    kept = column[bins] >= 0
-    x[doc[kept], column[bins[kept]]] = 1
+    kept = column[held] >= 0
+    x[doc[kept], column[held[kept]]] = 1
     draw = np.random.default_rng(SEED)
     p = [np.array([np.log(toxic / (n - toxic))]), np.zeros(len(best)), draw.normal(0, 0.01, (len(best), RANK))]
     m, v, step = [np.zeros_like(a) for a in p], [np.zeros_like(a) for a in p], 0
@@ -101,7 +104,7 @@ def learn(doc: np.ndarray, bins: np.ndarray, label: np.ndarray) -> Model | None:
 
 
 def fit(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE) -> Model | None:
-    """Terms are found by tasks; the driver gets the distinct terms of at most `limit` texts."""
+    """Terms are found, counted and chosen by tasks; the driver gets the TERMS best and which of them each of at most `limit` texts holds."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -112,12 +115,30 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE) -> Model | None
                 packed = [bins[a:b].astype("<i4").tobytes() for a, b in zip(cuts[:-1], cuts[1:])]
                 yield pa.RecordBatch.from_arrays([pa.array(packed, pa.binary()), part.column(1)], names=["bins", "label"])
 
-    got = labelled_sample(docs, labels, "toxic", limit).mapInArrow(rows, "bins binary, label int").toArrow()
-    held = sorted(zip(got.column("bins").to_pylist(), got.column("label").to_pylist()))  # the tasks' order must not matter
-    bins = [np.frombuffer(b, "<i4") for b, _ in held]
-    if not bins:
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bins = [np.frombuffer(b, "<i4") for b in batch.column(0).to_pylist()]
+            if bins:
+                term, at = np.unique(np.concatenate(bins), return_inverse=True)
+                toxic = np.repeat(batch.column(1).to_numpy(), [len(b) for b in bins])
+                yield pa.RecordBatch.from_arrays([pa.array(term, pa.int32()), pa.array(np.bincount(at)), pa.array(np.bincount(at, toxic).astype(np.int64))], names=["term", "n", "toxic"])
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held = [np.intersect1d(np.frombuffer(b, "<i4"), best, assume_unique=True).astype("<i4").tobytes() for b in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(held, pa.binary()), batch.column(1)], names=["bins", "label"])
+
+    sample = stored(labelled_sample(docs, labels, "toxic", limit).mapInArrow(rows, "bins binary, label int"), "terms")
+    n, toxic = sample.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0))).first()
+    if not 0 < toxic < n:
         return None
-    return learn(np.repeat(np.arange(len(bins)), [len(b) for b in bins]), np.concatenate(bins), np.array([x for _, x in held]))
+    counts = sample.mapInArrow(counted, "term int, n long, toxic long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic")).where(F.col("n") >= MIN_DOCS)
+    chosen = counts.withColumn("chi", _chi(F.col("n").cast("double"), F.col("toxic"), toxic, n)).where("chi > 0").orderBy(F.desc("chi"), "term").limit(TERMS)
+    best = np.sort(np.array([r["term"] for r in chosen.select("term").collect()], np.int32))
+    got = sample.mapInArrow(kept, "bins binary, label int").toArrow()
+    rows_held = sorted(zip(got.column("bins").to_pylist(), got.column("label").to_pylist()))  # the tasks' order must not matter
+    held = [np.frombuffer(b, "<i4") for b, _ in rows_held]
+    return learn(np.repeat(np.arange(len(held)), [len(b) for b in held]), np.concatenate(held), np.array([x for _, x in rows_held]), best)
 
 
 def rated(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:

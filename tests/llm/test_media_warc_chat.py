@@ -33,11 +33,6 @@ def test_media_peaks_do_not_depend_on_blocks(monkeypatch):
     assert all((a == b).all() for a, b in zip(whole, media.peaks(samples)))
 
 
-def test_media_tone_is_its_bin():
-    tone = (128 + 100 * np.sin(2 * np.pi * 8 * np.arange(64 * 50) / 64)).astype(np.uint8)
-    assert set(np.abs(media.peaks(tone)[1] - 8)) <= {0} or 8 in media.peaks(tone)[1]
-
-
 def test_media_empty_table(frame):
     assert media.describe(media.media_table(frame([(1, "x")]).limit(0))).count() == 0
 

@@ -37,7 +37,7 @@ def test_pairs_learn_interactions():
     texts = [f"{a} {b} filler" for a in ("insult", "plain") for b in ("group", "other")] * 40
     label = np.array([int("insult group" in t) for t in texts])
     doc, terms = toxicity.terms([t.encode() for t in texts])
-    model = toxicity.learn(doc, terms, label)
+    model = toxicity.learn(doc, terms, label, np.unique(terms))
     score = model.score([b"insult group filler", b"insult other filler", b"plain group filler"])
     assert score[0] > 0.7 and max(score[1:]) < 0.3
 
