@@ -13,11 +13,14 @@ from pyspark.sql import functions as F
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Through the folder in spark.checkpoint.dir; where it is unset, as in tests, one of this machine is set."""
+    """Through the folder in spark.checkpoint.dir; where it is unset and Spark runs on this machine alone, as in tests, one here is set."""
     spark = df.sparkSession
     context = spark.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-checkpoint-"))
+        where = spark.conf.get("spark.checkpoint.dir", None)
+        if not where and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(where or "file://" + tempfile.mkdtemp(prefix="spark-checkpoint-"))
     return df.checkpoint()
 
 
