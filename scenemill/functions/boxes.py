@@ -12,21 +12,17 @@ from pyspark.sql import functions as F
 AXES = "xyz"
 
 
-def _both(a: Column, b: Column) -> Column:
-    return ~F.isnan(a) & ~F.isnan(b)
-
-
 def first_min(a: Column, b: Column) -> Column:
-    return F.when(_both(a, b) & (b < a), b).otherwise(a)
+    return -first_max(-a, -b)
 
 
 def first_max(a: Column, b: Column) -> Column:
-    return F.when(_both(a, b) & (b > a), b).otherwise(a)
+    return F.greatest(a, F.nanvl(b, a))
 
 
 def length(x: Column) -> Column:
-    """x where it is a number above 0, else 0."""
-    return F.when(F.isnan(x) | (x <= 0), 0.0).otherwise(x)
+    """x where it is a number above 0, else 0; null stays null. Each use of x is written out anew in the plan, so there are few."""
+    return F.nanvl(x * 0.5 + F.abs(x) * 0.5, F.lit(0.0))
 
 
 def box(x0, y0, z0, x1, y1, z1) -> Column:
@@ -44,16 +40,15 @@ def volume(b: Column) -> Column:
 
 
 def overlap(a: Column, b: Column) -> Column:
-    """Volume of the intersection."""
+    """Volume of the intersection; null where either is."""
     sides = [length(first_min(a[f"{k}1"], b[f"{k}1"]) - first_max(a[f"{k}0"], b[f"{k}0"])) for k in AXES]
-    return sides[0] * sides[1] * sides[2]
+    return F.when(a.isNotNull() & b.isNotNull(), sides[0] * sides[1] * sides[2])
 
 
 def iou(a: Column, b: Column) -> Column:
     """Intersection over union, 0 where the union is nothing."""
     shared = overlap(a, b)
-    union = volume(a) + volume(b) - shared
-    return F.when(union > 0, shared / union).otherwise(0.0)
+    return F.coalesce(F.try_divide(shared, volume(a) + volume(b) - shared), F.lit(0.0))
 
 
 def as_oriented(b: Column) -> Column:

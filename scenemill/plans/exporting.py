@@ -354,7 +354,7 @@ SELECT sample_id, round(avg(f.mean + g.mean), 6) AS chamfer, round(avg(CASE WHEN
 q AS (SELECT id, ax, ay, min(x * ax + y * ay) AS u0, max(x * ax + y * ay) AS u1, min(y * ax - x * ay) AS v0, max(y * ax - x * ay) AS v1, min(z) AS z0, max(z) AS z1 FROM p JOIN a USING (id) GROUP BY ALL)
 SELECT id AS obj_id, round((u0 + u1) / 2 * ax - (v0 + v1) / 2 * ay, 6) AS c0, round((u0 + u1) / 2 * ay + (v0 + v1) / 2 * ax, 6) AS c1, round((z0 + z1) / 2, 6) AS c2, round(u1 - u0, 6) AS s0, round(v1 - v0, 6) AS s1, round(z1 - z0, 6) AS s2, round(ax, 6) AS ax, round(ay, 6) AS ay FROM q""",
     "view_objects": f"""{_views}, v AS (SELECT sample_id AS room, v, x, y, 1 + (sample_id % 5)::DOUBLE / 10 AS s FROM scene, range(0, 2) r(v) WHERE has_gt AND v <= sample_id % 2)
-SELECT room || '/' || v AS sample_id, obj_idx, round(((x0 + x1) / 2 - x / 4) * s, 6) AS c0, round(((y0 + y1) / 2 - y / 4) * s, 6) AS c1, round(((z0 + z1) / 2 - (1 + v::DOUBLE / 10)) * s, 6) AS c2, round((x1 - x0) * s, 6) AS s0, round((y1 - y0) * s, 6) AS s1, round((z1 - z0) * s, 6) AS s2
+SELECT room || '/' || v AS sample_id, obj_idx, round(((x0 + x1) / 2 - x / 4) * s, 6) + 0::DOUBLE AS c0, round(((y0 + y1) / 2 - y / 4) * s, 6) + 0::DOUBLE AS c1, round(((z0 + z1) / 2 - (1 + v::DOUBLE / 10)) * s, 6) + 0::DOUBLE AS c2, round((x1 - x0) * s, 6) AS s0, round((y1 - y0) * s, 6) AS s1, round((z1 - z0) * s, 6) AS s2
 FROM v JOIN gt ON gt.sample_id = room WHERE least(x1 - x0, y1 - y0, z1 - z0) > 1e-7""",
     "layout_in_camera": f"{_views}, q AS (SELECT *, 1 + (sample_id % 5)::DOUBLE / 10 AS k FROM scene WHERE has_gt) SELECT sample_id, round(-z / 2 * k, 6) AS floor_z, round(z / 2 * k, 6) AS ceiling_z, round(2 * k * k, 6) AS area, round((x - x / 4) * k, 6) AS px, round((y / 2 - y / 4) * k, 6) AS py FROM q",
     "training_classes": "SELECT CASE WHEN p_partkey IS NULL THEN 'other' ELSE p_type END AS class, p_brand AS fine, count(*) AS n FROM lineitem LEFT JOIN (SELECT * FROM part WHERE p_size % 3 <> 0) ON l_partkey = p_partkey GROUP BY ALL",
@@ -412,7 +412,7 @@ q AS (SELECT n.id, n.i, max(own) AS m FROM near n JOIN own o ON o.id = n.id AND
     "room_list": "SELECT DISTINCT l_orderkey::VARCHAR AS room_id FROM lineitem WHERE l_orderkey % 9 <> 0",
     "paired_corners": f"{_views}, {_RING}, k AS (SELECT sample_id, px, py, row_number() OVER (PARTITION BY sample_id ORDER BY px, e) - 1 AS k FROM ring) SELECT sample_id, (2 * k)::INT AS n, px::DOUBLE AS x, py::DOUBLE AS y FROM k UNION ALL SELECT sample_id, (2 * k + 1)::INT, px, py + 5 FROM k",
     "half_extent_boxes": f"""{_views}, q AS (SELECT *, radians(sample_id % 12 * 15) AS t, CASE WHEN l_partkey % 11 = 0 OR l_partkey % 13 = 0 THEN 0 ELSE x1 - x0 END AS sx, y1 - y0 AS sy FROM line), r AS (SELECT *, abs(sx * cos(t)) / 2 + abs(sy * sin(t)) / 2 AS hx, abs(sx * sin(t)) / 2 + abs(sy * cos(t)) / 2 AS hy FROM q)
-SELECT sample_id, obj_idx, round(x0 - hx, 6) AS x0, round(y0 - hy, 6) AS y0, round(z0 - (z1 - z0) / 2, 6) AS z0, round(x0 + hx, 6) AS x1, round(y0 + hy, 6) AS y1, round(z0 + (z1 - z0) / 2, 6) AS z1 FROM r""",
+SELECT sample_id, obj_idx, round(x0 - hx, 6) + 0::DOUBLE AS x0, round(y0 - hy, 6) + 0::DOUBLE AS y0, round(z0 - (z1 - z0) / 2, 6) + 0::DOUBLE AS z0, round(x0 + hx, 6) AS x1, round(y0 + hy, 6) AS y1, round(z0 + (z1 - z0) / 2, 6) AS z1 FROM r""",
     "resolved_scale": f"{_views} SELECT sample_id AS room_id, round(CASE WHEN sample_id % 3 = 0 THEN 1 + sample_id % 4 ELSE 2.6::DOUBLE / z END, 6) AS scale, CASE WHEN sample_id % 3 = 0 THEN 'table' ELSE 'ceiling' END AS scale_source FROM scene WHERE has_gt",
     "plausible_rooms": """SELECT o_orderkey AS room_id, concat_ws(',', CASE WHEN o_orderkey % 19 < 5 THEN 'contour ratio' END, CASE WHEN o_orderkey % 400 NOT BETWEEN 1 AND 199 THEN 'area' END, CASE WHEN o_orderkey % 37 NOT BETWEEN 1 AND 29 THEN 'extent' END) AS reject,
   CASE WHEN o_orderkey % 19 > 15 THEN 'contour ratio' ELSE '' END AS review FROM orders""",
