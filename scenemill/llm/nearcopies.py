@@ -235,7 +235,10 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     # every text outside `repeated` stands alone, so only texts that occur twice are joined
     repeated = stored(digests.join(copies.where("times > 1").drop("times"), ["digest", "n"]).select("id", "rep"), "copies").where("id is not null")
     later = repeated.where("id <> rep").distinct()
-    bands = stored(_band_rows(rows.where("id is not null")), "bands").join(later.select("id").distinct(), "id", "left_anti")
+    copied = repeated.where("id <> rep").groupBy("id").agg(F.count("*").alias("copied"))
+    # its least copy stands for an id, unless the id has another text too
+    covered = digests.select("id").join(copied, "id").groupBy("id").agg(F.count("*").alias("rows"), F.max("copied").alias("copied")).where("rows = copied").select("id")
+    bands = stored(_band_rows(rows.where("id is not null")), "bands").join(covered, "id", "left_anti")
     least = bands.groupBy("band").agg(F.min("id").alias("a"), F.count("*").alias("times")).where("times > 1").drop("times")
     members = stored(bands.join(least, "band").where("id <> a"), "members")
     edges = stored(members.groupBy("a", F.col("id").alias("b")).agg(F.count("*").alias("n")), "edges")

@@ -230,6 +230,14 @@ def test_near_copies_within_a_family_just_too_unlike(frame, monkeypatch):
     assert {r.doc_id: r.class_id for r in nearcopies.classes(frame(rows)).collect()} == want
 
 
+def test_near_copies_of_an_id_with_two_texts(frame):
+    draw = random.Random(11)
+    first, second = (" ".join("".join(draw.choice("abcdefghij") for _ in range(6)) for _ in range(150)) for _ in range(2))
+    rows = [(1, first), (2, second + " ends here"), (3, first), (3, second), (4, first), (4, first), (5, "apart from all the others")]
+    got = [(r.doc_id, r.class_id) for r in nearcopies.classes(frame(rows)).collect()]
+    assert sorted(got) == [(1, 1), (2, 1), (3, 1), (3, 1), (4, 1), (4, 1), (5, 5)]
+
+
 def test_near_copies_odd_rows(frame, odd_rows):
     got = nearcopies.classes(frame(odd_rows)).collect()
     assert len(got) == len(odd_rows)
