@@ -1 +1 @@
-"""Training-data operators: media, archives, classifiers, tokens, leaks, repeats, chat, toxicity, near copies, shards."""
+"""Training-data operators: media, archives, classifiers, tokens, leaks, repeats, chat, toxicity, near copies, shards, divergence, periods, n-gram links."""

@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, leaks, media, nearcopies, quality, repeats, shards, toxicity, warc
+from . import bpe, chat, divergence, jaccard, leaks, media, nearcopies, periods, quality, repeats, shards, toxicity, warc
 from .storage import stored, table
 
 
@@ -58,6 +58,18 @@ def op10_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.assign(table(spark, sf_dir, "documents"), shards=40)
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periods.runs_of(table(spark, sf_dir, "documents"), repeat_tails=True).drop("n_words")
+
+
+def op13_parity_sketch_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.component_ids(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     return {
         "op1_media_columns": op1_media_columns,
@@ -70,12 +82,15 @@ def queries() -> dict:
         "op8_toxicity_fm": op8_toxicity_fm,
         "op9_dart_minhash": op9_dart_minhash,
         "op10_feistel_shards": op10_feistel_shards,
+        "op11_source_divergence": op11_source_divergence,
+        "op12_periodic_runs": op12_periodic_runs,
+        "op13_parity_sketch_join": op13_parity_sketch_join,
         "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict:
-    return {"op2_warc_archives": WARC_SQL, "op7_chat_formatting": CHAT_SQL}
+    return {"op2_warc_archives": WARC_SQL, "op7_chat_formatting": CHAT_SQL, "op11_source_divergence": DIVERGENCE_SQL}
 
 
 WARC_SQL = """
@@ -116,3 +131,34 @@ SELECT conv_id, count(*)::BIGINT AS n_turns,
   coalesce(sum(stop) FILTER (role = 'assistant'), 0)::BIGINT AS expanded_chars
 FROM g GROUP BY conv_id
 """
+
+
+DIVERGENCE_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS row_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x60\x7B-\x7F]+') AS words
+  FROM documents
+), w AS (SELECT row_id, lang, source, unnest(words) AS term FROM d),
+kept AS (SELECT lang, term, count(*) AS total FROM w GROUP BY ALL HAVING count(DISTINCT row_id) >= 3),
+langs AS (SELECT lang, count(*) AS v, sum(total) AS n FROM kept GROUP BY ALL),
+grid AS (
+  SELECT g.lang, g.source, kept.term, kept.total, count(w.term) AS c
+  FROM (SELECT DISTINCT lang, source FROM d) g JOIN kept USING (lang)
+  LEFT JOIN w ON w.lang = g.lang AND w.source = g.source AND w.term = kept.term GROUP BY ALL
+), sums AS (SELECT lang, source, sum(c) AS own FROM grid GROUP BY ALL),
+p AS (
+  SELECT lang, source, term, c, (1 + 1000000000 * (c + 1)::HUGEINT // (own + v)::HUGEINT)::HUGEINT AS p, (1 + 1000000000 * (total + 1)::HUGEINT // (n + v)::HUGEINT)::HUGEINT AS q
+  FROM grid JOIN sums USING (lang, source) JOIN langs USING (lang)
+), pairs AS (
+  SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value
+  FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+), found AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(pairs.value, 0)::BIGINT AS value
+  FROM (SELECT DISTINCT lang, source FROM d) a JOIN (SELECT DISTINCT lang, source FROM d) b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN pairs ON pairs.lang = a.lang AND pairs.source = a.source AND pairs.item = b.source
+  UNION ALL
+  SELECT lang, source, 'term', term, ((p - q) * (p - q) // q)::BIGINT FROM p WHERE c > 0 AND p > q
+)
+SELECT *, (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item))::INT AS rank
+FROM found QUALIFY part = 'pair' OR rank <= 200
+"""
