@@ -12,11 +12,13 @@ one set alone, so those of a linked pair are equal in a segment at least. Segmen
 bits, which is their XOR-sum of a hash for each bit that is set: no link is missed, whatever the data.
 
 Sets that are equal are one class from the start, by digest and size; one of a class is sketched. In each
-segment's bucket every member is paired with the least one, and pairs are verified with the sets themselves: first
-one pair for each member, with the partner of most segments, then those that would still join two groups. What is
-left are buckets whose members are of unlike groups: those are compared in cells of two blocks of BLOCK
-members, so that no pair that shares a bucket is left out. Members of one group are not compared with each other again.
-Components follow by rounds of joins.
+segment's bucket every member is paired with the least one. A pair is dropped if whole sketches of one segment, of at
+least twice as many bits as a set has shingles, are farther apart than a link allows; the rest is verified with
+the sets themselves: first one pair for each member, with the partner of most segments, then those that would still
+join two groups. What is left are buckets whose members are of unlike groups: there sketches are compared in cells of two
+blocks of BLOCK members, so that no pair that shares a bucket is left out; a pair that is near enough goes on to be
+verified, once for all its buckets. Members of one group are not compared with each other again. Only sets of such
+pairs are ever moved. Components follow by rounds of joins.
 
 Null texts have no words. Rows that share a doc_id are one document with the links of all their texts. A null doc_id
 has a null component; ids are integers. Other columns are not read.
@@ -29,7 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bytehash import mix, words_by_text
@@ -37,7 +39,7 @@ from .leaks import shingles
 from .nearcopies import components
 from .storage import integer_id, stored
 
-WORDS, PERCENT, BITS, BLOCK, BLOCK_BYTES, SLICE = 3, 90, 1024, 512, 8 << 20, 256
+WORDS, PERCENT, BITS, BLOCK, BLOCK_WORDS, SLICE = 3, 90, 1024, 512, 1 << 18, 256
 
 
 def _spaced() -> np.ndarray:
@@ -82,6 +84,12 @@ def segment_keys(held: np.ndarray, band: int, starts: np.ndarray, percent: int =
     return mix(parity + mix(np.arange(segments, dtype=np.uint64) + (np.uint64(band) << np.uint64(32)))).astype(np.int64)
 
 
+def whole_sketch(held: np.ndarray) -> np.ndarray:
+    """Parity of the shingles that fall on each of a power of two of bits, as longs."""
+    width = 1 << max(6, (2 * len(held) - 1).bit_length())
+    return np.packbits(np.bincount((held & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1).view(np.int64)
+
+
 def _sets(column: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
     for at in range(0, len(column), SLICE):
         for i, w in words_by_text([(t or "").encode() for t in column.slice(at, SLICE).to_pylist()], PARTS):
@@ -89,7 +97,7 @@ def _sets(column: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
 
 
 def described(rows: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """id, n_shingles, digest, own and upper keys of each row (id, text)."""
+    """id, n_shingles, digest, own and upper keys, and the whole sketch (bits) of each row (id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         starts = band_starts(1 << 40, percent)
@@ -97,17 +105,18 @@ def described(rows: DataFrame, percent: int = PERCENT) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE):
                 part = batch.slice(at, SLICE)
-                n, digest, own, upper = [], [], [], []
+                n, digest, own, upper, bits = [], [], [], [], []
                 for _, held in _sets(part.column(1)):
                     n.append(len(held))
                     digest.append(hashlib.md5(held.tobytes()).digest())
                     band = int(np.searchsorted(starts, len(held), side="right")) - 1
                     own.append(segment_keys(held, band, starts, percent) if len(held) else None)
                     upper.append(segment_keys(held, band + 1, starts, percent) if len(held) else None)
-                columns = [part.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(own, kind), pa.array(upper, kind)]
-                yield pa.RecordBatch.from_arrays(columns, names=["id", "n_shingles", "digest", "own", "upper"])
+                    bits.append(whole_sketch(held) if len(held) else None)
+                columns = [part.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), *(pa.array(c, kind) for c in (own, upper, bits))]
+                yield pa.RecordBatch.from_arrays(columns, names=["id", "n_shingles", "digest", "own", "upper", "bits"])
 
-    return rows.select("id", "text").mapInArrow(run, "id long, n_shingles long, digest binary, own array<long>, upper array<long>")
+    return rows.select("id", "text").mapInArrow(run, "id long, n_shingles long, digest binary, own array<long>, upper array<long>, bits array<long>")
 
 
 def _set_rows(rows: DataFrame) -> DataFrame:
@@ -127,51 +136,64 @@ def linked(p: np.ndarray, q: np.ndarray, percent: int = PERCENT) -> bool:
     return both > 0 and 100 * both >= percent * (len(p) + len(q) - both)
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets link."""
+def sketch_distance(a: Column, b: Column) -> Column:
+    """Unlike bits of two whole sketches; the wider one is folded first."""
+    n = F.least(F.size(a), F.size(b))
+    folded = lambda c: F.when(F.size(c) > n, F.zip_with(F.slice(c, 1, n), F.slice(c, n + 1, n), lambda x, y: x.bitwiseXOR(y))).otherwise(c)
+    return F.aggregate(F.zip_with(folded(a), folded(b), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, v: s + v)
+
+
+def _near(pairs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sketches are no farther apart than a link allows. rows: id, n_shingles, bits."""
+    side = lambda c: rows.select(F.col("id").alias(c), F.col("n_shingles").alias(f"n_{c}"), F.col("bits").alias(f"bits_{c}"))
+    both = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b")
+    close = sketch_distance(F.col("bits_a"), F.col("bits_b")) * (100 + percent) <= (F.col("n_a") + F.col("n_b")) * (100 - percent)
+    return both.where(close).select("a", "b").distinct()
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sets link, stored; sets are made anew of the texts in question."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = [linked(np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8"), percent) for x, y in zip(batch.column(2), batch.column(3))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
+    pairs = stored(pairs, "near-pairs")
+    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+    sets = stored(_set_rows(texts.join(ids, "id", "left_semi")), "sets")
     one = sets.select(F.col("id").alias("b"), F.col("held").alias("y"))
     other = sets.select(F.col("id").alias("a"), F.col("held").alias("x"))
-    return pairs.join(one, "b").join(other, "a").select("a", "b", "x", "y").mapInArrow(run, "a long, b long").distinct()
-
+    return stored(pairs.join(one, "b").join(other, "a").select("a", "b", "x", "y").mapInArrow(run, "a long, b long").distinct(), "links")
 
-def cell_links(label: np.ndarray, side: np.ndarray, held: list[np.ndarray], percent: int = PERCENT) -> set[tuple[int, int]]:
-    """Labels joined by a linked pair of unlike labels: one of each side, or any two where all are of one side.
 
-    Parity sketches of one segment go first, of as many bits as the largest set has shingles.
-    """
-    sizes = np.array([len(s) for s in held])
-    width = 1 << max(10, int(sizes.max()).bit_length())
-    bits = np.zeros((len(held), width), np.float32)
-    for k, s in enumerate(held):
-        bits[k] = np.bincount((s & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1
+def cell_pairs(ids: np.ndarray, label: np.ndarray, side: np.ndarray, sizes: np.ndarray, sketches: list[np.ndarray], percent: int = PERCENT) -> np.ndarray:
+    """Pairs of ids of unlike labels whose sketches are near enough: one of each side, or any two where all are of one side."""
+    if (label == label[0]).all():
+        return np.zeros((0, 2), np.int64)
+    least = min(map(len, sketches))
+    bits = np.zeros((len(sketches), 64 * least), np.float32)
+    for k, s in enumerate(sketches):
+        bits[k] = np.unpackbits(np.bitwise_xor.reduce(s.reshape(-1, least), axis=0).view(np.uint8))
     ones = bits.sum(axis=1)
     i, j = np.flatnonzero(side == side.min()), np.flatnonzero(side == side.max())
     apart = ones[i][:, None] + ones[j] - 2 * (bits[i] @ bits[j].T)
     near = apart * (100 + percent) <= (100 - percent) * (sizes[i][:, None] + sizes[j])
     x, y = np.nonzero(near & (label[i][:, None] != label[j]))
-    found: set[tuple[int, int]] = set()
-    for k, m in zip(i[x].tolist(), j[y].tolist()):
-        pair = (min(label[k], label[m]), max(label[k], label[m]))
-        if pair not in found and linked(held[k], held[m], percent):
-            found.add((int(pair[0]), int(pair[1])))
-    return found
+    x, y = ids[i[x]], ids[j[y]]
+    return np.unique(np.column_stack([np.minimum(x, y), np.maximum(x, y)]), axis=0)
 
 
-def _mixed_links(members: DataFrame, rows: DataFrame, sets: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
-    """a, b: labels of groups that a linked pair joins in a bucket (key; members id) of unlike groups."""
+def _mixed_pairs(members: DataFrame, rows: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
+    """a, b of unlike groups that share a bucket (key; members id) and whose sketches are near."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, cell = None, []
 
         def close() -> pa.RecordBatch:
-            found = cell_links(np.array([c[0] for c in cell]), np.array([c[1] for c in cell]), [np.frombuffer(c[2], "<u8") for c in cell], percent)
-            return pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+            ids, label, side, sizes, sketches = zip(*cell)
+            found = cell_pairs(*(np.array(c, np.int64) for c in (ids, label, side, sizes)), [np.array(s, np.int64) for s in sketches], percent)
+            return pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["a", "b"])
 
         for batch in batches:
             for key, i, j, *rest in zip(*(c.to_pylist() for c in batch.columns)):
@@ -185,17 +207,13 @@ def _mixed_links(members: DataFrame, rows: DataFrame, sets: DataFrame, groups: D
 
     labelled = members.select("key", "id").join(groups, "id", "left").select("key", "id", F.coalesce("label", "id").alias("label"))
     mixed = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
-    sized = rows.groupBy("id").agg((8 * F.sum("n_shingles")).alias("bytes"))
-    unlike = stored(labelled.join(mixed, "key").join(sized, "id"), "unlike")
-    blocks = unlike.groupBy("key").agg(F.greatest(F.lit(1), F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("bytes") / BLOCK_BYTES)).alias("blocks"))
+    unlike = stored(labelled.join(mixed, "key").join(rows.select("id", "n_shingles", "bits"), "id"), "unlike")
+    blocks = unlike.groupBy("key").agg(F.greatest(F.lit(1), F.ceil(F.count("*") / BLOCK), F.ceil(F.sum(F.size("bits")) / BLOCK_WORDS)).alias("blocks"))
     cells = (
         unlike.join(blocks, "key").withColumn("p", F.pmod(F.xxhash64("id"), "blocks")).withColumn("q", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-        .select("key", F.least("p", "q").alias("i"), F.greatest("p", "q").alias("j"), "label", (F.col("p") > F.col("q")).cast("int").alias("side"), "id")
-    )
-    return (
-        cells.join(sets, "id").select("key", "i", "j", "label", "side", "held")
-        .repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, "a long, b long").distinct()
+        .select("key", F.least("p", "q").alias("i"), F.greatest("p", "q").alias("j"), "id", "label", (F.col("p") > F.col("q")).cast("int").alias("side"), "n_shingles", "bits")
     )
+    return cells.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, "a long, b long").distinct()
 
 
 def component_ids(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -216,18 +234,17 @@ def component_ids(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     )
     members = stored(segments.select("key", "id").join(least, "key").where("id <> a"), "members")
     edges = stored(members.groupBy("a", F.col("id").alias("b")).agg(F.count("*").alias("n")), "edges")
-    near = edges.select(F.col("a").alias("id")).union(edges.select("b")).distinct()
-    sets = stored(_set_rows(texts.join(near, "id", "left_semi")), "sets")
+    edges = stored(edges.join(_near(edges, single, percent), ["a", "b"]), "near-edges")
     first = edges.groupBy("b").agg(F.max_by("a", F.struct("n", -F.col("a"))).alias("a")).select("a", "b")
-    found = stored(_verified(first, sets, percent), "links")
+    found = _verified(first, texts, percent)
     groups = components(found)
     side = lambda c: groups.select(F.col("id").alias(c), F.col("label").alias(f"{c}_label"))
     rest = (
         edges.join(first, ["a", "b"], "left_anti").join(side("a"), "a", "left").join(side("b"), "b", "left")
         .where(F.coalesce("a_label", "a") != F.coalesce("b_label", "b")).select("a", "b")
     )
-    found = stored(found.union(_verified(rest, sets, percent)), "links")
-    mixed = _mixed_links(members, filled, sets, components(found), percent)
+    found = found.union(_verified(rest, texts, percent))
+    mixed = _verified(_mixed_pairs(members, single, components(found), percent), texts, percent)
     links = found.union(mixed).union(later.select(F.col("rep").alias("a"), F.col("id").alias("b")))
     groups = components(links).select(F.col("id"), F.col("label"))
     return (
