@@ -177,7 +177,7 @@ def kept_terms(counts: DataFrame, min_docs: int = MIN_DOCS, width: int = WIDTH)
     """lang, term, total, block, at, size of each kept term, and lang, kept (V), total (N) of each language that keeps any."""
     kept = stored(counts.groupBy("lang", "term").agg(F.sum("n").alias("total"), F.sum("docs").alias("docs")).where(F.col("docs") >= min_docs).drop("docs"), "terms")
     langs = kept.groupBy("lang").agg(F.count("*").alias("kept"), F.sum("total").alias("whole"))
-    block = kept.join(langs.select("lang", "kept"), "lang").withColumn("block", F.pmod(F.xxhash64("term"), F.ceil(F.col("kept") / width)))
+    block = kept.join(langs.select("lang", "kept"), "lang").withColumn("block", F.pmod(F.xxhash64("term"), F.ceil(F.col("kept") / width))).repartition("lang", "block")
     inside = Window.partitionBy("lang", "block")
     ids = block.select(
         "lang", "term", "total", "block", (F.row_number().over(inside.orderBy(F.desc("total"), "term")) - 1).cast("long").alias("at"), F.count("*").over(inside).alias("size")
