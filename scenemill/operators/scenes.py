@@ -126,11 +126,14 @@ def mask_runs(pixels: DataFrame, key: str) -> DataFrame:
 
 
 def annotation_faults(width: Column, height: Column, bbox: Column, area: Column, counts: Column) -> Column:
-    """What is wrong with an annotation: box outside the image, runs that do not fill it, an area that is not the mask's."""
+    """What is wrong with an annotation: a box outside the image, runs that are negative or do not fill it, an area that is not the mask's or is more than its box."""
     total = F.aggregate(counts, F.lit(0).cast("long"), lambda s, x: s + x)
     inside = F.aggregate(F.filter(counts, lambda x, i: i % 2 == 1), F.lit(0).cast("long"), lambda s, x: s + x)
     out = (bbox[0] < 0) | (bbox[1] < 0) | (bbox[2] <= 0) | (bbox[3] <= 0) | (bbox[0] + bbox[2] > width) | (bbox[1] + bbox[3] > height)
-    return F.array_compact(F.array(F.when(out, "box"), F.when(total != width * height, "runs"), F.when((inside != area) | (area <= 0) | (area > width * height), "area")))
+    runs = (F.size(counts) == 0) | F.exists(counts, lambda x: x < 0) | (total != width * height)
+    sized = (inside == area) & (area > 0) & (area <= bbox[2] * bbox[3])
+    wrong = lambda c: F.coalesce(c, F.lit(True))  # noqa: E731  a number that is missing is a fault
+    return F.array_compact(F.array(F.when(wrong(out), "box"), F.when(wrong(runs), "runs"), F.when(wrong(~sized), "area")))
 
 
 def renumber(images: DataFrame, annotations: DataFrame, order: list[Column], annotation_order: list[Column]) -> tuple[DataFrame, DataFrame]:
@@ -147,18 +150,6 @@ def padded_box(bbox: Column, width: Column, height: Column, margin: float) -> Co
     return F.array(low(bbox[0] - dx), low(bbox[1] - dy), F.least(F.bround(bbox[0] + bbox[2] + dx).cast("int"), width), F.least(F.bround(bbox[1] + bbox[3] + dy).cast("int"), height))
 
 
-def gap_clusters(values: Column, gap: float) -> Column:
-    """Sorted numbers as arrays, a new one where a number lies more than `gap` above its array's first."""
-    empty = F.array().cast("array<array<double>>")
-
-    def step(held: Column, v: Column) -> Column:
-        last = F.element_at(held, -1)
-        joins = (F.size(held) > 0) & (v - F.get(F.try_element_at(held, F.lit(-1)), F.lit(0)) <= gap)
-        return F.when(joins, F.concat(F.slice(held, 1, F.greatest(F.size(held) - 1, F.lit(0))), F.array(F.concat(last, F.array(v))))).otherwise(F.concat(held, F.array(F.array(v))))
-
-    return F.aggregate(F.sort_array(values), empty, step)
-
-
 def chosen_cameras(candidates: Column, views: int) -> Column:
     """Of an array of (x, y, clearance): the one of best clearance, then again and again the farthest from all chosen, ties by clearance, then point."""
     ordered = F.array_sort(candidates, lambda a, b: F.when(a["clearance"] > b["clearance"], -1).when(a["clearance"] < b["clearance"], 1).when(a["x"] < b["x"], -1).when(a["x"] > b["x"], 1).when(a["y"] < b["y"], -1).when(a["y"] > b["y"], 1).otherwise(0))

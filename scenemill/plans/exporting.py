@@ -16,9 +16,10 @@ WIDTH, HEIGHT = 16, 8
 
 
 def _clouds(spark, sf, objects, step):
-    """A vector's points for each object; some objects have none."""
-    vec = F.pmod(F.col("sample_id") * 7 + F.col("obj_idx") + step, F.lit(600))
-    return objects.select("sample_id", "obj_idx", vec.alias("obj_id")).join(V.points(spark, sf), "obj_id").select("sample_id", "obj_idx", "cloud")
+    """A vector's points for each object, dealt over all vectors and a hundred that are not there."""
+    vectors = table(spark, sf, "embeddings").agg((F.max("vec_id") + 101).alias("_n"))  # one row
+    vec = F.pmod(F.col("sample_id") * 7 + F.col("obj_idx") + step, F.col("_n"))
+    return objects.select("sample_id", "obj_idx").join(F.broadcast(vectors)).select("sample_id", "obj_idx", vec.alias("obj_id")).join(V.points(spark, sf), "obj_id").select("sample_id", "obj_idx", "cloud")
 
 
 def shape_metrics(spark, sf):
@@ -300,12 +301,12 @@ def padded_boxes(spark, sf):
 
 
 def annotation_faults(spark, sf):
-    """Runs of each user's events against a picture that is right for one in three."""
+    """Runs of each user's events against a picture that is right for one in three; one box in seven is a single pixel."""
     pixels = table(spark, sf, "events").select(F.col("user_id").alias("mask"), F.col("event_id").alias("pos"), (F.col("value") > 50).cast("int").alias("on"))
     size = pixels.groupBy("mask").agg(F.count("*").alias("n"), F.sum("on").alias("held"))
     runs = S.mask_runs(pixels, "mask").join(size, "mask")
     m = F.col("mask")
-    faults = S.annotation_faults(F.col("n"), F.when(m % 3 == 1, 2).otherwise(1), F.array(F.lit(0), F.lit(0), F.col("n") + F.when(m % 3 == 2, 1).otherwise(0), F.lit(1)), F.col("held") + F.when(m % 5 == 0, 1).otherwise(0), F.col("counts"))
+    faults = S.annotation_faults(F.col("n"), F.when(m % 3 == 1, 2).otherwise(1), F.array(F.lit(0), F.lit(0), F.when(m % 7 == 0, 1).otherwise(F.col("n")) + F.when(m % 3 == 2, F.col("n")).otherwise(0), F.lit(1)), F.col("held") + F.when(m % 5 == 0, 1).otherwise(0), F.col("counts"))
     return runs.select("mask", F.array_join(faults, ",").alias("faults"))
 
 
@@ -345,7 +346,7 @@ a AS (SELECT room_id, fill, over, ceil, list_filter([CASE WHEN over THEN 'oversi
 _TRI = """t AS (SELECT sample_id, obj_idx, x0, y0, x1, y1, z1, h, x1 AS b_x, CASE h WHEN 0 THEN y0 ELSE y1 END AS b_y, CASE h WHEN 0 THEN z1 ELSE z1 + 0.0531::DOUBLE END AS b_z, CASE h WHEN 0 THEN x1 ELSE x0 END AS cx, y1 AS cy, z1 AS cz FROM line, range(0, 2) r(h))"""
 
 ORACLE_SQL = {
-    "shape_metrics": f"""WITH RECURSIVE {VIEW_SQL}, {_match_sql('sample_id')}, {_POINT}, n AS {_CANON}, pair AS (SELECT sample_id, obj_idx AS pair, (sample_id * 7 + obj_idx) % 600 AS va, (sample_id * 7 + gt_idx + 1) % 600 AS vb FROM walk WHERE gt_idx IS NOT NULL),
+    "shape_metrics": f"""WITH RECURSIVE {VIEW_SQL}, {_match_sql('sample_id')}, {_POINT}, n AS {_CANON}, pair AS (SELECT sample_id, obj_idx AS pair, (sample_id * 7 + obj_idx) % (SELECT max(vec_id) + 101 FROM embeddings) AS va, (sample_id * 7 + gt_idx + 1) % (SELECT max(vec_id) + 101 FROM embeddings) AS vb FROM walk WHERE gt_idx IS NOT NULL),
 d AS (SELECT sample_id, pair, a.i AS ai, b.i AS bi, (a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2 AS d FROM pair JOIN n a ON a.id = va JOIN n b ON b.id = vb)
 SELECT sample_id, round(avg(f.mean + g.mean), 6) AS chamfer, round(avg(CASE WHEN f.share + g.share > 0 THEN 2 * f.share * g.share / (f.share + g.share) ELSE 0 END), 6) AS fscore FROM {_near('ai')} f JOIN {_near('bi')} g USING (sample_id, pair) GROUP BY 1""",
     "layout_relations": f"{_RELATIONS} SELECT * FROM rel",
@@ -420,5 +421,6 @@ SELECT sample_id, obj_idx, round(x0 - hx, 6) + 0::DOUBLE AS x0, round(y0 - hy, 6
     "spread_sample": "SELECT house, room FROM (SELECT o_custkey AS house, o_orderkey AS room, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS k, count(*) OVER (PARTITION BY o_custkey) AS n FROM orders) WHERE k = 1 OR k = n // 2 + 1 OR k = n",
     "padded_boxes": """WITH b AS (SELECT *, (l_partkey % 50)::DOUBLE AS x, (l_suppkey % 40)::DOUBLE AS y, l_quantity AS w, 1 + l_quantity / 2 AS h FROM lineitem)
 SELECT l_orderkey, l_partkey, l_suppkey, l_quantity, greatest(round_even(x - w * 0.25, 0), 0)::INT AS x0, greatest(round_even(y - h * 0.25, 0), 0)::INT AS y0, least(round_even(x + w + w * 0.25, 0), 90)::INT AS x1, least(round_even(y + h + h * 0.25, 0), 60)::INT AS y1 FROM b""",
-    "annotation_faults": """SELECT user_id AS mask, concat_ws(',', CASE WHEN user_id % 3 = 2 THEN 'box' END, CASE WHEN user_id % 3 = 1 THEN 'runs' END, CASE WHEN user_id % 5 = 0 OR sum((value > 50)::INT) = 0 THEN 'area' END) AS faults FROM events GROUP BY user_id""",
+    "annotation_faults": """WITH q AS (SELECT user_id AS mask, count(*) AS n, sum((value > 50)::INT) AS held FROM events GROUP BY 1), b AS (SELECT *, CASE WHEN mask % 7 = 0 THEN 1 ELSE n END + CASE WHEN mask % 3 = 2 THEN n ELSE 0 END AS w, held + (mask % 5 = 0)::INT AS area FROM q)
+SELECT mask, concat_ws(',', CASE WHEN w > n THEN 'box' END, CASE WHEN mask % 3 = 1 THEN 'runs' END, CASE WHEN area <> held OR area <= 0 OR area > w THEN 'area' END) AS faults FROM b""",
 }

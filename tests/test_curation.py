@@ -78,13 +78,12 @@ def test_masks_and_boxes(spark):
     pixels = spark.createDataFrame([("a", i, v) for i, v in enumerate([0, 0, 1, 1, 1, 0])] + [("b", i, v) for i, v in enumerate([1, 0])] + [("c", 0, 0)], "mask string, pos int, on int")
     got = {r.mask: r.counts for r in S.mask_runs(pixels, "mask").collect()}
     assert got == {"a": [2, 3, 1], "b": [0, 1, 1], "c": [1]}
-    rows = [([0, 0, 3, 2], 3, [2, 3, 1]), ([0, 0, 4, 2], 2, [2, 3, 2])]
+    rows = [([0, 0, 3, 2], 3, [2, 3, 1]), ([0, 0, 4, 2], 2, [2, 3, 2]), ([0, 0, 1, 2], 3, [2, 3, 1]), ([0, 0, 3, 2], 3, [2, 3, 2, -1]), ([0, 0, 3, 2], 0, []), (None, None, None)]
     df = spark.createDataFrame(rows, "bbox array<int>, area long, counts array<long>")
     faults = [r[0] for r in df.select(S.annotation_faults(F.lit(3), F.lit(2), F.col("bbox"), F.col("area"), F.col("counts"))).collect()]
-    assert faults == [[], ["box", "runs", "area"]]
+    assert faults == [[], ["box", "runs", "area"], ["area"], ["runs", "area"], ["runs", "area"], ["box", "runs", "area"]]
     crop = spark.range(1).select(S.padded_box(F.array(*[F.lit(float(v)) for v in (1, 2, 5, 5)]), F.lit(8), F.lit(20), 0.1).alias("c")).first().c
     assert crop == [0, 2, 6, 8]  # 0.5 and 1.5, 6.5 and 7.5 go to the even number
-    assert spark.range(1).select(S.gap_clusters(F.array(*[F.lit(v) for v in (0.0, 0.3, 0.6, 2.0, 0.1)]), 0.4)).first()[0] == [[0.0, 0.1, 0.3], [0.6], [2.0]]
 
 
 def test_renumber_and_cameras(spark):
