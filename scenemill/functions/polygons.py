@@ -1,6 +1,6 @@
 """Convex polygons in the plane, and oriented boxes by footprint and height.
 
-The helpers work on one small polygon at a time inside Arrow functions; Spark spreads the rows.
+`hull` and `clip` work on one small polygon; boxes are clipped many pairs at a time, as arrays, inside Arrow functions.
 """
 
 from __future__ import annotations
@@ -8,7 +8,8 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
@@ -17,6 +18,7 @@ from .rows import once
 Point = tuple[float, float]
 INSIDE = -1e-12
 PARALLEL = 1e-15
+PAIRS = 1 << 14
 
 
 def _turn(o: Point, a: Point, b: Point) -> float:
@@ -72,10 +74,69 @@ def shared_area(a: Sequence[Point], b: Sequence[Point]) -> float:
     return area(clip(p, q)) if len(p) > 2 and len(q) > 2 else 0.0
 
 
-@F.pandas_udf(DoubleType())
-def footprint_overlap(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Shared area of two arrays of points, seen from above."""
-    return pd.Series([shared_area([(p[0], p[1]) for p in x], [(p[0], p[1]) for p in y]) for x, y in zip(a, b)], dtype=float)
+def outlines(corners: np.ndarray) -> np.ndarray:
+    """Boxes (n, 8, 2 or 3), corners as `boxes.corners` orders them, from above: six points each, counter-clockwise, some of them equal.
+
+    Seen from above a box is its three edges laid end to end by direction, there and back.
+    """
+    p = corners[:, :, :2]
+    sides = np.stack([p[:, 4] - p[:, 0], p[:, 2] - p[:, 0], p[:, 1] - p[:, 0]], axis=1)
+    back = (sides[:, :, 1] < 0) | ((sides[:, :, 1] == 0) & (sides[:, :, 0] < 0))
+    sides = np.where(back[:, :, None], -sides, sides)
+    order = np.argsort(np.arctan2(sides[:, :, 1], sides[:, :, 0]), axis=1, kind="stable")
+    sides = np.take_along_axis(sides, order[:, :, None], axis=1)
+    first = p.mean(axis=1) - sides.sum(axis=1) / 2
+    steps = np.cumsum(np.concatenate([sides, -sides[:, :2]], axis=1), axis=1)
+    return np.concatenate([first[:, None], first[:, None] + steps], axis=1)
+
+
+def clipped_areas(subject: np.ndarray, window: np.ndarray) -> np.ndarray:
+    """Areas of convex polygons (n, k, 2) inside others (n, m, 2), all counter-clockwise, row by row; see `clip`.
+
+    All rows are cut by one edge of their window at a time. A row's points are kept to its front; behind them stands its last one.
+    """
+    kept, count = subject, np.full(len(subject), subject.shape[1])
+    for k in range(window.shape[1]):
+        a, b = window[:, k, None], window[:, (k + 1) % window.shape[1], None]
+        live = np.arange(kept.shape[1]) < count[:, None]
+        side = (b[..., 0] - a[..., 0]) * (kept[..., 1] - a[..., 1]) - (b[..., 1] - a[..., 1]) * (kept[..., 0] - a[..., 0])
+        last = np.where(np.arange(kept.shape[1]) == 0, np.maximum(count - 1, 0)[:, None], np.arange(kept.shape[1]) - 1)
+        before, other = np.take_along_axis(kept, last[..., None], axis=1), np.take_along_axis(side, last, axis=1)
+        inside, was = side >= INSIDE, other >= INSIDE
+        gap = other - side
+        share = np.where(np.abs(gap) >= PARALLEL, other / np.where(np.abs(gap) >= PARALLEL, gap, 1.0), 1.0)
+        met = before + share[..., None] * (kept - before)
+        both = np.stack([met, kept], axis=2).reshape(len(kept), -1, 2)
+        use = np.stack([(inside != was) & live, inside & live], axis=2).reshape(len(kept), -1)
+        count = use.sum(axis=1)
+        order = np.argsort(~use, axis=1, kind="stable")[:, : max(int(count.max(initial=0)), 1)]
+        kept = np.take_along_axis(both, order[..., None], axis=1)
+    end = np.take_along_axis(kept, np.maximum(count - 1, 0)[:, None, None], axis=1)
+    kept = np.where((np.arange(kept.shape[1]) < count[:, None])[..., None], kept, end)
+    x, y = kept[..., 0] - kept[:, :1, 0], kept[..., 1] - kept[:, :1, 1]
+    found = np.abs((x * np.roll(y, -1, axis=1) - y * np.roll(x, -1, axis=1)).sum(axis=1)) / 2
+    return np.where(count > 2, found, 0.0)
+
+
+def shared_outlines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Areas that boxes share from above, row by row; corners (n, 8, 2 or 3)."""
+    return np.concatenate([clipped_areas(outlines(a[k : k + PAIRS]), outlines(b[k : k + PAIRS])) for k in range(0, len(a), PAIRS)]) if len(a) else np.zeros(0)
+
+
+def corner_array(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Which rows have eight corners, and those corners (n, 8, 3)."""
+    some = np.flatnonzero((pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)) == 8)
+    return some, column.take(pa.array(some)).flatten().flatten().to_numpy(zero_copy_only=False).reshape(-1, 8, 3)
+
+
+@F.arrow_udf(DoubleType())
+def footprint_overlap(a: pa.Array, b: pa.Array) -> pa.Array:
+    """Shared area of two boxes (their corners), seen from above; 0 where either has none."""
+    (i, p), (j, q) = corner_array(a), corner_array(b)
+    both, at, to = np.intersect1d(i, j, assume_unique=True, return_indices=True)
+    out = np.zeros(len(a))
+    out[both] = shared_outlines(p[at], q[to])
+    return pa.array(out)
 
 
 def oriented_overlap(df, a: str, b: str, name: str = "overlap"):
