@@ -4,8 +4,9 @@ A document's set holds the hashes of its distinct three-word shingles: words bet
 lowered; of fewer words the whole sequence is one. Two documents link if 100 |A and B| >= PERCENT |A or B|. A set
 without words is empty and links with nothing.
 
-Sketch. Sets that link are nearly of one size, so sizes are parted into bands, each the sizes up to 100/PERCENT
-times its first. A set is sketched for its own band and for the next; pairs meet in the band of the larger. There
+Sketch. Sets that link are nearly of one size, so sizes are parted into bands, each the sizes up to one and a half
+times its first. A set is sketched for its own band, and for the next if it is near enough to it to link with one of
+that; pairs meet in the band of the larger. There
 at most D = (100 - PERCENT) (|A| + |B|) / (100 + PERCENT) shingles are in one set alone. A sketch has D + 1
 segments of BITS bits; every shingle flips one bit. Two sketches differ in no more bits than there are shingles in
 one set alone, so those of a linked pair are equal in a segment at least. Segments are joined by the hash of their
@@ -68,7 +69,7 @@ def band_starts(largest: int, percent: int = PERCENT) -> np.ndarray:
     """The first size of each band; two sets that link are of one band or of neighbours."""
     starts = [1]
     while starts[-1] <= largest:
-        starts.append(100 * starts[-1] // percent + 1)
+        starts.append(max(100 * starts[-1] // percent + 1, 3 * starts[-1] // 2))
     return np.array(starts, np.int64)
 
 
@@ -111,7 +112,8 @@ def described(rows: DataFrame, percent: int = PERCENT) -> DataFrame:
                     digest.append(hashlib.md5(held.tobytes()).digest())
                     band = int(np.searchsorted(starts, len(held), side="right")) - 1
                     own.append(segment_keys(held, band, starts, percent) if len(held) else None)
-                    upper.append(segment_keys(held, band + 1, starts, percent) if len(held) else None)
+                    reaches = 100 * len(held) >= percent * int(starts[band + 1])
+                    upper.append(segment_keys(held, band + 1, starts, percent) if len(held) and reaches else None)
                     bits.append(whole_sketch(held) if len(held) else None)
                 columns = [part.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), *(pa.array(c, kind) for c in (own, upper, bits))]
                 yield pa.RecordBatch.from_arrays(columns, names=["id", "n_shingles", "digest", "own", "upper", "bits"])
@@ -223,16 +225,11 @@ def component_ids(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     filled = rows.where("id IS NOT NULL AND n_shingles > 0")
     copies = filled.groupBy("digest", "n_shingles").agg(F.min("id").alias("rep"), F.count("*").alias("times")).where("times > 1").drop("times")
     later = stored(filled.select("id", "digest", "n_shingles").join(copies, ["digest", "n_shingles"]).where("id <> rep").select("id", "digest", "rep").distinct(), "copies")
-    single = filled.join(later.select("id", "digest"), ["id", "digest"], "left_anti")
-    segments = (
-        single.select("id", F.explode("own").alias("key"), F.lit(1).alias("larger"))
-        .union(single.select("id", F.explode("upper").alias("key"), F.lit(0).alias("larger")))
-    )
-    least = (
-        segments.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("z"), F.max("larger").alias("larger"))
-        .where("a <> z AND larger = 1").select("key", "a")
-    )
-    members = stored(segments.select("key", "id").join(least, "key").where("id <> a"), "members")
+    # what is joined here grows with the documents, so it is never sent to all executors, however few there are
+    single = filled.join(later.select("id", "digest").hint("shuffle_merge"), ["id", "digest"], "left_anti")
+    segments = single.select("id", F.explode(F.concat("own", F.coalesce("upper", F.array().cast("array<long>")))).alias("key"))
+    least = segments.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a <> z").select("key", "a")
+    members = stored(segments.join(least.hint("shuffle_merge"), "key").where("id <> a"), "members")
     edges = stored(members.groupBy("a", F.col("id").alias("b")).agg(F.count("*").alias("n")), "edges")
     edges = stored(edges.join(_near(edges, single, percent), ["a", "b"]), "near-edges")
     first = edges.groupBy("b").agg(F.max_by("a", F.struct("n", -F.col("a"))).alias("a")).select("a", "b")
