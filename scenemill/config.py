@@ -47,6 +47,7 @@ class Experiment:
     dataset: dict[str, Any]
     model: dict[str, Any]
     metrics: list[dict[str, Any]] = field(default_factory=list)
+    interval_law: str = "replay"
 
 
 def read_mapping(path: Path) -> dict:
@@ -106,4 +107,5 @@ def load(path: str | Path) -> Experiment:
     return Experiment(
         str(get("experiment_name", Path(path).stem)[0]), int(get("seed", 0)[0]), str((where / output).resolve()),
         _component(*get("dataset")), _component(*get("model")), expanded(*get("metrics", [])),
+        str(get("interval_law", "replay")[0]),
     )

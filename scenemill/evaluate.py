@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime
 import json
+import os
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -108,9 +109,6 @@ def _dataset_map(t, p):
     return per_class.agg(F.coalesce(F.avg("ap"), F.lit(0.0)).alias("value"))
 
 
-FOLDERS = 10_000
-
-
 def clouds(objects: DataFrame, count: int, seed: int, root: str | None) -> DataFrame:
     """sample_id, obj_idx, cloud of the objects that have a shape. Each file is read and sampled once, whoever names it."""
     points, path = S.shape_of(F.col("attributes"))
@@ -118,12 +116,13 @@ def clouds(objects: DataFrame, count: int, seed: int, root: str | None) -> DataF
     named = named.withColumn("path", S.plain(S.resolved(root, F.col("path"))) if root else S.plain(F.col("path")))
     inline = named.where("path is null").select("sample_id", "obj_idx", F.col("points").alias("cloud"))
     wanted = named.where("path is not null").select("path").distinct()
-    parents = wanted.select(F.regexp_extract("path", r"^(.*)/", 1).alias("d")).distinct().limit(FOLDERS + 1).collect()
-    if not parents:
+    ends = wanted.agg(F.min("path").alias("a"), F.max("path").alias("b")).first()  # all paths share what these two share
+    if ends.a is None:
         return inline
-    if len(parents) > FOLDERS and not root:
-        raise ValueError("shapes lie in too many folders: give mesh_root")
-    read = meshes.read_meshes(objects.sparkSession, root if root else [r["d"] for r in parents], wanted)
+    folder = os.path.commonprefix([ends.a, ends.b]).rpartition("/")[0]
+    if not root and not folder.replace(":", "").strip("/"):
+        raise ValueError("shapes lie in no folder of their own: give mesh_root")
+    read = meshes.read_meshes(objects.sparkSession, root or folder, wanted)
     drawn = meshes.sampled_clouds(read, count, seed).withColumn("path", S.plain(F.col("path")))
     return inline.unionByName(named.join(drawn, "path").select("sample_id", "obj_idx", "cloud"))
 
@@ -180,7 +179,7 @@ def run(spark: SparkSession, experiment: Experiment) -> dict[str, dict]:
         values = checkpointed(M.long_form(scores).join(t["scenes"].select("sample_id", "ordinal"), "sample_id"))
         rows = values.where("value is not null").groupBy("sample_id", "ordinal").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("metric", "value")))).alias("metrics"))
         t["scenes"].select("sample_id", "ordinal").join(rows, ["sample_id", "ordinal"], "left").orderBy("ordinal").select("sample_id", "metrics").write.mode("overwrite").json(f"{out}/metrics.jsonl")
-        bounds = {r["metric"]: r for r in bootstrap.intervals(values, experiment.seed).collect()}
+        bounds = {r["metric"]: r for r in bootstrap.intervals(values, experiment.seed, experiment.interval_law).collect()}
         for r in M.summary(values).collect():  # a row per metric
             n = r["metric"]
             summary[n] = {"count": r["n"]} | ({"mean": r["mean"], "median": r["median"], "ci95_low": bounds[n]["ci_low"], "ci95_high": bounds[n]["ci_high"]} if r["n"] else {})

@@ -190,13 +190,25 @@ def test_bootstrap_replays(spark, n):
     assert got["flat"].ci_low == got["flat"].ci_high == 2.0
 
 
-def test_bootstrap_of_many_agrees(spark, monkeypatch):
+def test_bootstrap_laws_agree(spark):
     held = np.random.default_rng(0).normal(3, 1, 1500)
     df = spark.createDataFrame([("m", i, float(v)) for i, v in enumerate(held)], "metric string, ordinal long, value double")
-    exact = bootstrap.intervals(df).first()
-    monkeypatch.setattr(bootstrap, "EXACT", 10)
-    wide = bootstrap.intervals(df).first()
-    assert abs(exact.ci_low - wide.ci_low) < 0.02 and abs(exact.ci_high - wide.ci_high) < 0.02
+    exact, wide = bootstrap.intervals(df).first(), bootstrap.intervals(df, law="poisson").first()
+    assert abs(exact.ci_low - wide.ci_low) < 0.02 and abs(exact.ci_high - wide.ci_high) < 0.02 and exact.n == wide.n == 1500
+    with pytest.raises(ValueError, match="law"):
+        bootstrap.intervals(df, law="guess")
+
+
+def test_bootstrap_in_chunks_is_one_sequence(spark, monkeypatch):
+    held = np.random.default_rng(1).normal(0, 1, 700)
+    df = spark.createDataFrame([("m", i, float(v)) for i, v in enumerate(held)], "metric string, ordinal long, value double")
+    want = bootstrap.exact_bounds(held.tolist(), 3)
+    for chunk in (1 << 27, 150_000, 30_000):
+        monkeypatch.setattr(bootstrap, "CHUNK", chunk)
+        cuts = list(bootstrap.cut_points(700, 3, min(2000, -(-2000 * 700 // chunk))))
+        assert sum(c[1] for c in cuts) == 2000 and [c[0] for c in cuts] == list(np.cumsum([0] + [c[1] for c in cuts[:-1]]))
+        got = bootstrap.intervals(df, 3).first()
+        assert (got.ci_low, got.ci_high) == pytest.approx(want)
 
 
 def test_shapes_equal_numpy(spark):
