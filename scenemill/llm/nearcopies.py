@@ -33,6 +33,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, MapType, StructType, VariantType
 
 from .bytehash import SPACED, mix, words_by_text
 from .leaks import shingles
@@ -262,10 +263,21 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     )
 
 
+def sortable(kind: DataType) -> bool:
+    if isinstance(kind, StructType):
+        return all(sortable(f.dataType) for f in kind.fields)
+    return sortable(kind.elementType) if isinstance(kind, ArrayType) else not isinstance(kind, (MapType, VariantType))
+
+
 def one_of_each(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """The document of least doc_id of each group, one row of it (the least, if it has more). Rows without an id stay."""
+    """The document of least doc_id of each group, one row of it (the least, if it has more). Rows without an id stay.
+
+    Columns that have no order, such as maps, are compared as JSON.
+    """
     name, row = free_name(docs, "_kept"), free_name(docs, "_row")
     kept = classes(docs, similarity).where(F.col("doc_id") == F.col("class_id")).select(F.col("doc_id").alias(name)).distinct()
     rest = [c for c in docs.columns if c != "doc_id"]
-    chosen = docs.join(kept, docs["doc_id"] == kept[name]).groupBy("doc_id").agg(F.min(F.struct(*rest)).alias(row))
+    plain = [c if sortable(docs.schema[c].dataType) else F.to_json(F.struct(c)) for c in rest]
+    least = F.min(F.struct(*rest)) if plain == rest else F.min_by(F.struct(*rest), F.struct(*plain))
+    chosen = docs.join(kept, docs["doc_id"] == kept[name]).groupBy("doc_id").agg(least.alias(row))
     return chosen.select("doc_id", f"{row}.*").select(*docs.columns).unionByName(docs.where("doc_id is null"))

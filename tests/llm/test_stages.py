@@ -9,7 +9,7 @@ import pytest
 import tiktoken
 
 import corpus_pipeline
-from scenemill.llm import bpe, leaks, media, quality, toxicity
+from scenemill.llm import bpe, leaks, media, nearcopies, quality, toxicity
 from scenemill.llm.storage import table
 
 from .test_text_ops import brute_classes, brute_repeats, near_rows, repeat_rows
@@ -199,3 +199,10 @@ def test_a_steady_tone_peaks_at_its_own_bin():
     tone = (128 + 100 * np.sin(2 * np.pi * 8 * np.arange(64 * 50) / 64)).astype(np.uint8)
     found = media.peaks(tone)[1].tolist()
     assert 8 in found and set(found) <= {8, 16, 24}  # and its overtones, as samples are whole numbers
+
+
+def test_one_of_each_keeps_columns_without_an_order(spark):
+    text = " ".join(f"w{k}" for k in range(40))
+    docs = spark.createDataFrame([(1, text, {"a": 2}, [{"b": 1}]), (1, text, {"a": 1}, [{"b": 1}]), (2, text, {"c": 3}, []), (3, "other words", None, None)], "doc_id long, text string, extra map<string,int>, more array<map<string,int>>")
+    got = sorted((r.doc_id, r.extra, r.more) for r in nearcopies.one_of_each(docs).collect())
+    assert got == [(1, {"a": 1}, [{"b": 1}]), (3, None, None)]
