@@ -278,6 +278,6 @@ def one_of_each(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     kept = classes(docs, similarity).where(F.col("doc_id") == F.col("class_id")).select(F.col("doc_id").alias(name)).distinct()
     rest = [c for c in docs.columns if c != "doc_id"]
     plain = [c if sortable(docs.schema[c].dataType) else F.to_json(F.struct(c)) for c in rest]
-    least = F.min(F.struct(*rest)) if plain == rest else F.min_by(F.struct(*rest), F.struct(*plain))
+    least = F.min(F.struct(*rest)) if all(isinstance(c, str) for c in plain) else F.min_by(F.struct(*rest), F.struct(*plain))
     chosen = docs.join(kept, docs["doc_id"] == kept[name]).groupBy("doc_id").agg(least.alias(row))
     return chosen.select("doc_id", f"{row}.*").select(*docs.columns).unionByName(docs.where("doc_id is null"))
