@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .archives import opened, read_members
 from .scenes import plain
 
 # fixed values: PLY's scalar names and glTF's component types
@@ -188,17 +189,23 @@ def read_meshes(spark: SparkSession, path: str | list[str], wanted: DataFrame |
     return files.select("path", "content").mapInArrow(parse, "path string, vertices array<array<double>>, faces array<array<int>>")
 
 
+def head_of(path: str) -> bytes:
+    """A GLB file up to the end of its first chunk."""
+    with opened(path) as f:
+        start = f.read(20)
+        return start + f.read(struct.unpack_from("<I", start, 12)[0])
+
+
 def read_bounds(spark: SparkSession, path: str) -> DataFrame:
-    """path, low, high of every GLB file below a folder, from its accessors' own bounds: coordinates are not decoded."""
+    """path, low, high of every GLB file below a folder, from its accessors' own bounds. Files are listed by Spark and read up to the end of their head."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names = batch.column(0).to_pylist()
-            found = [glb_bounds(data) for data in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(names), *[pa.array([f[k] for f in found], pa.list_(pa.float64())) for k in (0, 1)]], names=["path", "low", "high"])
+            found = [glb_bounds(head_of(name)) for name in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array([f[k] for f in found], pa.list_(pa.float64())) for k in (0, 1)]], names=["path", "low", "high"])
 
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.glb").load(path)
-    return files.select("path", "content").mapInArrow(scan, "path string, low array<double>, high array<double>")
+    return files.select("path").mapInArrow(scan, "path string, low array<double>, high array<double>")
 
 
 def room_files(spark: SparkSession, path: str, wanted: DataFrame | None = None) -> DataFrame:
@@ -215,15 +222,20 @@ def room_files(spark: SparkSession, path: str, wanted: DataFrame | None = None)
 
 
 def furniture(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Furniture of source scenes, unpacked to <path>/<house>.json: (house, jid, size, category, title) and (house, room, jid, pos, size) of placed pieces.
+    """Furniture of source scenes, (house, jid, size, category, title), and of placed pieces, (house, room, jid, pos, size).
+
+    path: a folder of <house>.json, or a ZIP archive that holds such files in any of its folders.
 
     A size is three numbers, possibly in lists of one; a placed piece's is stretched by its scale. Pieces without a size or
     with a scale that is not three finite numbers are left out.
     """
     piece = "struct<uid:string,jid:string,size:string,bbox:string,sourceCategoryId:string,title:string>"
     kind = f"furniture array<{piece}>, scene struct<room:array<struct<instanceid:string,children:array<struct<ref:string,scale:array<double>>>>>>"
-    files = spark.read.option("pathGlobFilter", "*.json").text(path, wholetext=True)
-    scene = files.select(F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.json$", 1).alias("house"), F.from_json("value", kind).alias("s"))
+    if path.lower().endswith(".zip"):
+        files = read_members(spark, path, "*.json").select("name", F.decode("content", "UTF-8").alias("value"))
+    else:
+        files = spark.read.option("pathGlobFilter", "*.json").text(path, wholetext=True).select(F.col("_metadata.file_name").alias("name"), "value")
+    scene = files.select(F.regexp_extract("name", r"([^/]*)\.json$", 1).alias("house"), F.from_json("value", kind).alias("s"))
     flat = lambda c: F.transform(F.from_json(F.regexp_replace(F.regexp_replace(c, r"^\[+", "["), r"\]+$", "]"), "array<double>"), F.abs)
     items = scene.select("house", F.explode("s.furniture").alias("f")).where("f.jid <> ''").select(
         "house", "f.uid", "f.jid", flat(F.coalesce("f.size", "f.bbox")).alias("size"), F.col("f.sourceCategoryId").alias("category"), F.col("f.title").alias("title")

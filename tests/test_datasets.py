@@ -3,6 +3,7 @@
 import json
 import math
 import random
+import zipfile
 
 import numpy as np
 import pytest
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from scenemill import evaluate
 from scenemill.config import load
 from scenemill.operators import bootstrap, checks, ground_truth, matching, panoramas, planes, scenes
-from scenemill.sources import meshes
+from scenemill.sources import archives, meshes
 
 ROOM = "room_id string, house_id string, split string"
 REASON = ROOM + ", reason string, evidence string"
@@ -158,6 +159,17 @@ def test_furniture_of_source_scenes(spark, tmp_path):
     items, placed = meshes.furniture(spark, str(tmp_path))
     assert [(r.house, r.jid, r["size"], r.title) for r in items.collect()] == [("house", "j1", [1.0, 2.0, 3.0], "t/x")]
     assert [(r.room, r.pos, r["size"]) for r in placed.orderBy("pos").collect()] == [("r", 0, [2.0, 2.0, 3.0]), ("r", 1, [1.0, 2.0, 3.0])]
+    with zipfile.ZipFile(tmp_path / "all.zip", "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("scenes/note.txt", "none")
+        for name in ("house", "other", "third"):
+            z.writestr(f"scenes/{name}.json", json.dumps(scene))
+    packed = [df.where("house = 'house'") for df in meshes.furniture(spark, f"{tmp_path}/all.zip")]
+    assert [sorted(map(tuple, df.collect()), key=str) for df in packed] == [sorted(map(tuple, df.collect()), key=str) for df in (items, placed)]
+    for size in (1, 1 << 20):
+        rows = archives.read_members(spark, f"{tmp_path}/all.zip", "*.json", size)
+        assert rows.rdd.getNumPartitions() == (3 if size == 1 else 1)
+        assert {(r.name, r["size"]) for r in rows.collect()} == {(f"scenes/{n}.json", len(json.dumps(scene))) for n in ("house", "other", "third")}
+    assert archives.read_members(spark, f"{tmp_path}/all.zip", "*.bin").count() == 0
 
 
 def test_rooms_of_a_folder(spark, tmp_path):
