@@ -5,7 +5,7 @@ A room's geometry and scale are worked out once, at the grain of rooms, and join
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 OTHER = "other"
@@ -99,11 +99,37 @@ def write_ground_truth(scenes: DataFrame, path: str) -> None:
     named.write.mode("errorifexists").partitionBy("split").json(f"{path}/manifests")
 
 
-def write_coco(images: DataFrame, annotations: DataFrame, categories: DataFrame, path: str) -> None:
-    """JSON lines of images, annotations and categories by split: a split's document in three parts, none held whole."""
-    for name, part in (("images", images), ("annotations", annotations)):
-        part.write.mode("errorifexists").partitionBy("split").json(f"{path}/{name}")
-    categories.write.mode("errorifexists").json(f"{path}/categories")
+def coco_lines(images: DataFrame, annotations: DataFrame, categories: DataFrame, info: dict[str, str]) -> DataFrame:
+    """split, section, id, line: each split's COCO document, a line for each image and annotation, in the order of section and id.
+
+    images and annotations have split and id; categories (id, name, supercategory) are those of every split. Elements after the first of
+    a list begin with the comma, so no line has to know the next one.
+    """
+    def listed(df: DataFrame, section: int) -> DataFrame:
+        firsts = df.groupBy("split").agg(F.min("id").alias("_first"))  # a row per split
+        text = F.to_json(F.struct(*[c for c in df.columns if c != "split"]))
+        return df.join(F.broadcast(firsts), "split").select("split", F.lit(section).alias("section"), F.col("id").cast("long").alias("id"), F.when(F.col("id") == F.col("_first"), text).otherwise(F.concat(F.lit(","), text)).alias("line"))
+
+    splits = images.select("split").union(annotations.select("split")).distinct()
+    sorts = categories.agg(F.to_json(F.array_sort(F.collect_list(F.struct("id", "name", "supercategory")))).alias("_c"))  # as long as the list of classes
+    given = F.to_json(F.struct(*[F.lit(v).alias(k) for k, v in info.items()], F.col("split")))
+    head = F.concat(F.lit('{"info":'), given, F.lit(',"licenses":[],"categories":'), F.col("_c"), F.lit(',"images":['))
+    fixed = splits.join(F.broadcast(sorts)).select("split", F.explode(F.array(*[F.struct(F.lit(n).alias("section"), F.lit(0).cast("long").alias("id"), line.alias("line")) for n, line in ((0, head), (2, F.lit('],"annotations":[')), (4, F.lit("]}")))])).alias("f"))
+    return fixed.select("split", "f.*").unionByName(listed(images, 1)).unionByName(listed(annotations, 3))
+
+
+def write_coco(images: DataFrame, annotations: DataFrame, categories: DataFrame, path: str, info: dict[str, str] | None = None) -> None:
+    """A COCO document per split, the one file in <path>/split=<split>. Its lines stream through a task in order; none is held whole."""
+    lines = coco_lines(images, annotations, categories, info or {})
+    lines.repartition("split").sortWithinPartitions("split", "section", "id").select("split", "line").write.mode("errorifexists").partitionBy("split").text(path)
+
+
+def read_coco(spark: SparkSession, path: str, images: str, annotations: str) -> tuple[DataFrame, DataFrame]:
+    """Images and annotations of the documents that write_coco has written, by lines; images, annotations: their schemas, without split."""
+    lines = spark.read.option("basePath", path).text(path).select("split", F.ltrim("value", F.lit(",")).alias("value")).where("value LIKE '{%' AND value NOT LIKE '{\"info\"%'")
+    is_note = F.get_json_object("value", "$.image_id").isNotNull()
+    parsed = lambda kind, test: lines.where(test).select("split", F.from_json("value", kind).alias("r")).select("split", "r.*")
+    return parsed(images, ~is_note), parsed(annotations, is_note)
 
 
 def merged_parts(parts: DataFrame, expected: int) -> DataFrame:
