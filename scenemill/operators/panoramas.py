@@ -12,6 +12,7 @@ from math import pi
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import regions as R
 from ..functions.rows import once
 
 NEAR = 1e-7
@@ -19,7 +20,7 @@ FADE = 0.96
 
 
 def corner_pixels(ring: Column, camera: Column, floor_z: Column, ceiling_z: Column, width: int, height: int) -> Column:
-    """Structs x, ceiling_y, floor_y of a contour's corners, by x, then in the contour's order."""
+    """Structs x, ceiling_y, floor_y of a contour's corners in its own order, from the leftmost one on (the first, if there are more)."""
 
     def seen(p: Column, i: Column) -> Column:
         dx, dy = p[0] - camera[0], p[1] - camera[1]
@@ -28,7 +29,17 @@ def corner_pixels(ring: Column, camera: Column, floor_z: Column, ceiling_z: Colu
         at = lambda z: (0.5 - F.atan2(z - camera[2], radius) / pi) * height - 0.5
         return F.struct(x.alias("x"), i.alias("i"), at(ceiling_z).alias("ceiling_y"), at(floor_z).alias("floor_y"))
 
-    return F.transform(F.array_sort(F.transform(ring, seen)), lambda c: F.struct(c["x"].alias("x"), c["ceiling_y"].alias("ceiling_y"), c["floor_y"].alias("floor_y")))
+    corners = F.transform(ring, seen)
+    first = F.array_min(F.transform(corners, lambda c: F.struct(c["x"].alias("x"), c["i"].alias("i"))))["i"]
+    rolled = F.concat(F.slice(corners, first + 1, F.size(corners)), F.slice(corners, 1, first))
+    return F.transform(rolled, lambda c: F.struct(c["x"].alias("x"), c["ceiling_y"].alias("ceiling_y"), c["floor_y"].alias("floor_y")))
+
+
+def camera_faults(rings: Column, camera: Column, floor_z: Column, ceiling_z: Column) -> Column:
+    """Why a camera cannot see a room's contour (an outer ring and its holes): it is not inside, an edge being outside, or not between floor and ceiling."""
+    inside = R.covers(rings, camera[0], camera[1]) & (R.edge_distance(rings, camera[0], camera[1]) > 1e-12)
+    between = (camera[2] > floor_z) & (camera[2] < ceiling_z)
+    return F.array_compact(F.array(F.when(~F.coalesce(inside, F.lit(False)), "outside"), F.when(~F.coalesce(between, F.lit(False)), "height")))
 
 
 def paired_by_column(corners: Column) -> Column:
@@ -70,7 +81,7 @@ def layout_targets(rooms: DataFrame, width: int) -> DataFrame:
     def corner(p: Column) -> Column:
         dx, dy = p[0] - camera[0], p[1] - camera[1]
         far = F.sqrt(dx * dx + dy * dy)
-        met = distance_along(F.col("_e"), camera, dx / far, dy / far)
+        met = distance_along(F.col("_e"), camera, F.try_divide(dx, far), F.try_divide(dy, far))
         seen = F.abs(met - far) <= F.greatest(far * 1e-5, F.lit(1e-6))
         return F.when(seen, F.pmod(F.atan2(dx, dy) / (2 * pi) + 0.5, F.lit(1.0)) * width - 0.5)
 

@@ -111,6 +111,17 @@ def corner_pixels(spark, sf):
     return rounded(_ringed(spark, sf).select("sample_id", F.posexplode(c).alias("n", "c")).select("sample_id", "n", "c.*"), "x", "ceiling_y", "floor_y")
 
 
+def camera_faults(spark, sf):
+    """Cameras inside an L-shaped room, on its corner, on an edge, in the part that it lacks, beyond it, or at the ceiling."""
+    r, k = _ringed(spark, sf), F.col("sample_id") % 7
+    x, y, z = F.array_max(F.transform("ring", lambda p: p[0])), F.array_max(F.transform("ring", lambda p: p[1])), F.col("ceiling_z")
+    px = F.when(k == 1, 0.0).when(k == 2, x * 0.75).when(k == 3, x / 2).when(k == 5, x * 2).when(k == 6, x * 0.75).otherwise(x / 4)
+    py = F.when(k == 1, 0.0).when(k.isin(2, 3), y * 0.75).otherwise(y / 4)
+    camera = F.array(px, py, F.when(k == 4, z).when(k == 5, z + 1).otherwise(z / 2))
+    placed = r.select("sample_id", F.array("ring").alias("rings"), camera.alias("camera"), "floor_z", "ceiling_z")
+    return placed.select("sample_id", F.array_join(P.camera_faults(F.col("rings"), F.col("camera"), F.col("floor_z"), F.col("ceiling_z")), ",").alias("faults"))
+
+
 def _targets(spark, sf, camera_z):
     rooms = _ringed(spark, sf).select("sample_id", "ring", "floor_z", "ceiling_z", F.array("cx", "cy", camera_z).alias("camera"))
     return P.layout_targets(rooms, WIDTH)
@@ -311,7 +322,7 @@ def annotation_faults(spark, sf):
 
 
 QUERIES = {f.__name__: f for f in (
-    shape_metrics, layout_relations, relation_counts, upright_boxes, view_objects, layout_in_camera, training_classes, labels_by_file, instance_scale, published_scenes, seam_pieces, corner_pixels,
+    shape_metrics, layout_relations, relation_counts, upright_boxes, view_objects, layout_in_camera, training_classes, labels_by_file, instance_scale, published_scenes, seam_pieces, corner_pixels, camera_faults,
     layout_targets, target_faults, image_statistics, id_differences, split_differences, exclusion_plan, room_review, greedy_house_split, scene_faults, audit_flags, flag_counts, review_order,
     vertical_hits, level_planes, furniture_anchor, farthest_object, distinct_candidates, local_densities, structural_files, room_list, paired_corners, half_extent_boxes, resolved_scale,
     plausible_rooms, mean_sizes, spread_sample, padded_boxes, annotation_faults,
@@ -374,8 +385,12 @@ w AS (SELECT mask, arg_min(start, (-length, start)) AS start, max(length) AS len
 f AS (SELECT mask, (seam AND NOT turned)::INT AS frame, CASE WHEN seam AND turned AND length > 0 THEN start + length // 2 END AS cut FROM m JOIN w USING (mask)),
 c AS (SELECT mask, frame, CASE WHEN col >= cut THEN 1 ELSE 0 END AS piece, row, CASE WHEN frame = 1 THEN (col + 24) % 48 ELSE col END AS c FROM q JOIN f USING (mask))
 SELECT mask, frame, piece, min(c) AS x, min(row) AS y, max(c) - min(c) + 1 AS w, max(row) - min(row) + 1 AS h, count(*) AS area FROM c GROUP BY ALL""",
-    "corner_pixels": f"""{_SIDES}, q AS (SELECT s.sample_id, e, z, sqrt(dx * dx + dy * dy) AS d, (atan2(dx, dy) / (2 * pi()) + 0.5::DOUBLE - floor(atan2(dx, dy) / (2 * pi()) + 0.5::DOUBLE)) * {WIDTH} - 0.5::DOUBLE AS x FROM side s JOIN scene USING (sample_id))
-SELECT sample_id, (row_number() OVER (PARTITION BY sample_id ORDER BY x, e) - 1)::INT AS n, round(x, 6) AS x, round((0.5::DOUBLE - atan2(z / 2, d) / pi()) * {HEIGHT} - 0.5::DOUBLE, 6) AS ceiling_y, round((0.5::DOUBLE - atan2(-z / 2, d) / pi()) * {HEIGHT} - 0.5::DOUBLE, 6) AS floor_y FROM q""",
+    "corner_pixels": f"""{_SIDES}, q AS (SELECT s.sample_id, e, z, sqrt(dx * dx + dy * dy) AS d, (atan2(dx, dy) / (2 * pi()) + 0.5::DOUBLE - floor(atan2(dx, dy) / (2 * pi()) + 0.5::DOUBLE)) * {WIDTH} - 0.5::DOUBLE AS x FROM side s JOIN scene USING (sample_id)),
+f AS (SELECT sample_id, arg_min(e, (x, e)) AS first, count(*) AS held FROM q GROUP BY 1)
+SELECT sample_id, ((e - first + held) % held)::INT AS n, round(x, 6) AS x, round((0.5::DOUBLE - atan2(z / 2, d) / pi()) * {HEIGHT} - 0.5::DOUBLE, 6) AS ceiling_y, round((0.5::DOUBLE - atan2(-z / 2, d) / pi()) * {HEIGHT} - 0.5::DOUBLE, 6) AS floor_y FROM q JOIN f USING (sample_id)""",
+    "camera_faults": f"""{_views}, c AS (SELECT sample_id, x, y, CASE sample_id % 7 WHEN 1 THEN 0 WHEN 2 THEN x * 0.75::DOUBLE WHEN 3 THEN x / 2 WHEN 5 THEN 2 * x WHEN 6 THEN x * 0.75::DOUBLE ELSE x / 4 END AS px, CASE sample_id % 7 WHEN 1 THEN 0 WHEN 2 THEN y * 0.75::DOUBLE WHEN 3 THEN y * 0.75::DOUBLE ELSE y / 4 END AS py,
+  sample_id % 7 IN (4, 5) AS high FROM scene WHERE has_gt)
+SELECT sample_id, concat_ws(',', CASE WHEN NOT (px > 0 AND px < x AND py > 0 AND py < y AND (px < x / 2 OR py < y / 2)) THEN 'outside' END, CASE WHEN high THEN 'height' END) AS faults FROM c""",
     "layout_targets": f"""{_TARGETS} SELECT sample_id, k::INT AS col, round(met, 6) AS ranges, round(-atan2(z / 2, met), 6) AS ceiling, round(atan2(z / 2, met), 6) AS floor, round(0.96::DOUBLE ** away, 6) AS corner FROM far JOIN dist USING (sample_id, k) JOIN scene USING (sample_id)""",
     "target_faults": f"{_views} SELECT sample_id, 'ceiling' AS faults FROM scene WHERE has_gt AND sample_id % 13 = 0",
     "image_statistics": """WITH p AS (SELECT user_id AS image, (event_id % 256 + event_id * 3 % 256 + CASE WHEN user_id % 7 = 0 THEN event_id * 3 % 256 ELSE event_id * 5 % 256 END)::DOUBLE / 3 / 255 AS g, value / 10 AS d FROM events),
