@@ -7,18 +7,18 @@ from __future__ import annotations
 
 import hashlib
 import json
-import random
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .curation import AREA, EXTENT, RATIO_REJECT, SPLITS, exclude, policy_faults, room_faults
+from .curation import AREA, EXTENT, RATIO_REJECT, exclude, policy_faults, room_faults
+from .filling import greedy_fill, shuffled_places
+from .ranking import checkpointed, numbered
 
 VIEWS, SIZE = 4, (1024, 512)
 # fixed values: files of a room that are its shell, and audit flags that fail a room
 STRUCTURAL = ("ceil", "floor", "wall", "others", "architecture")
 HARD = ("floor_layout_mismatch", "camera_count_or_duplicates", "no_floor_below_camera", "no_ceiling_above_camera", "inside_furniture_bbox", "duplicate_rgb", "near_clip_exceeds_camera_clearance")
-HOUSES = 2_000_000
 
 
 def refuse(faults: DataFrame, what: str) -> None:
@@ -81,30 +81,26 @@ def reviewed(rooms: DataFrame, table: DataFrame | None) -> DataFrame:
     return rooms.withColumn("exclusion", reason).drop("_in")
 
 
-def greedy_house_split(rooms: DataFrame, val: float = 0.15, test: float = 0.15, seed: int = 0) -> DataFrame:
-    """room_id, house_id, split: houses in the order of a seeded shuffle, each to the split that lacks most (train, val, test among equals).
+def greedy_house_split(rooms: DataFrame, val: float = 0.15, test: float = 0.15, seed: int = 0, order: str = "shuffled") -> DataFrame:
+    """room_id, house_id, split: whole houses, one after the other, each to the split that lacks most (train, val, test among equals).
 
-    The fill is one sequence over houses by definition, so a row per house goes to the driver: HOUSES at most, checked.
-    `curation.house_disjoint_split` has no such limit.
+    order: `shuffled` is that of Python's seeded shuffle of the sorted houses, `keyed` that of a hash of seed and house. Either way
+    houses are rows of many tasks; see `filling`. Rooms without a house are left out.
     """
     if not 0 < val + test < 1:
         raise ValueError("val and test must leave a share for train")
-    counts = rooms.groupBy("house_id").agg(F.count("*").alias("n"))
-    houses = counts.orderBy("house_id").limit(HOUSES + 1).collect()
-    if len(houses) > HOUSES:
-        raise ValueError(f"more than {HOUSES} houses: use house_disjoint_split")
-    order = list(range(len(houses)))
-    random.Random(seed).shuffle(order)
-    total = sum(h["n"] for h in houses)
-    lacks = {"train": total * (1.0 - val - test), "val": total * val, "test": total * test}
-    held = dict.fromkeys(SPLITS, 0)
-    chosen = []
-    for k in order:
-        name = max(SPLITS, key=lambda s: lacks[s] - held[s])
-        held[name] += houses[k]["n"]
-        chosen.append((houses[k]["house_id"], name))
-    kind = rooms.schema["house_id"].dataType.simpleString()
-    return rooms.select("room_id", "house_id").join(rooms.sparkSession.createDataFrame(chosen, f"house_id {kind}, split string"), "house_id")
+    if order not in ("shuffled", "keyed"):
+        raise ValueError("an order is shuffled or keyed")
+    houses = rooms.where("house_id is not null").groupBy("house_id").agg(F.count("*").alias("n"))
+    if order == "shuffled":
+        counted = checkpointed(numbered(houses, [F.col("house_id")], "number").withColumn("number", F.col("number") - 1))
+        places = shuffled_places(rooms.sparkSession, counted.count(), seed)
+        houses, by = counted.join(places, "number").drop("number"), [F.col("place")]
+    else:
+        by = [F.md5(F.concat(F.lit(f"{seed}:"), F.col("house_id").cast("string"))), F.col("house_id")]
+    total = houses.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    filled = greedy_fill(houses, "n", by, {"train": total * (1.0 - val - test), "val": total * val, "test": total * test}, "split")
+    return rooms.select("room_id", "house_id").join(filled.select("house_id", "split"), "house_id").select("room_id", "house_id", "split")
 
 
 def scene_faults(scenes: DataFrame, classes: list[str]) -> DataFrame:

@@ -182,6 +182,10 @@ def greedy_house_split(spark, sf):
     return K.greedy_house_split(V.rooms(spark, sf)).groupBy("split").agg(F.count("*").alias("rooms"), F.countDistinct("house_id").alias("houses"))
 
 
+def keyed_house_fill(spark, sf):
+    return K.greedy_house_split(V.rooms(spark, sf), order="keyed").groupBy("house_id", "split").agg(F.count("*").alias("rooms"))
+
+
 def scene_faults(spark, sf):
     """Scenes of turned boxes; some pictures, layouts, labels and axes are wrong."""
     k, turn = F.col("sample_id"), F.radians((F.col("sample_id") % 12 * 15).cast("double"))
@@ -323,7 +327,7 @@ def annotation_faults(spark, sf):
 
 QUERIES = {f.__name__: f for f in (
     shape_metrics, layout_relations, relation_counts, upright_boxes, view_objects, layout_in_camera, training_classes, labels_by_file, instance_scale, published_scenes, seam_pieces, corner_pixels, camera_faults,
-    layout_targets, target_faults, image_statistics, id_differences, split_differences, exclusion_plan, room_review, greedy_house_split, scene_faults, audit_flags, flag_counts, review_order,
+    layout_targets, target_faults, image_statistics, id_differences, split_differences, exclusion_plan, room_review, greedy_house_split, keyed_house_fill, scene_faults, audit_flags, flag_counts, review_order,
     vertical_hits, level_planes, furniture_anchor, farthest_object, distinct_candidates, local_densities, structural_files, room_list, paired_corners, half_extent_boxes, resolved_scale,
     plausible_rooms, mean_sizes, spread_sample, padded_boxes, annotation_faults,
 )}
@@ -357,6 +361,12 @@ a AS (SELECT room_id, fill, over, ceil, list_filter([CASE WHEN over THEN 'oversi
 _TRI = """t AS (SELECT sample_id, obj_idx, x0, y0, x1, y1, z1, h, x1 AS b_x, CASE h WHEN 0 THEN y0 ELSE y1 END AS b_y, CASE h WHEN 0 THEN z1 ELSE z1 + 0.0531::DOUBLE END AS b_z, CASE h WHEN 0 THEN x1 ELSE x0 END AS cx, y1 AS cy, z1 AS cz FROM line, range(0, 2) r(h))"""
 
 ORACLE_SQL = {
+    "keyed_house_fill": f"""WITH RECURSIVE {VIEW_SQL}, h AS (SELECT house_id, count(*) AS n, row_number() OVER (ORDER BY md5('0:' || house_id), house_id) AS r FROM room GROUP BY 1),
+goal AS (SELECT sum(n)::DOUBLE * (1.0::DOUBLE - 0.15::DOUBLE - 0.15::DOUBLE) AS most, sum(n)::DOUBLE * 0.15::DOUBLE AS few FROM h),
+f AS (SELECT 0::BIGINT AS r, 0::BIGINT AS house_id, 0::BIGINT AS n, 0::BIGINT AS a, 0::BIGINT AS b, 0::BIGINT AS c, '' AS split UNION ALL
+  SELECT r, house_id, n, a + CASE split WHEN 'train' THEN n ELSE 0 END, b + CASE split WHEN 'val' THEN n ELSE 0 END, c + CASE split WHEN 'test' THEN n ELSE 0 END, split FROM (
+    SELECT h.r, h.house_id, h.n, a, b, c, CASE WHEN most - a >= few - b AND most - a >= few - c THEN 'train' WHEN few - b >= few - c THEN 'val' ELSE 'test' END AS split FROM f JOIN h ON h.r = f.r + 1, goal))
+SELECT house_id, split, n AS rooms FROM f WHERE r > 0""",
     "shape_metrics": f"""WITH RECURSIVE {VIEW_SQL}, {_match_sql('sample_id')}, {_POINT}, n AS {_CANON}, pair AS (SELECT sample_id, obj_idx AS pair, (sample_id * 7 + obj_idx) % (SELECT max(vec_id) + 101 FROM embeddings) AS va, (sample_id * 7 + gt_idx + 1) % (SELECT max(vec_id) + 101 FROM embeddings) AS vb FROM walk WHERE gt_idx IS NOT NULL),
 d AS (SELECT sample_id, pair, a.i AS ai, b.i AS bi, (a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2 AS d FROM pair JOIN n a ON a.id = va JOIN n b ON b.id = vb)
 SELECT sample_id, round(avg(f.mean + g.mean), 6) AS chamfer, round(avg(CASE WHEN f.share + g.share > 0 THEN 2 * f.share * g.share / (f.share + g.share) ELSE 0 END), 6) AS fscore FROM {_near('ai')} f JOIN {_near('bi')} g USING (sample_id, pair) GROUP BY 1""",

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from scenemill import evaluate
 from scenemill.config import load
-from scenemill.operators import bootstrap, checks, ground_truth, matching, panoramas, planes, scenes
+from scenemill.operators import bootstrap, checks, filling, ground_truth, matching, panoramas, planes, scenes
 from scenemill.sources import archives, meshes
 
 ROOM = "room_id string, house_id string, split string"
@@ -68,6 +68,36 @@ def test_greedy_split_is_the_fold_over_shuffled_houses(spark):
     assert got == want
 
 
+@pytest.mark.parametrize("n", [0, 1, 2, 65, 1025, 40_000])
+def test_shuffled_places_are_those_of_python(spark, n):
+    want = list(range(n))
+    random.Random(11).shuffle(want)
+    # several blocks within a run of equal bits
+    assert [r.number for r in filling.shuffled_places(spark, n, 11, draws=3000).orderBy("place").collect()] == want
+
+
+@pytest.mark.parametrize("weights", ["even", "alike", "hot first", "hot last", "hot twice", "none"])
+def test_fill_is_one_sequence(spark, weights):
+    draw = random.Random(8)
+    much = [2 if weights == "alike" else draw.randint(0, 12) for _ in range(0 if weights == "none" else 3000)]
+    for k in {"hot first": [5], "hot last": [2900], "hot twice": [700, 1500]}.get(weights, []):
+        much[k] = sum(much) // 2  # more than the goals of val and test
+    goals = {s: sum(much) * share for s, share in (("train", 0.7), ("val", 0.15), ("test", 0.15))}
+    held, want = dict.fromkeys(goals, 0), {}
+    for k, n in enumerate(much):
+        want[k] = max(goals, key=lambda s: goals[s] - held[s])
+        held[want[k]] += n
+    rows = spark.createDataFrame(list(enumerate(much)), "k long, n long").repartition(3)
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        filled = filling.greedy_fill(rows, "n", [F.col("k")], goals, "split")
+        assert {r.k: r.split for r in filled.collect()} == want
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 def test_many_detections_of_one_class(spark):
     n = 200_000
     rows = [("c", i, (i * 7919 % n) / n, 1, 0 if i % 5 < 2 else None) for i in range(n)]
