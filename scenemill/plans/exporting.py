@@ -361,8 +361,8 @@ a AS (SELECT room_id, fill, over, ceil, list_filter([CASE WHEN over THEN 'oversi
 _TRI = """t AS (SELECT sample_id, obj_idx, x0, y0, x1, y1, z1, h, x1 AS b_x, CASE h WHEN 0 THEN y0 ELSE y1 END AS b_y, CASE h WHEN 0 THEN z1 ELSE z1 + 0.0531::DOUBLE END AS b_z, CASE h WHEN 0 THEN x1 ELSE x0 END AS cx, y1 AS cy, z1 AS cz FROM line, range(0, 2) r(h))"""
 
 ORACLE_SQL = {
-    "keyed_house_fill": f"""WITH RECURSIVE {VIEW_SQL}, h AS (SELECT house_id, count(*) AS n, row_number() OVER (ORDER BY md5('0:' || house_id), house_id) AS r FROM room GROUP BY 1),
-goal AS (SELECT sum(n)::DOUBLE * (1.0::DOUBLE - 0.15::DOUBLE - 0.15::DOUBLE) AS most, sum(n)::DOUBLE * 0.15::DOUBLE AS few FROM h),
+    "keyed_house_fill": f"""WITH RECURSIVE {VIEW_SQL}, h AS MATERIALIZED (SELECT house_id, count(*) AS n, row_number() OVER (ORDER BY md5('0:' || house_id), house_id) AS r FROM room GROUP BY 1),
+goal AS MATERIALIZED (SELECT sum(n)::DOUBLE * (1.0::DOUBLE - 0.15::DOUBLE - 0.15::DOUBLE) AS most, sum(n)::DOUBLE * 0.15::DOUBLE AS few FROM h),
 f AS (SELECT 0::BIGINT AS r, 0::BIGINT AS house_id, 0::BIGINT AS n, 0::BIGINT AS a, 0::BIGINT AS b, 0::BIGINT AS c, '' AS split UNION ALL
   SELECT r, house_id, n, a + CASE split WHEN 'train' THEN n ELSE 0 END, b + CASE split WHEN 'val' THEN n ELSE 0 END, c + CASE split WHEN 'test' THEN n ELSE 0 END, split FROM (
     SELECT h.r, h.house_id, h.n, a, b, c, CASE WHEN most - a >= few - b AND most - a >= few - c THEN 'train' WHEN few - b >= few - c THEN 'val' ELSE 'test' END AS split FROM f JOIN h ON h.r = f.r + 1, goal))
