@@ -5,8 +5,10 @@ from __future__ import annotations
 import datetime
 import json
 import os
+import subprocess
 from collections.abc import Callable
 from dataclasses import dataclass
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -156,16 +158,26 @@ def metric(kind: str, parameters: dict, t: dict[str, DataFrame]) -> DataFrame:
 
 
 def _put(spark: SparkSession, path: str, text: str) -> None:
-    """A small file in whatever store the path names, replaced whole."""
-    jvm = spark._jvm
-    place, made = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(path + ".part")
-    store = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    """A small file in whatever store the path names, renamed over the one before, so that there is never none."""
+    fs, conf = spark._jvm.org.apache.hadoop.fs, spark._jsc.hadoopConfiguration()
+    place, made = fs.Path(path), fs.Path(path + ".part")
+    store = place.getFileSystem(conf)
     out = store.create(made, True)
     out.write(bytearray(text.encode()))
     out.close()
-    store.delete(place, False)
-    if not store.rename(made, place):
-        raise OSError(f"{path} could not be written")
+    kind = getattr(fs, "Options$Rename")
+    over = spark.sparkContext._gateway.new_array(kind, 1)
+    over[0] = kind.OVERWRITE
+    fs.FileContext.getFileContext(store.getUri(), conf).rename(store.makeQualified(made), store.makeQualified(place), over)
+
+
+def revision() -> str | None:
+    """The commit of the checkout that this code is in, None outside of one."""
+    try:
+        found = subprocess.run(["git", "rev-parse", "HEAD"], cwd=Path(__file__).parent, capture_output=True, text=True, timeout=10)
+    except (OSError, subprocess.TimeoutExpired):
+        return None
+    return found.stdout.strip() if found.returncode == 0 else None
 
 
 def run(spark: SparkSession, experiment: Experiment) -> dict[str, dict]:
@@ -189,7 +201,7 @@ def run(spark: SparkSession, experiment: Experiment) -> dict[str, dict]:
     t["raw"].select("sample_id", "prediction").write.mode("overwrite").parquet(f"{out}/predictions")
     _put(spark, f"{out}/summary.json", json.dumps(summary, indent=2, sort_keys=True))
     _put(spark, f"{out}/report.md", report(experiment.name, {n: summary[n] for n in named}))
-    about = {"time": datetime.datetime.now(datetime.UTC).isoformat(), "spark": spark.version} | {k: getattr(experiment, k) for k in ("seed", "name", "dataset", "model", "metrics")}
+    about = {"time": datetime.datetime.now(datetime.UTC).isoformat(), "spark": spark.version, "revision": revision()} | {k: getattr(experiment, k) for k in ("seed", "name", "dataset", "model", "metrics")}
     _put(spark, f"{out}/run.json", json.dumps(about, indent=2))
     return summary
 

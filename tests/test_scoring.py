@@ -244,6 +244,9 @@ def test_experiment_end_to_end(spark, tmp_path):
     assert got["layout_iou_3d"]["mean"] == 1.0 and got["collision_rate"]["mean"] == 0.0 and got["object_map"] == {"count": 2, "mean": 1.0, "median": 1.0, "ci95_low": 1.0, "ci95_high": 1.0}
     assert got["ap_chair"]["value"] == got["ap_table"]["value"] == 1.0
     assert "| layout_iou_3d | 2 | 1.000000 | 1.000000 | [1.000000, 1.000000] |" in (tmp_path / "out" / "report.md").read_text()
+    assert json.loads((tmp_path / "out" / "run.json").read_text())["revision"] == evaluate.revision()
+    evaluate._put(spark, str(tmp_path / "out" / "report.md"), "anew")
+    assert (tmp_path / "out" / "report.md").read_text() == "anew" and not (tmp_path / "out" / "report.md.part").exists()
     assert [json.loads(x)["sample_id"] for p in sorted((tmp_path / "out" / "metrics.jsonl").glob("part-*")) for x in p.read_text().splitlines()] == ["a", "b"]
 
 
