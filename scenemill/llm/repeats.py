@@ -20,9 +20,10 @@ maximal repeat with all its occurrences; all but the first are removed.
 Large groups. The segments of an anchor are scanned in one task, GROUP of them at most. A larger group is dealt
 further, by the place of a window's start before the anchor: windows that start up to `mid` bytes before it share
 LENGTH - mid bytes from the anchor on, the others share mid + 1 bytes before it, and each half is dealt by those bytes.
-Halving goes on for the groups that are still too large; where one place is left all windows of a group are
-the same bytes, and only their first must be found. No window is left out at any size, and what a scan finds are
-repeats in the texts themselves, whatever the hashes that dealt them.
+In a half a segment is cut to the bytes of its windows there. Segments that are now the same bytes need no comparing: all
+but the first are removed there, and the first alone goes on. Halving goes on for the groups that are still too large;
+where one place is left all windows of a group are the same bytes, so one is left. No window is left out at any size, and
+what a scan finds are repeats in the texts themselves, whatever the hashes that dealt them.
 
 Null texts are empty. Rows with equal doc_id and equal text are one document and get equal results; rows
 of one doc_id with unlike texts are documents ordered by the CRC-32 of their texts. A null doc_id comes
@@ -227,27 +228,32 @@ def _fetch(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _dealt(contexts: DataFrame) -> tuple[list[DataFrame], list[DataFrame]]:
-    """Segments dealt into groups by `anchor`: frames whose groups are to be scanned, and frames of windows, equal in a group."""
-    scanned, equal = [], []
+    """Segments dealt into groups by `anchor`: frames whose groups are to be scanned, and frames of spans found on the way."""
+    scanned, spans = [], []
     rest = contexts.withColumns({"lo": F.lit(0), "hi": F.lit(LENGTH - GRAM)})
+    before, whole, mid = F.col("place") - F.col("start"), F.octet_length("bytes"), F.floor((F.col("lo") + F.col("hi")) / 2).cast("int")
     while True:
-        large = rest.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > GROUP).select("anchor", F.lit(True).alias("large"))
+        large = rest.where("lo < hi").groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > GROUP).select("anchor", F.lit(True).alias("large"))
         if not large.head(1):
-            return [*scanned, rest], equal
+            return [*scanned, rest], spans
         salts = large.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         salted = rest.withColumn("salt", F.pmod(F.xxhash64("doc", "start"), F.lit(SALTS)).cast("int"))
         marked = stored(salted.join(salts, ["anchor", "salt"], "left").drop("salt"), "groups")
         scanned.append(marked.where("large is null").drop("large"))
-        split = marked.where("large").drop("large")
-        before, whole, mid = F.col("place") - F.col("start"), F.octet_length("bytes"), F.floor((F.col("lo") + F.col("hi")) / 2).cast("int")
         key = lambda at, n, side: F.xxhash64("anchor", F.lit(side), F.substr("bytes", at + 1, n))
         half = lambda k, lo, hi: F.struct(k.alias("anchor"), lo.alias("lo"), hi.alias("hi"))
         right = F.when(whole - before >= LENGTH - mid, half(key(before, LENGTH - mid, 0), F.col("lo"), mid))
         left = F.when(before > mid, half(key(before - mid - 1, mid + 1, 1), mid + 1, F.col("hi")))
-        halves = split.where("lo < hi").withColumn("to", F.explode(F.array_compact(F.array(right, left)))).select("to.anchor", "doc", "crc", "place", "start", "bytes", "to.lo", "to.hi")
-        held = (F.col("lo") <= before) & (LENGTH - F.col("lo") <= whole - before)
-        equal.append(split.where("lo = hi").where(held).select("doc", "crc", (F.col("place") - F.col("lo")).alias("start"), F.substr("bytes", before - F.col("lo") + 1, F.lit(LENGTH)).alias("window")))
-        rest = stored(halves, "halves")
+        to = marked.where("large").withColumn("to", F.explode(F.array_compact(F.array(right, left)))).select("to.anchor", "doc", "crc", "place", "start", "bytes", "to.lo", "to.hi")
+        # a half is cut to its own windows, and of those that are then alike the first goes on
+        skip = F.greatest(before - F.col("hi"), F.lit(0))
+        cut = to.withColumns({"start": F.col("start") + skip, "bytes": F.substr("bytes", skip + 1, F.least(whole, before - F.col("lo") + LENGTH) - skip)})
+        halves = stored(cut, "halves")
+        alike = ["anchor", "lo", "hi", "before", "bytes"]
+        firsts = stored(halves.groupBy(*alike[:3], before.alias("before"), "bytes").agg(F.min(F.struct("doc", "crc", "place")).alias("first"), F.count("*").alias("n")), "firsts")
+        later = halves.withColumn("before", before).join(firsts.where("n > 1").drop("n"), alike).where(F.struct("doc", "crc", "place") != F.col("first"))
+        spans.append(later.select("doc", "crc", "start", (F.col("start") + whole).alias("stop")))
+        rest = firsts.select("anchor", "first.doc", "first.crc", "first.place", (F.col("first.place") - F.col("before")).alias("start"), "bytes", "lo", "hi")
 
 
 def _scan_suffixes(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -305,14 +311,12 @@ def repeated_spans(docs: DataFrame) -> tuple[DataFrame, str, str, DataFrame]:
     texts = keyed.select(F.col(doc).alias("doc"), F.col(crc).alias("crc"), "text").where(F.length("text") > 0)
     got = stored(texts.join(asked, ["doc", "crc"]).select("doc", "crc", "text", "wanted").mapInArrow(_fetch, CONTEXT_SCHEMA), "contexts")
     spans = found.where("anchor is null").select("doc", "crc", "start", "stop")
-    scanned, equal = _dealt(got)
+    scanned, later = _dealt(got)
     for part in scanned:
         ordered = part.select(*got.columns).repartition("anchor").sortWithinPartitions("anchor", "doc", "crc", "place", "start")
         spans = spans.unionByName(ordered.mapInArrow(_scan_suffixes, "doc long, crc long, start int, stop int"))
-    for windows in equal:
-        firsts = windows.groupBy("window").agg(F.min(F.struct("doc", "crc", "start")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-        later = windows.join(firsts, "window").where(F.struct("doc", "crc", "start") != F.col("first"))
-        spans = spans.unionByName(later.select("doc", "crc", "start", (F.col("start") + LENGTH).alias("stop")))
+    for part in later:
+        spans = spans.unionByName(part)
     # one span for each start, and so no more of them than bytes
     longest = spans.repartition("doc", "crc").groupBy("doc", "crc", "start").agg(F.max("stop").alias("stop"))
     return keyed, doc, crc, longest.groupBy("doc", "crc").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))

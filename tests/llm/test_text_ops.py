@@ -135,6 +135,26 @@ def test_repeats_equal_brute_force(frame, monkeypatch, group):
     assert got == brute_repeats(rows)
 
 
+def test_large_groups_of_repeats_are_dealt_in_few_rows(frame, monkeypatch):
+    draw = random.Random(8)
+    noise = lambda n: "".join(draw.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n))
+    passage = noise(400)
+    rows = [(i, noise(80) + passage[draw.randint(0, 40) : 400 - draw.randint(0, 40)] + noise(80)) for i in range(300)]
+    rows += [(300 + i, passage[: (at := draw.randint(100, 300))] + "#" + passage[at + 1 :]) for i in range(100)]
+    made, put = {"contexts": [], "halves": []}, repeats.stored
+
+    def counted(df, name):
+        out = put(df, name)
+        made.setdefault(name, []).append(out.count())
+        return out
+
+    monkeypatch.setattr(repeats, "GROUP", 30)
+    monkeypatch.setattr(repeats, "stored", counted)
+    got = {r.doc_id: tuple(r)[1:] for r in repeats.removal(frame(rows)).collect()}
+    assert got == brute_repeats(rows)
+    assert made["halves"] and sum(made["halves"]) < 6 * sum(made["contexts"]), made
+
+
 def test_repeats_in_texts_of_several_slices(frame, monkeypatch):
     cloudpickle.register_pickle_by_value(repeats)  # workers get the patched module
     try:
