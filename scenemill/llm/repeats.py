@@ -233,12 +233,13 @@ def _dealt(contexts: DataFrame) -> tuple[list[DataFrame], list[DataFrame]]:
     rest = contexts.withColumns({"lo": F.lit(0), "hi": F.lit(LENGTH - GRAM)})
     before, whole, mid = F.col("place") - F.col("start"), F.octet_length("bytes"), F.floor((F.col("lo") + F.col("hi")) / 2).cast("int")
     while True:
-        large = rest.where("lo < hi").groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > GROUP).select("anchor", F.lit(True).alias("large"))
+        many = rest.where("lo < hi").groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > GROUP)
+        large = stored(many.select("anchor", F.lit(True).alias("large")), "large")
         if not large.head(1):
             return [*scanned, rest], spans
         salts = large.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         salted = rest.withColumn("salt", F.pmod(F.xxhash64("doc", "start"), F.lit(SALTS)).cast("int"))
-        marked = stored(salted.join(salts, ["anchor", "salt"], "left").drop("salt"), "groups")
+        marked = salted.join(salts, ["anchor", "salt"], "left").drop("salt")  # read twice: with few large groups that is less than to write all
         scanned.append(marked.where("large is null").drop("large"))
         key = lambda at, n, side: F.xxhash64("anchor", F.lit(side), F.substr("bytes", at + 1, n))
         half = lambda k, lo, hi: F.struct(k.alias("anchor"), lo.alias("lo"), hi.alias("hi"))

@@ -9,7 +9,7 @@ import pytest
 import tiktoken
 
 import corpus_pipeline
-from scenemill.llm import bpe, leaks, media, nearcopies, quality, toxicity
+from scenemill.llm import bpe, leaks, media, nearcopies, quality, repeats, toxicity
 from scenemill.llm.storage import table
 
 from .test_text_ops import brute_classes, brute_repeats, near_rows, repeat_rows
@@ -54,6 +54,25 @@ def test_cut_repeats_equals_brute_force(spark, clashing):
         assert hashlib.sha256(got[i].text.encode()).hexdigest() == want[i][3] and got[i].n_chars == want[i][0] - want[i][1]
 
 
+def test_cut_repeats_deals_large_groups_in_few_rows(spark, clashing, monkeypatch):
+    passage = "".join(chr(97 + (i * i * 7 + i // 3) % 26) for i in range(300))
+    rows = [(i, f"{i * 7919 % 1000:05d} {passage[: 100 + i]}#{passage[101 + i :]} {i:05d}") for i in range(90)]
+    dealt, put = [], repeats.stored
+
+    def counted(df, name):
+        out = put(df, name)
+        dealt.append((name, out.count()))
+        return out
+
+    monkeypatch.setattr(repeats, "GROUP", 10)
+    monkeypatch.setattr(repeats, "stored", counted)
+    got = {r.doc_id: len(r.text) for r in STAGES["repeats"](spark, clashing(rows), SF).collect()}
+    want = brute_repeats(rows)
+    assert got == {i: want[i][0] - want[i][1] for i, _ in rows if want[i][0] > want[i][1]}
+    of = lambda kind: sum(n for name, n in dealt if name == kind)
+    assert 0 < of("halves") < 8 * of("contexts"), dealt
+
+
 def test_cut_repeats_keeps_characters_whole(spark, clashing):
     rows = repeat_rows()
     want = brute_repeats(rows)
