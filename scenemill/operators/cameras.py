@@ -43,7 +43,8 @@ def chosen_views(candidates: DataFrame, rooms: DataFrame, key: str, views: int,
     candidates: key, x, y, z, clearance, on_furniture. Those on furniture count where the others are fewer than the views. Of what is
     left, points alike in seven decimals once, those of enough clearance are the pool, by falling clearance, then by point; if they are
     too few and `relaxed` says so, the best of the rest fill it up to the views. The first of the pool is taken, then again
-    and again the one farthest from above from all taken ones, ties by clearance, then by place in the pool.
+    and again the one farthest from above from all taken ones, ties by clearance, then by place in the pool. Distances are roots of sums
+    of squares, each step rounded as SQL rounds it: another way to the same length parts or joins ties.
     """
     if views < 1:
         raise ValueError("at least one view is needed")
@@ -60,10 +61,12 @@ def chosen_views(candidates: DataFrame, rooms: DataFrame, key: str, views: int,
     filled = F.concat(enough, F.slice(rest, 1, F.greatest(views - F.size(enough), F.lit(0)))) if relaxed else enough
     pooled = joined.select(key, F.coalesce("fell_back", F.lit(False)).alias("fell_back"), F.size(enough).alias("_enough"), filled.alias("_pool"))
 
+    distance = lambda dx, dy: F.sqrt(dx * dx + dy * dy)
+
     def step(taken: Column, _: Column) -> Column:
         """taken: places in the pool."""
         def rank(c: Column, i: Column) -> Column:
-            away = F.array_min(F.transform(taken, lambda k: F.hypot(F.get(F.col("_pool"), k)["x"] - c["x"], F.get(F.col("_pool"), k)["y"] - c["y"])))
+            away = F.array_min(F.transform(taken, lambda k: distance(F.get(F.col("_pool"), k)["x"] - c["x"], F.get(F.col("_pool"), k)["y"] - c["y"])))
             return F.when(~F.array_contains(taken, i), F.struct(away.alias("away"), c["clearance"].alias("clearance"), (-i).alias("back")))
 
         return F.concat(taken, F.array(-F.array_max(F.transform("_pool", rank))["back"]))
