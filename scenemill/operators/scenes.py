@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.boxes import bounds, corners, grown, part
-from ..functions.polygons import footprint_overlap
+from ..functions.boxes import grown
+from ..functions.polygons import shared_outlines
 from ..functions.rows import once
 from .panoramas import edges
 from .ranking import numbered
 
-EXPAND, WALL, SHORT_EDGE = 0.1, 0.05, 1e-9
+EXPAND, WALL, SHORT_EDGE, PAIRS = 0.1, 0.05, 1e-9, 1 << 20
 
 
 def touching(objects: DataFrame, expand: float = EXPAND) -> DataFrame:
@@ -23,51 +28,136 @@ def touching(objects: DataFrame, expand: float = EXPAND) -> DataFrame:
     return a.join(b, on).select(F.col("a.sample_id").alias("sample_id"), F.col("a.obj_idx").alias("source"), F.col("b.obj_idx").alias("target"))
 
 
-def _oriented(cx, cy, cz, sx, sy, sz, ax, ay) -> Column:
-    zero, one = F.lit(0.0), F.lit(1.0)
-    basis = F.array(F.array(ax, ay, zero), F.array(-ay, ax, zero), F.array(zero, zero, one))
-    return F.struct(F.array(cx, cy, cz).alias("center"), F.array(sx, sy, sz).alias("size"), basis.alias("basis"))
-
-
-def shell(layouts: DataFrame, thickness: float = WALL) -> DataFrame:
-    """sample_id, target, relation_type, box (oriented): floor, ceiling and a wall per edge of each layout (ring, floor_z, ceiling_z)."""
-    t, one, zero = F.lit(thickness), F.lit(1.0), F.lit(0.0)
-    along = [F.transform("ring", part(d)) for d in (0, 1)]
-    low, high = [F.array_min(c) for c in along], [F.array_max(c) for c in along]
-    slab = lambda z: _oriented((low[0] + high[0]) / 2, (low[1] + high[1]) / 2, z, high[0] - low[0], high[1] - low[1], t, one, zero)
-    named = lambda n, r, b: F.struct(n.alias("target"), F.lit(r).alias("relation_type"), b.alias("box"))
-    length = lambda e: F.sqrt(e["ex"] * e["ex"] + e["ey"] * e["ey"])
-    sides = F.filter(edges(F.col("ring")), lambda e: length(e) > SHORT_EDGE)
-    rise = F.col("ceiling_z") - F.col("floor_z")
-    wall = lambda e: _oriented(e["x"] + e["ex"] / 2, e["y"] + e["ey"] / 2, F.col("floor_z") + rise / 2, length(e), t, rise, e["ex"] / length(e), e["ey"] / length(e))
-    upright = F.transform(sides, lambda e, i: named(F.concat(F.lit("layout::wall_"), i.cast("string")), "touching_wall", wall(e)))
-    flat = F.array(named(F.lit("layout::floor"), "touching_floor", slab(F.col("floor_z"))), named(F.lit("layout::ceiling"), "touching_ceiling", slab(F.col("ceiling_z"))))
-    return layouts.select("sample_id", F.explode(F.concat(flat, upright)).alias("s")).select("sample_id", "s.*")
+_SIGNS = np.array([(i, j, k) for i in (-0.5, 0.5) for j in (-0.5, 0.5) for k in (-0.5, 0.5)])
+
+
+def _flat(column: pa.Array, *shape: int) -> np.ndarray:
+    """Nested lists of a fixed shape as numbers, rows that are null or of another shape as NaN."""
+    some = np.flatnonzero(pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False) == shape[0])
+    inner = column.take(pa.array(some)).flatten()
+    out = np.full((len(column), *shape), np.nan)
+    out[some] = (inner.to_numpy(zero_copy_only=False) if len(shape) == 1 else _flat(inner, *shape[1:])).reshape(len(some), *shape)
+    return out
+
+
+def _corners(center: np.ndarray, size: np.ndarray, basis: np.ndarray) -> np.ndarray:
+    """As `boxes.corners`, step by step, of many boxes."""
+    total = np.zeros((len(center), 8, 3))
+    for a in range(3):
+        total = total + (_SIGNS[None, :, a] * size[:, None, a])[..., None] * basis[:, None, a]
+    return center[:, None] + total
+
+
+def shell_boxes(ring: np.ndarray, floor_z: float, ceiling_z: float, thickness: float = WALL) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Centres, sizes and axes of a layout's floor, ceiling and a wall per edge of its ring, edges of no length left out."""
+    low, high = ring.min(axis=0), ring.max(axis=0)
+    along = np.roll(ring, -1, axis=0) - ring
+    length = np.sqrt(along[:, 0] * along[:, 0] + along[:, 1] * along[:, 1])
+    kept = length > SHORT_EDGE
+    start, along, length = ring[kept], along[kept], length[kept]
+    rise, n = ceiling_z - floor_z, len(length)
+    middle = (low + high) / 2
+    center = np.concatenate([[[*middle, floor_z], [*middle, ceiling_z]], np.column_stack([start + along / 2, np.full(n, floor_z + rise / 2)])])
+    size = np.concatenate([[[*(high - low), thickness]] * 2, np.column_stack([length, np.full(n, thickness), np.full(n, rise)])])
+    basis = np.tile(np.eye(3), (n + 2, 1, 1))
+    if n:
+        ax, ay = (along / length[:, None]).T
+        basis[2:, 0, 0], basis[2:, 0, 1], basis[2:, 1, 0], basis[2:, 1, 1] = ax, ay, -ay, ax
+    return center, size, basis
+
+
+def _dealt_pairs(counts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Numbers of rows, each as often as its count, and 0, 1, ... within each; PAIRS at a time, or one row's."""
+    ends, at = np.cumsum(counts), 0
+    while at < len(counts):
+        stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PAIRS, side="right")))
+        own = counts[at:stop]
+        i = np.repeat(np.arange(at, stop), own)
+        yield i, np.arange(len(i)) - np.repeat(np.cumsum(own) - own, own)
+        at = stop
+
+
+class _Placed:
+    """Grown boxes of many scenes: corners, bounds, whether along the axes."""
+
+    def __init__(self, center: np.ndarray, size: np.ndarray, basis: np.ndarray, expand: float):
+        self.corners = _corners(center, np.maximum(size + expand, 0.01), basis)
+        self.low, self.high = self.corners.min(axis=1), self.corners.max(axis=1)
+        self.square = basis[:, 0, 0] * basis[:, 0, 1] == 0
+
+
+def _meet(a: _Placed, b: _Placed, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Which pairs overlap: heights and bounds first; only those not along the axes go on to have their footprints clipped."""
+    for d in (2, 0, 1):
+        near = np.minimum(a.high[i, d], b.high[j, d]) > np.maximum(a.low[i, d], b.low[j, d])
+        if d == 2:
+            at = np.flatnonzero(near)
+        else:
+            at = at[near]
+        i, j = i[near], j[near]
+    fit = a.square[i] & b.square[j]
+    slanted = np.flatnonzero(~fit)
+    fit[slanted] = shared_outlines(a.corners[i[slanted]], b.corners[j[slanted]]) > 0
+    return at[fit]
 
 
 def relations(objects: DataFrame, layouts: DataFrame, expand: float = EXPAND) -> DataFrame:
     """sample_id, source, target, relation_type: objects that touch each other, the floor, the ceiling or a wall once all are grown.
 
-    objects: sample_id, obj_idx, object_id, box (oriented); an object comes before those of higher obj_idx. Heights and
-    bounds are compared first; only pairs that are not along the axes go on to have their footprints clipped.
+    objects: sample_id, obj_idx, object_id, box (oriented); an object comes before those of higher obj_idx. layouts: sample_id, ring,
+    floor_z, ceiling_z. A scene is a row with its objects and layouts; pairs are compared as arrays, PAIRS at a time, for many small
+    scenes or a part of a crowded one, and only those that touch become rows.
     """
-    wide = F.struct(F.col("box")["center"].alias("center"), F.transform(F.col("box")["size"], lambda x: F.greatest(x + expand, F.lit(0.01))).alias("size"), F.col("box")["basis"].alias("basis"))
-
-    def placed(df: DataFrame, name: str) -> DataFrame:
-        """Corners and bounds of each box, once for all pairs that it is in."""
-        df = once(once(once(df, _w=wide), _c=corners(F.col("_w"))), _p=bounds(F.col("_c")))
-        square = F.col("box")["basis"][0][0] * F.col("box")["basis"][0][1] == 0
-        return df.withColumn(name, F.struct(F.col("_c").alias("c"), F.col("_p").alias("p"), square.alias("square"))).drop("box", "_w", "_c", "_p")
-
-    o = placed(objects.select("sample_id", "obj_idx", F.col("object_id").alias("source"), "box"), "a")
-    p = o.select("sample_id", F.col("obj_idx").alias("_j"), F.col("source").alias("target"), F.lit("touching").alias("relation_type"), F.col("a").alias("b"))
-    names = ["sample_id", "source", "target", "relation_type", "a", "b"]
-    pairs = o.join(p, "sample_id").where(F.col("obj_idx") < F.col("_j")).select(names).unionByName(o.join(placed(shell(layouts), "b"), "sample_id").select(names))
-    meets = lambda k: F.least(F.col(f"a.p.{k}1"), F.col(f"b.p.{k}1")) > F.greatest(F.col(f"a.p.{k}0"), F.col(f"b.p.{k}0"))
-    near = pairs.where(meets("z") & meets("x") & meets("y")).withColumn("_plain", F.col("a.square") & F.col("b.square"))
-    empty = F.array().cast("array<array<double>>")
-    area = footprint_overlap(*[F.when(F.col("_plain"), empty).otherwise(F.col(c)) for c in ("a.c", "b.c")])
-    return near.withColumn("_area", area).where(F.col("_plain") | (F.col("_area") > 0)).select(names[:4])
+    o = objects.where("sample_id is not null").groupBy("sample_id").agg(F.collect_list(F.struct("obj_idx", F.col("object_id").cast("string").alias("object_id"), "box")).alias("_o"))
+    h = layouts.groupBy("sample_id").agg(F.collect_list(F.struct("ring", F.col("floor_z").cast("double").alias("floor_z"), F.col("ceiling_z").cast("double").alias("ceiling_z"))).alias("_h"))
+    kind = objects.schema["sample_id"].dataType.simpleString()
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names, held, shells = batch.column(0), batch.column(1), batch.column(2)
+            scene = np.repeat(np.arange(len(batch)), pc.list_value_length(held).to_numpy(zero_copy_only=False))
+            own = held.flatten()
+            number, source, boxes = (own.field(c) for c in ("obj_idx", "object_id", "box"))
+            number = number.to_numpy(zero_copy_only=False)
+            there = boxes.is_valid().to_numpy(zero_copy_only=False)
+            a = _Placed(*(_flat(pc.struct_field(boxes, c), *shape) for c, shape in (("center", (3,)), ("size", (3,)), ("basis", (3, 3)))), expand)
+            a.low[~there] = np.nan
+            first = np.searchsorted(scene, np.arange(len(batch)), side="left")
+            count = np.searchsorted(scene, np.arange(len(batch)), side="right") - first
+
+            def told(i: np.ndarray, target: pa.Array, relation: pa.Array) -> pa.RecordBatch:
+                return pa.RecordBatch.from_arrays([names.take(pa.array(scene[i])), source.take(pa.array(i)), target, relation], names=["sample_id", "source", "target", "relation_type"])
+
+            for i, k in _dealt_pairs(count[scene]):
+                j = first[scene[i]] + k
+                ahead = number[i] < number[j]
+                i, j = i[ahead], j[ahead]
+                fit = _meet(a, a, i, j)
+                if len(fit):
+                    yield told(i[fit], source.take(pa.array(j[fit])), pa.array(["touching"]).take(pa.array(np.zeros(len(fit), int))))
+            parts, titles, of = [], [], []
+            for k, each in enumerate(shells.to_pylist()):
+                for s in each or ():
+                    ring = np.array([[p[0], p[1]] for p in s["ring"]], float).reshape(-1, 2) if s["ring"] else np.zeros((0, 2))
+                    if len(ring) and s["floor_z"] is not None and s["ceiling_z"] is not None:
+                        parts.append(shell_boxes(ring, s["floor_z"], s["ceiling_z"]))
+                        titles += [-2, -1, *range(len(parts[-1][0]) - 2)]
+                        of += [k] * len(parts[-1][0])
+            if not parts:
+                continue
+            b, of, titles = _Placed(*(np.concatenate(x) for x in zip(*parts)), expand), np.array(of), np.array(titles)
+            title = pa.array(["layout::floor", "layout::ceiling", *(f"layout::wall_{k}" for k in range(titles.max() + 1))])
+            relation = pa.array(["touching_floor", "touching_ceiling", "touching_wall"])
+            begin = np.searchsorted(of, np.arange(len(batch)), side="left")
+            sides = np.searchsorted(of, np.arange(len(batch)), side="right") - begin
+            for i, k in _dealt_pairs(sides[scene]):
+                j = begin[scene[i]] + k
+                fit = _meet(a, b, i, j)
+                if len(fit):
+                    t = titles[j[fit]] + 2
+                    yield told(i[fit], title.take(pa.array(t)), relation.take(pa.array(np.minimum(t, 2))))
+
+    return o.join(h, "sample_id", "left").select("sample_id", "_o", "_h").mapInArrow(rows, f"sample_id {kind}, source string, target string, relation_type string")
 
 
 def walls(rooms: DataFrame, ring: str = "ring", thickness: float = WALL) -> DataFrame:
