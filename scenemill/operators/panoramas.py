@@ -2,20 +2,24 @@
 
 A panorama of `width` columns looks all round; column i looks along longitude (i + 0.5) / width of a turn, from
 minus half a turn, with y ahead and x to the right. Contours stay in their room's row: a column's distance is
-the least of a transform over the edges, so nothing is shuffled.
+the least over the edges, worked out as arrays inside an Arrow function.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from math import pi
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from ..functions import regions as R
-from ..functions.rows import once
 
-NEAR = 1e-7
+NEAR, VALUES = 1e-7, 1 << 20
 FADE = 0.96
 
 
@@ -57,39 +61,94 @@ def edges(ring: Column) -> Column:
     return F.transform(ring, lambda p, i: F.struct(p[0].alias("x"), p[1].alias("y"), (end(i, 0) - p[0]).alias("ex"), (end(i, 1) - p[1]).alias("ey")))
 
 
-def distance_along(sides: Column, camera: Column, ux: Column, uy: Column) -> Column:
-    """From the camera to the nearest edge along a direction; null where none is met."""
+def _nearest(ex: np.ndarray, ey: np.ndarray, dx: np.ndarray, dy: np.ndarray, ux: np.ndarray, uy: np.ndarray) -> np.ndarray:
+    """How far a ray along (ux, uy) goes to an edge that starts at (dx, dy) from it; infinite where it is not met."""
+    cross = ux * ey - uy * ex
+    along, share = (dx * ey - dy * ex) / cross, (dx * uy - dy * ux) / cross
+    return np.where((np.abs(cross) > 1e-10) & (along > NEAR) & (share >= -NEAR) & (share <= 1 + NEAR), along, np.inf)
 
-    def hit(e: Column) -> Column:
-        cross = ux * e["ey"] - uy * e["ex"]
-        dx, dy = e["x"] - camera[0], e["y"] - camera[1]
-        along, share = (dx * e["ey"] - dy * e["ex"]) / cross, (dx * uy - dy * ux) / cross
-        return F.when((F.abs(cross) > 1e-10) & (along > NEAR) & (share >= -NEAR) & (share <= 1 + NEAR), along)
 
-    return F.array_min(F.transform(sides, hit))
+def _least(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The least of each run of so many rows; infinite for an empty one."""
+    out = np.full((len(counts), *values.shape[1:]), np.inf)
+    some = counts > 0
+    if some.any():
+        out[some] = np.minimum.reduceat(values, (np.cumsum(counts) - counts)[some], axis=0)
+    return out
+
+
+def target_arrays(xy: np.ndarray, counts: np.ndarray, camera: np.ndarray, floor_z: np.ndarray, ceiling_z: np.ndarray, width: int) -> list[np.ndarray]:
+    """ranges, ceiling, floor, corner (rooms, width) of rooms whose contours stand one after another in xy; not a number where there is none.
+
+    Every edge meets every column, and every corner of a room every edge of it, VALUES at a time.
+    """
+    ranges, fade = np.full((len(counts), width), np.inf), np.full((len(counts), width), np.inf)
+    starts = np.cumsum(counts) - counts
+    with np.errstate(all="ignore"):
+        turn = ((np.arange(width) + 0.5) / width - 0.5) * (2 * pi)
+        ux, uy = np.sin(turn), np.cos(turn)
+        room = np.repeat(np.arange(len(counts)), counts)
+        last = starts[room] + counts[room] - 1
+        after = np.where(np.arange(len(xy)) == last, starts[room], np.arange(len(xy)) + 1)
+        (ex, ey), (dx, dy) = (xy[after] - xy).T, (xy - camera[room, :2]).T
+        far = np.sqrt(dx * dx + dy * dy)
+        met = np.full(len(xy), np.inf)
+        for k, n in _blocks(counts[room]):
+            own = counts[room[k:n]]
+            i = np.repeat(np.arange(k, n), own)
+            j = starts[room[i]] + np.arange(len(i)) - np.repeat(np.cumsum(own) - own, own)
+            met[k:n] = _least(_nearest(ex[j], ey[j], dx[j], dy[j], dx[i] / far[i], dy[i] / far[i]), own)
+        seen = np.abs(met - far) <= np.maximum(far * 1e-5, 1e-6)
+        at = np.where(seen, np.mod(np.arctan2(dx, dy) / (2 * pi) + 0.5, 1.0) * width - 0.5, np.nan)
+        for k, n in _blocks(counts * width):
+            p = slice(starts[k], starts[n - 1] + counts[n - 1])
+            ranges[k:n] = _least(_nearest(ex[p, None], ey[p, None], dx[p, None], dy[p, None], ux, uy), counts[k:n])
+            apart = np.abs(np.arange(width) - at[p, None])
+            fade[k:n] = _least(np.where(seen[p, None], np.minimum(apart, width - apart), np.inf), counts[k:n])
+        ranges[np.isinf(ranges)] = np.nan
+        corner = np.where(np.isinf(fade), np.nan, FADE**fade)
+        return [ranges, -np.arctan2((ceiling_z - camera[:, 2])[:, None], ranges), np.arctan2((camera[:, 2] - floor_z)[:, None], ranges), corner]
+
+
+def _blocks(sizes: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Runs of rows whose sizes come to VALUES at most, or of one row."""
+    ends, at = np.cumsum(sizes), 0
+    while at < len(sizes):
+        stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + VALUES, side="right")))
+        yield at, stop
+        at = stop
+
+
+def _firsts(column: pa.Array, n: int) -> np.ndarray:
+    """The first n numbers of each list; not a number where a list is shorter or null."""
+    sizes = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+    values = column.flatten().to_numpy(zero_copy_only=False).astype(float)
+    out, starts = np.full((len(column), n), np.nan), np.cumsum(sizes) - sizes
+    for d in range(n):
+        some = sizes > d
+        out[some, d] = values[starts[some] + d]
+    return out
 
 
 def layout_targets(rooms: DataFrame, width: int) -> DataFrame:
     """rooms (ring, camera, floor_z, ceiling_z) with ranges, ceiling and floor (latitudes, down being positive) of each column, and corner.
 
-    corner: FADE to the power of a column's distance, all round, from the nearest corner that the camera sees.
+    corner: FADE to the power of a column's distance, all round, from the nearest corner that the camera sees. Few bytes are much
+    arithmetic, so rooms are dealt over all shuffle partitions; contours are worked on as arrays, many rooms at a time.
     """
-    camera, turn = F.col("camera"), lambda i: ((i + 0.5) / width - 0.5) * (2 * pi)
-    df = once(rooms, _e=edges(F.col("ring")))
-    ranges = F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: distance_along(F.col("_e"), camera, F.sin(turn(i)), F.cos(turn(i))))
-
-    def corner(p: Column) -> Column:
-        dx, dy = p[0] - camera[0], p[1] - camera[1]
-        far = F.sqrt(dx * dx + dy * dy)
-        met = distance_along(F.col("_e"), camera, F.try_divide(dx, far), F.try_divide(dy, far))
-        seen = F.abs(met - far) <= F.greatest(far * 1e-5, F.lit(1e-6))
-        return F.when(seen, F.pmod(F.atan2(dx, dy) / (2 * pi) + 0.5, F.lit(1.0)) * width - 0.5)
-
-    df = once(df, ranges=ranges, _seen=F.array_compact(F.transform("ring", corner)))
-    apart = lambda i, x: F.least(F.abs(i - x), width - F.abs(i - x))
-    fade = F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.pow(F.lit(FADE), F.array_min(F.transform("_seen", lambda x: apart(i, x)))))
-    up, down = F.transform("ranges", lambda r: -F.atan2(F.col("ceiling_z") - camera[2], r)), F.transform("ranges", lambda r: F.atan2(camera[2] - F.col("floor_z"), r))
-    return once(df, ceiling=up, floor=down, corner=fade).drop("_e", "_seen")
+    names = ("ranges", "ceiling", "floor", "corner")
+
+    @F.arrow_udf(StructType([StructField(n, ArrayType(DoubleType())) for n in names]))
+    def targets(ring: pa.Array, camera: pa.Array, floor_z: pa.Array, ceiling_z: pa.Array) -> pa.Array:
+        counts = pc.fill_null(pc.list_value_length(ring), 0).to_numpy(zero_copy_only=False).astype(int)
+        levels = [c.to_numpy(zero_copy_only=False).astype(float) for c in (floor_z, ceiling_z)]
+        found = target_arrays(_firsts(ring.flatten(), 2), counts, _firsts(camera, 3), *levels, width)
+        offsets = pa.array(np.arange(len(ring) + 1) * width, pa.int32())
+        return pa.StructArray.from_arrays([pa.ListArray.from_arrays(offsets, pa.array(x.ravel(), from_pandas=True)) for x in found], names=list(names))
+
+    spread = rooms.repartition(int(rooms.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    made = targets(F.col("ring"), F.col("camera"), F.col("floor_z").cast("double"), F.col("ceiling_z").cast("double"))
+    return spread.withColumn("_t", made).select(*rooms.columns, *[F.col("_t")[n].alias(n) for n in names])
 
 
 def target_faults(ceiling: Column, floor: Column, corner: Column, ranges: Column, width: int) -> Column:
