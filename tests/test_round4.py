@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from scenemill.operators import cameras as C, panoramas as P, scenes as S
+from scenemill.operators import cameras as C, fields as D, panoramas as P, scenes as S
 
 
 def test_equal_ways_go_by_clearance(spark):
@@ -98,3 +98,26 @@ def test_targets_equal_one_ray_at_a_time(spark):
 def test_targets_of_one_small_file_are_dealt_over_all_partitions(spark):
     _, found = targets(spark, 16)
     assert found.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def bricks(n):
+    """Vertices and faces of boxes, some beyond the grid, some flat."""
+    draw = np.random.default_rng(2)
+    corner = np.array([[i, j, k] for i in (-1, 1) for j in (-1, 1) for k in (-1, 1)], float)
+    quads = [(0, 1, 3, 2), (4, 6, 7, 5), (0, 4, 5, 1), (2, 3, 7, 6), (0, 2, 6, 4), (1, 5, 7, 3)]
+    faces = [list(t) for a, b, c, d in quads for t in ((a, b, c), (a, c, d))]
+    sizes = draw.uniform(0.02, 0.6, (n, 3)) * np.where(np.arange(n) % 9 == 0, 2, 1)[:, None]
+    return [((corner * s + draw.uniform(-0.1, 0.1, 3)).tolist(), faces) for s in sizes]
+
+
+def test_fields_of_many_meshes_equal_those_of_each(spark):
+    meshes = bricks(40)
+    rows = [(k, v, f) for k, (v, f) in enumerate(meshes)] + [(98, [], []), (99, None, None)]
+    found = D.shape_fields(spark.createDataFrame(rows, "path int, vertices array<array<double>>, faces array<array<int>>").coalesce(1), cells=24, samples=0)
+    assert found.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))  # one small file is dealt over all
+    got = {r.path: r for r in found.collect()}
+    for k, (v, f) in enumerate(meshes):
+        t = np.array(v)[np.array(f)]
+        shell, field = D.surface_cells(t, 24), D.signed_field(t, 24)
+        assert (got[k].filled, got[k].surface, got[k].centre) == (int(D.filled(shell).sum()), int(shell.sum()), float(field[12, 12, 12])), k
+    assert got[98].filled is None and got[99].filled is None
