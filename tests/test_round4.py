@@ -6,7 +6,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from scenemill.operators import cameras as C, fields as D, panoramas as P, scenes as S
+from scenemill.functions import regions as R
+from scenemill.operators import cameras as C, fields as D, footprints as O, panoramas as P, scenes as S
 
 
 def test_equal_ways_go_by_clearance(spark):
@@ -121,3 +122,50 @@ def test_fields_of_many_meshes_equal_those_of_each(spark):
         shell, field = D.surface_cells(t, 24), D.signed_field(t, 24)
         assert (got[k].filled, got[k].surface, got[k].centre) == (int(D.filled(shell).sum()), int(shell.sum()), float(field[12, 12, 12])), k
     assert got[98].filled is None and got[99].filled is None
+
+
+def triangle_groups(n):
+    """Edges of triangles in groups: anywhere, on a coarse grid, halves of rectangles, of two operands; one group is large."""
+    draw = np.random.default_rng(5)
+    edges, groups = [], []
+    for k in range(n):
+        m = 300 if k == 7 else draw.integers(1, 7)
+        t = draw.uniform(0, 10, (m, 3, 2))
+        if k == 7:
+            t = draw.uniform(0, 10, (m, 1, 2)) + draw.uniform(0, 0.5, (m, 3, 2))
+        elif k % 4 == 1:
+            t = np.round(t * 2) / 2
+        elif k % 4 > 1:
+            low, size = np.round(draw.uniform(0, 4, (m, 2)), 1), np.round(draw.uniform(0.5, 3, (m, 2)), 2)
+            a, b, c, d = low, low + size * [1, 0], low + size, low + size * [0, 1]
+            t = np.concatenate([np.stack([a, b, c], axis=1), np.stack([a, c, d], axis=1)])
+        e = R.triangle_edges(t)
+        e[len(e) // 6 * 3 :, 4] = k % 3 == 0
+        edges.append(e)
+        groups.append(np.full(len(e), k))
+    return edges, groups
+
+
+@pytest.mark.parametrize("rule", [R.UNION, R.SHARED])
+def test_overlays_of_many_groups_equal_those_of_each(rule):
+    edges, groups = triangle_groups(48)
+    mixed = np.random.default_rng(1).permutation(sum(map(len, edges)))
+    found = R.overlays(np.concatenate(edges)[mixed], np.concatenate(groups)[mixed], 50, rule)
+    ends, areas = np.cumsum(found.sizes), found.areas()
+    for k, e in enumerate(edges):
+        want = R.overlay(e, rule)
+        own = np.flatnonzero(found.group == k)
+        sizes = lambda parts: sorted(round(sum(p), 9) for p in parts)
+        assert sizes([areas[own][found.part[own] == p] for p in set(found.part[own])]) == sizes([map(R.ring_area, p) for p in want]), k
+        corners = {tuple(np.round(x, 9)) for i in own for x in found.points[ends[i] - found.sizes[i] : ends[i]]}
+        assert corners == {tuple(np.round(x, 9)) for p in want for r in p for x in r}, k
+
+
+def test_groups_of_footprints_may_reach_over_batches(spark):
+    """Rows of 40 squares that touch, in more triangles than are put together at once."""
+    n = O.TOGETHER // 80 + 30
+    at = "array(cast(id as double), 0.0, 0.0), array(id + 1.0, 0.0, 0.0), array(id + 1.0, 1.0, 0.0), array(cast(id as double), 1.0, 0.0)"
+    square = spark.range(n * 40).select(F.floor(F.col("id") / 40).alias("k"), F.expr(f"array({at})").alias("p"))
+    halves = [square.select("k", *[F.col("p")[i].alias(c) for c, i in zip("abc", corners)]) for corners in ((0, 1, 2), (0, 2, 3))]
+    got = O.footprints(halves[0].unionByName(halves[1]), ["k"], rectangles=False).collect()
+    assert sorted((r.k, round(r.area, 6), len(r.rings[0])) for r in got) == [(k, 40.0, 4) for k in range(n)]
