@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from scenemill.functions import regions as R
-from scenemill.operators import cameras as C, fields as D, footprints as O, panoramas as P, scenes as S
+from scenemill.operators import cameras as C, fields as D, footprints as O, panoramas as P, planes as L, scenes as S
 
 
 def test_equal_ways_go_by_clearance(spark):
@@ -169,3 +169,27 @@ def test_groups_of_footprints_may_reach_over_batches(spark):
     halves = [square.select("k", *[F.col("p")[i].alias(c) for c, i in zip("abc", corners)]) for corners in ((0, 1, 2), (0, 2, 3))]
     got = O.footprints(halves[0].unionByName(halves[1]), ["k"], rectangles=False).collect()
     assert sorted((r.k, round(r.area, 6), len(r.rings[0])) for r in got) == [(k, 40.0, 4) for k in range(n)]
+
+
+def test_first_values_of_clusters_equal_one_at_a_time():
+    draw = np.random.default_rng(3)
+    lengths = [1, 2, 500, 3, 40, 1]
+    starts = np.cumsum([0, *lengths[:-1]])
+    v = np.concatenate([np.sort(draw.uniform(0, 5, n)) for n in lengths])
+    gap = np.repeat([0.5, 0.1, 0.02, 9.0, 0.3, 0.1], lengths)
+    for held in (None, v[0] - 0.2, v[0] - 0.9):
+        want, first = [], None
+        for k, x in enumerate(v):
+            first = (x if held is None or k else held) if k in starts else first
+            first = x if x - first > gap[k] else first
+            want.append(first)
+        assert L.first_values(v, gap, starts, held).tolist() == want
+
+
+def test_distance_to_areas_needs_no_lambda(spark):
+    hole = [[[0.0, 0.0], [4.0, 0.0], [4.0, 4.0], [0.0, 4.0]], [[1.0, 1.0], [1.0, 3.0], [3.0, 3.0], [3.0, 1.0]]]
+    points = [(0.5, 0.5, 0.0), (2.0, 2.5, 0.5), (7.0, 8.0, 5.0), (4.0, 2.0, 0.0), (None, 1.0, None)]
+    df = spark.createDataFrame([(hole, x, y, want) for x, y, want in points] + [([], 1.0, 1.0, None)], "rings array<array<array<double>>>, x double, y double, want double")
+    found = df.select(R.area_distance(F.col("rings"), F.col("x"), F.col("y")).alias("d"), "want")
+    assert "lambda" not in plan(found)
+    assert all((r.d is None and r.want is None) or r.d == pytest.approx(r.want) for r in found.collect())
