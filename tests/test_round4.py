@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from scenemill.functions import regions as R
+from scenemill.functions import polygons, regions as R
 from scenemill.operators import cameras as C, fields as D, footprints as O, panoramas as P, planes as L, scenes as S
 
 
@@ -193,3 +193,17 @@ def test_distance_to_areas_needs_no_lambda(spark):
     found = df.select(R.area_distance(F.col("rings"), F.col("x"), F.col("y")).alias("d"), "want")
     assert "lambda" not in plan(found)
     assert all((r.d is None and r.want is None) or r.d == pytest.approx(r.want) for r in found.collect())
+
+
+def test_turned_boxes_overlap_without_lambdas(spark):
+    kind = "struct<center:array<double>,size:array<double>,basis:array<array<double>>>"
+    c = 0.5**0.5
+    flat, turned = [[1.0, 0.0, 0.0], [0.0, 1.0, 0.0], [0.0, 0.0, 1.0]], [[c, c, 0.0], [-c, c, 0.0], [0.0, 0.0, 1.0]]
+    cube = ([0.0, 0.0, 0.0], [2.0, 2.0, 2.0], flat)
+    rows = [(cube, ([1.0, 0.0, 1.0], [2.0, 2.0, 2.0], flat), 2.0), (cube, ([0.0, 0.0, 0.0], [2.0, 2.0, 2.0], turned), None), (cube, ([9.0, 0.0, 0.0], [2.0, 2.0, 2.0], turned), 0.0), (cube, None, None)]
+    df = spark.createDataFrame(rows[:1] + rows[2:], f"a {kind}, b {kind}, want double")
+    found = polygons.oriented_overlap(df, "a", "b")
+    assert "lambda" not in plan(found)
+    assert [r.overlap for r in found.collect()] == [2.0, 0.0, None]
+    octagon = polygons.oriented_overlap(spark.createDataFrame(rows[1:2], f"a {kind}, b {kind}, want double"), "a", "b").first().overlap
+    assert octagon == pytest.approx(16 * (2**0.5 - 1))
