@@ -228,3 +228,18 @@ def test_turned_boxes_are_matched_without_lambdas(spark):
     found = matching.greedy_match(turned, turned.drop("score"), ["sample_id", "label"], 0.5)
     assert "_form" in plan(found)  # corners are worked out in the Arrow function
     assert sorted((r.obj_idx, r.gt_idx, round(r.iou, 9)) for r in found.collect()) == [(0, 0, 1.0), (1, 1, 1.0), (2, None, 0.0)]
+
+
+def test_shapes_that_are_named_score_as_their_clouds(spark):
+    from scenemill.operators import scene_metrics as M
+
+    box = "struct<x0:double,y0:double,z0:double,x1:double,y1:double,z1:double>"
+    rows = [(s, k, "x", 0.9 - k / 10, (3.0 * k, 0.0, 0.0, 3.0 * k + 1, 1.0, 1.0)) for s in range(4) for k in range(3)]
+    boxes = spark.createDataFrame(rows, f"sample_id long, obj_idx int, label string, score double, box {box}")
+    draw = np.random.default_rng(1)
+    shapes = spark.createDataFrame([(k, draw.random((5, 3)).tolist()) for k in range(4)] + [(4, [])], "shape long, cloud array<array<double>>")
+    names = [boxes.select("sample_id", "obj_idx", F.expr(f"cast((sample_id + obj_idx * 2 + {d}) % 6 as bigint)").alias("shape")) for d in (0, 1)]
+    whole = M.shape_scores(boxes, boxes.drop("score"), *[n.join(shapes, "shape").select("sample_id", "obj_idx", "cloud") for n in names])
+    found = M.shape_scores(boxes, boxes.drop("score"), *names, shapes=shapes)
+    sorted_rows = lambda df: sorted((r.sample_id, round(r.chamfer, 9), round(r.fscore, 9)) for r in df.collect())
+    assert sorted_rows(found) == sorted_rows(whole) and len(sorted_rows(found)) > 2
